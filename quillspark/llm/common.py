@@ -46,3 +46,24 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a path of any file system that Spark reaches; fails if the new one is there."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    source, target = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
+    fs = source.getFileSystem(jsc.hadoopConfiguration())
+    if fs.exists(target) or not fs.rename(source, target):
+        raise OSError(f"can't rename {old} to {new}")
+
+
+def commit_files(files: DataFrame, name: str, content: str) -> str:
+    """Writes rows of file images under a temporary name, then their manifest (all columns but the content), then gives both the final name.
+
+    Readers take the files that the manifest lists, so they see all of a write or nothing of it.
+    """
+    spark, path = files.sparkSession, new_path(files.sparkSession, name)
+    files.write.parquet(f"{path}.tmp/files")
+    spark.read.schema(files.schema).parquet(f"{path}.tmp/files").drop(content).coalesce(1).write.parquet(f"{path}.tmp/manifest")
+    rename(spark, f"{path}.tmp", path)
+    return path
