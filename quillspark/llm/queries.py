@@ -1,11 +1,17 @@
 """The subpackage's registered queries and their SQL."""
 
-from .quality import op3
+from . import bpe, decontam, quality, tokbin, warc
 
 
 def queries() -> dict:
-    return {"op3_quality_rules": op3}
+    return {
+        "op1_decontamination": decontam.op1,
+        "op2_bpe": bpe.op2,
+        "op3_quality_rules": quality.op3,
+        "op8_token_files": tokbin.op8,
+        "op9_warc": warc.op9,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_decontamination": decontam.ORACLE, "op9_warc": warc.ORACLE}
