@@ -1,6 +1,6 @@
 """The subpackage's registered queries and their SQL."""
 
-from . import bpe, decontam, quality, sharding, tokbin, warc
+from . import bpe, decontam, licenses, quality, sharding, tokbin, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_sharding": sharding.op5,
         "op8_token_files": tokbin.op8,
         "op9_warc": warc.op9,
+        "op10_license_scan": licenses.op10,
     }
 
 
