@@ -1,6 +1,6 @@
 """The subpackage's registered queries and their SQL."""
 
-from . import bpe, decontam, licenses, quality, sharding, tokbin, warc
+from . import bpe, decontam, licenses, pii, quality, sharding, tokbin, warc
 
 
 def queries() -> dict:
@@ -8,6 +8,7 @@ def queries() -> dict:
         "op1_decontamination": decontam.op1,
         "op2_bpe": bpe.op2,
         "op3_quality_rules": quality.op3,
+        "op4_pii": pii.op4,
         "op5_sharding": sharding.op5,
         "op8_token_files": tokbin.op8,
         "op9_warc": warc.op9,
