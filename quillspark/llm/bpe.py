@@ -148,7 +148,8 @@ class Encoder:
     """Texts to ids; remembers at most MAX_CACHED pre-tokens."""
 
     def __init__(self, merges: Merges, pattern: str) -> None:
-        self.merges, self.find = merges, regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.merges, self.find, self.finder = merges, compiled.findall, compiled.finditer
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))) + ")").split if merges.special else None
         self.reset()
 
@@ -186,9 +187,13 @@ class Encoder:
         self.learn()
         get = self.ids.__getitem__
         out = [b"" if x is None else b"".join(map(get, x)) for x in numbers]
+        self.forget()
+        return out
+
+    def forget(self) -> None:
+        """Keeps the memory bounded; numbers of pre-tokens are void after it."""
         if len(self.index) > MAX_CACHED:
             self.reset()
-        return out
 
 
 @lru_cache(maxsize=2)

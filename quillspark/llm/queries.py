@@ -1,6 +1,6 @@
 """The subpackage's registered queries and their SQL."""
 
-from . import bpe, decontam, licenses, pii, quality, sharding, tokbin, warc
+from . import bpe, decontam, licenses, ngramjoin, pii, quality, sharding, tokbin, tokcount, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op3_quality_rules": quality.op3,
         "op4_pii": pii.op4,
         "op5_sharding": sharding.op5,
+        "op6_ngram_jaccard": ngramjoin.op6,
+        "op7_token_counts": tokcount.op7,
         "op8_token_files": tokbin.op8,
         "op9_warc": warc.op9,
         "op10_license_scan": licenses.op10,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontamination": decontam.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op1_decontamination": decontam.ORACLE, "op6_ngram_jaccard": ngramjoin.ORACLE, "op9_warc": warc.ORACLE}
