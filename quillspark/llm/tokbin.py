@@ -13,7 +13,9 @@ columns of the documents are not stored.
 """
 
 import hashlib
+import json
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -25,15 +27,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import MAX_CACHED, slices
+from .bpe import slices
 from .common import commit_files, table
 
 #: Ids after which a file is closed.
 FILE_IDS = 4_000_000
 END_ID = 2
+#: Runs of text that a Python worker remembers at most (about 250 bytes each); then it starts anew.
+MAX_REMEMBERED = 800_000
 _HEAD = struct.Struct("<4sHHQQQq")
 _EF = struct.Struct("<QQB3xII")
 _SAMPLE = 64
+_MARK = re.compile("[\u0300-\u036f]").search
 
 
 class EliasFano:
@@ -119,7 +124,9 @@ class TokenFile:
 class _Words:
     """The library's ids of texts; runs between spaces and line ends are encoded once as long as they are remembered.
 
-    The tokenizer drops white space, so nothing that it does reaches over a space or a line end.
+    The tokenizer drops white space, so nothing that it does reaches over a space or a line end. It folds case, too: A-Z may
+    be folded before, unless a mark could combine with the letter or a special token could come about. A full stop or comma
+    between a letter and the end of a run is a piece of its own.
     """
 
     def __init__(self, source: str, width: int) -> None:
@@ -129,6 +136,8 @@ class _Words:
         self.tokenizer, self.kind = Tokenizer.from_str(source), f"<u{width}"
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        normalizer = json.loads(source).get("normalizer") or {}
+        self.folds = any(n.get("type") == "Lowercase" for n in [normalizer, *normalizer.get("normalizers", [])])
         self.reset()
 
     def reset(self) -> None:
@@ -141,16 +150,39 @@ class _Words:
                 return n
 
         self.index, self.new, self.ids = Index(), [], []
+        self.stops = {c: self.encode_all([c])[0] for c in ".,"}
 
-    def encode(self, texts: list) -> list[bytes]:
-        number = self.index.__getitem__
-        numbers = [np.fromiter(map(number, filter(None, t.replace("\n", " ").split(" "))), np.uint32) if t else () for t in texts]
-        for at in range(0, len(self.new), 20_000):
-            self.ids.extend(np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(self.new[at : at + 20_000], add_special_tokens=False))
+    def encode_all(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 20_000):
+            out.extend(np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False))
+        return out
+
+    def learn(self) -> None:
+        """Encodes the runs seen since the last call."""
+        cut = [w[:-1] if len(w) > 1 and w[-1] in ".," and w[-2].isascii() and w[-2].isalpha() else w for w in self.new]
+        known = self.index
+        # a run without its stop that is remembered already, from before
+        old = {c: self.ids[known[c]] for w, c in zip(self.new, cut, strict=True) if c is not w and c in known and known[c] < len(self.ids)}
+        fresh = list(dict.fromkeys(c for c in cut if c not in old))
+        coded = old | dict(zip(fresh, self.encode_all(fresh), strict=True))
+        self.ids.extend(coded[c] if c is w else coded[c] + self.stops[w[-1]] for w, c in zip(self.new, cut, strict=True))
         self.new = []
+
+    def runs(self, text: str) -> np.ndarray:
+        if self.folds and "<|" not in text:
+            if text.isascii():
+                text = text.lower()
+            elif not _MARK(text):
+                text = text.encode("utf-8", "replace").lower().decode()
+        return np.fromiter(map(self.index.__getitem__, filter(None, text.replace("\n", " ").split(" "))), np.uint32)
+
+    def encode(self, texts: list) -> list[bytes]:
+        numbers = [self.runs(t) if t else None for t in texts]
+        self.learn()
         get = self.ids.__getitem__
-        out = [b"".join(map(get, x)) for x in numbers]
-        if len(self.index) > MAX_CACHED:
+        out = [b"" if x is None else b"".join(map(get, x.tolist())) for x in numbers]
+        if len(self.index) > MAX_REMEMBERED:
             self.reset()
         return out
 
@@ -162,8 +194,6 @@ def _words(source: str, width: int) -> _Words:
 
 def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS) -> str:
     """Encodes all documents into files under the shared folder; the path of the committed files."""
-    import json
-
     import public_tokenizers
 
     spark = docs.sparkSession
