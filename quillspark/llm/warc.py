@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import commit_files, table
+from .common import commit_files, saved, table
 
 #: Compressed bytes after which a file is closed, and zlib's level.
 FILE_BYTES = 8 << 20
@@ -104,11 +104,15 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     """Writes all pages; the path of the committed archive."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("string")
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    joined = rows.join(_revisits(rows), ["id", "digest"], "left").select("id", "url", "payload", "digest", "first")
-    dealt = joined.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "digest", "url")
+    # What revisits what travels as rows of its own through the one exchange of the payloads, just before the page it belongs to.
+    notes = saved(_revisits(rows), "warc-revisits").select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "digest", "first")
+    both = rows.withColumn("first", F.lit(None).cast("long")).unionByName(notes)
+    order = [F.col("id").asc_nulls_first(), F.col("first").isNull(), "digest", "url"]
+    dealt = both.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(*order)
 
     def run(batches):
         part, seq, members_, size = TaskContext.get().partitionId(), 0, [], 0
+        of, firsts = None, {}
 
         def image():
             body = b"".join(members_)
@@ -117,6 +121,10 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
         for batch in batches:
             for k in range(batch.num_rows):
                 i, u, text, digest, first = (c[k].as_py() for c in batch.columns)
+                if first is not None:
+                    of, firsts = i, {digest: first} | (firsts if of == i else {})
+                    continue
+                first = firsts.get(digest) if of == i and i is not None else None
                 gz = zlib.compressobj(level, wbits=31)
                 members_.append(gz.compress(record(i, u, text.encode(), digest, first, date)) + gz.flush())
                 size += len(members_[-1])
