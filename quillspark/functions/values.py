@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import let
 from .text import clean_value, collapse, strip
 
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -21,44 +22,26 @@ def display_amount(text: Column) -> Column:
     return F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), bare.try_cast("double"))
 
 
-def _ymd(year: Column, month: Column, day: Column) -> Column:
-    """A date, or null where there is none."""
-    text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.when((year != "") & (month != "") & (day != ""), text.try_cast("date"))
-
-
-def _month(name: Column) -> Column:
-    """The number of a month's short or long name."""
-    n = F.lower(name)
-    return F.coalesce(*[F.when((n == s) | (n == full), F.lit(str(i))) for i, (s, full) in enumerate(zip(_MONTHS, _LONG, strict=True), 1)], F.lit(""))
-
-
-def _year(two: Column) -> Column:
-    """Two digits: 69 to 99 are 19.., the rest 20..."""
-    return F.when(two == "", two).otherwise(F.concat(F.when(two.try_cast("int") >= 69, F.lit("19")).otherwise(F.lit("20")), two))
-
-
-def _by(text: Column, kind: str) -> Column:
-    """A whole text read by one format; the letters y m d b stand for a year, month, day and month's name, Y for two digits."""
-    parts = {"y": r"([0-9]{4})", "Y": r"([0-9]{2})", "m": r"([0-9]{1,2})", "d": r"([0-9]{1,2})", "b": r"([A-Za-z]+)"}
-    pattern = "^" + "".join(parts.get(c, "\\" + c if c in "./-" else c) for c in kind) + "$"
-    letters = [c for c in kind if c in parts]
-    got = {c: F.regexp_extract(text, pattern, i) for i, c in enumerate(letters, 1)}
-    return _ymd(got["y"] if "y" in got else _year(got["Y"]), _month(got["b"]) if "b" in got else got["m"], got["d"])
-
-
-def _in_range(d: Column) -> Column:
-    return F.year(d).between(1990, 2100)
-
-
-# The formats of dates in queries, in the order in which they are tried.
-QUERY_FORMATS = ("y-m-d", "y/m/d", "y.m.d", "d/m/y", "d-m-y", "d.m.y", "d/m/Y", "d-m-Y", "d.m.Y", "d-b-y", "d b y", "b d y")
 def query_date(text: Column) -> Column:
-    """A date as queries and documents write it, day first; a format whose year is out of range gives way to the next."""
-    bare = F.regexp_replace(strip(text), r"(?i)(?<=[0-9])(?:st|nd|rd|th)\b", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)\bof\b", ""), ",", "")
-    bare = strip(collapse(F.regexp_replace(bare, r"(?i)\bSept\b", "Sep")))
-    return F.coalesce(*[F.when(_in_range(d), d) for d in (_by(bare, f) for f in QUERY_FORMATS)])
+    """A date as queries and documents write it, day first, from 1990 to 2100; else null.
+
+    Every accepted form is turned into year-month-day: numbers with one kind of separator, or a month's name. Two digits of a
+    year from 69 on are 19.., the others 20...
+    """
+    t = F.regexp_replace(strip(text), r"(?i)(?<=[0-9])(?:st|nd|rd|th)\b|\bof\b|,", "")
+    t = strip(collapse(F.regexp_replace(t, r"(?i)\bSept\b", "Sep")))
+    for form, turned in (
+        (r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{2}|\d{4})$", "$4-$3-$1"),
+        (r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$", "$1-$3-$4"),
+        (r"^(69|[7-9]\d)-(\d{1,2}-\d{1,2})$", "19$1-$2"),
+        (r"^(\d{2})-(\d{1,2}-\d{1,2})$", "20$1-$2"),
+        (r"^(\d{1,2})([- ])([A-Za-z]+)\2(\d{4})$", "$4-$3-$1"),
+        (r"^([A-Za-z]+) (\d{1,2}) (\d{4})$", "$3-$1-$2"),
+    ):
+        t = F.regexp_replace(t, form, turned)
+    months = F.create_map(*[x for i, (short, full) in enumerate(zip(_MONTHS, _LONG, strict=True), 1) for name in dict.fromkeys((short, full)) for x in (F.lit(name), F.lit(str(i)))])
+    named = let(t, lambda v: let(F.regexp_extract(v, "-([A-Za-z]+)-", 1), lambda name: F.when(name == "", v).otherwise(F.replace(v, name, F.element_at(months, F.lower(name))))))
+    return let(named, lambda v: let(F.when(v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), v.try_cast("date")), lambda d: F.when(F.year(d).between(1990, 2100), d)))
 
 
 _SPAN_YEAR, _LEAP = r"(?:199\d|20\d\d|2100)", r"(?:199[26]|20(?:[02468][048]|[13579][26]))"
@@ -66,7 +49,7 @@ _SPAN_SHORT, _LEAP_SHORT = r"(?:9\d|[0-5]\d|6[0-8])", r"(?:9[26]|[024][048]|[135
 
 
 def _pattern(kind: str) -> str:
-    """A regular expression of one format that only real days of 1990 to 2100 match; letters as in _by()."""
+    """A regular expression of one format that only real days of 1990 to 2100 match; the letters y m d b stand for a year, month, day and month's name, Y for two digits."""
     names = lambda ns: "(?:" + "|".join(f"{_MONTHS[n - 1]}|{_LONG[n - 1]}" if _MONTHS[n - 1] != _LONG[n - 1] else _LONG[n - 1] for n in ns) + ")"
     numbers = lambda ns: "(?:" + "|".join(f"0?{n}" if n < 10 else str(n) for n in ns) + ")"
     month = names if "b" in kind else numbers
