@@ -38,7 +38,7 @@ def summary_metrics(classes: DataFrame) -> DataFrame:
 def confusion(rows: DataFrame, classes: list, gold: str = "gold", pred: str = "pred", failed: str = "EXTRACTION_FAILED") -> DataFrame:
     """A row a gold class, a column a predicted one (null predictions: failed), and their total."""
     table = rows.select(F.col(gold).cast("string").alias("gold"), F.coalesce(F.col(pred).cast("string"), F.lit(failed)).alias("p"))
-    wide = table.groupBy("gold").pivot("p", [*map(str, classes), failed]).agg(F.count("*")).na.fill(0)
+    wide = table.groupBy("gold").pivot("p", [*map(str, classes), failed]).agg(F.count(F.lit(1))).na.fill(0)
     return wide.withColumn("total", sum((F.col(str(c)) for c in [*classes, failed]), F.lit(0)))
 
 
