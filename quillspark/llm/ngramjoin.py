@@ -12,6 +12,8 @@ The plan, in which no step holds all pairs or an unbounded group:
    that many documents share makes no crowd. Classes that share such a shingle form a crowd.
 3. In each crowd and size class all are compared with its first class (a linear number of pairs): the coordinate minima of
    the count vectors bound the overlap, what survives is verified on the shingles, and what links makes components.
+   While crowds hold several components and such comparisons still find links, each member is compared with one of another
+   component, a linear number of pairs a round.
 4. Crowds that still hold several components are packed into R-trees of count vectors (large ones as pairs of blocks). A join
    of the trees keeps the pairs of different components whose summed coordinate minima can reach the overlap; these are
    verified. The components of all verified links are the result, the same as that of all links.
@@ -26,10 +28,10 @@ unless the component has no other; empty tables have no rows. Extra columns pass
 import hashlib
 import math
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ FILTER_BITS = 1 << 25
 #: Members of a crowd that one task takes at a time, and points in a node of the tree.
 BLOCK = 1024
 NODE = 16
+#: Rounds of single comparisons, at most, before the trees take what is left.
+ROUNDS = 4
 _CHUNK = 1 << 12
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(WORDS, 0x9E3779B97F4A7C15, np.uint64)], dtype=np.uint64)
@@ -59,9 +63,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 700_000:
             self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
@@ -93,14 +97,14 @@ def identity(s: np.ndarray) -> tuple[int, int]:
 
 
 def groups_for(n: int) -> int:
-    return 1 << min(10, max(4, (max(1, n) // 8).bit_length()))
+    return 1 << min(12, max(4, (max(1, n) // 2).bit_length()))
 
 
 def count_vector(s: np.ndarray) -> bytes:
-    """Shingles in each group (by the leading bits of the hash), 16 bits each; groups grow with the size."""
+    """Shingles in each group (by the leading bits of the hash), 8 bits each; groups grow with the size."""
     g = groups_for(len(s))
     counts = np.bincount((s >> np.uint64(64 - g.bit_length() + 1)).astype(np.int64), minlength=g)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def needed(na, nb):
@@ -110,10 +114,10 @@ def needed(na, nb):
 
 
 def folded(v: np.ndarray, g: int) -> np.ndarray:
-    """Rows of count vectors with neighbouring groups added up to g groups; never less than the true count (65535 stays open)."""
-    v = v.astype(np.int64)
-    v[v == 65535] = 1 << 40
-    return v.reshape(len(v), g, -1).sum(2)
+    """Rows of count vectors with neighbouring groups added up to g groups; never less than the true count (255 stays open)."""
+    v = v.astype(np.int32)
+    v[v == 255] = 1 << 24
+    return v.reshape(len(v), g, -1).sum(2, dtype=np.int32) if g < v.shape[1] else v
 
 
 def _partial_sums(counts: np.ndarray, kind) -> pa.RecordBatch:
@@ -150,17 +154,23 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         sketch = np.zeros(SKETCH, np.int64)
+        def count(sets: list) -> None:
+            if sets:
+                sketch[:] += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+
         for batch in batches:
-            ns, ids, vecs = [], [], []
+            ns, ids, vecs, sets, held = [], [], [], [], 0
             for value in batch.column("text"):
                 s = shingles(value.as_py(), words)
                 ns.append(len(s))
                 ids.append(identity(s))
                 vecs.append(count_vector(s))
-                if len(s):
-                    sketch += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(s) > 50_000 else 0
-                    if len(s) <= 50_000:
-                        np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                sets.append(s)
+                held += len(s)
+                if held > 1_000_000:
+                    count(sets)
+                    sets, held = [], 0
+            count(sets)
             n = len(ns)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("th"), pa.array(ns, pa.int64()), pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64()), pa.array(vecs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
@@ -219,10 +229,11 @@ def _size_class(b: np.ndarray) -> np.ndarray:
 
 
 def _crowds(rows: DataFrame) -> DataFrame:
-    """Rows of keys with at least two classes, each with the first class of its key and size class (ca, cb)."""
+    """Rows of keys with at least two classes of sizes that can link, each with the first class of its key and size class (ca, cb)."""
+    p, q = SIMILARITY
 
     def run(batches):
-        last = None  # (key, a, b, ca, cb, size class, whether its key has an earlier class)
+        last = None  # (key, a, b, ca, cb, size class, whether its key has an earlier class of a size near its own)
         for batch in batches:
             k, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if last is not None:
@@ -232,14 +243,15 @@ def _crowds(rows: DataFrame) -> DataFrame:
             sc = _size_class(b)
             same = np.r_[False, k[1:] == k[:-1]]
             head = np.r_[True, ~same[1:] | (sc[1:] != sc[:-1])]
+            near = np.r_[False, same[1:] & (q * _size(b[:-1]) >= p * _size(b[1:]))]  # rows of a key ascend by size
             at = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
             ca, cb = a[at], b[at]
             if last is not None:
-                same[0] = last[6]
+                near[0] = last[6]
                 carried = at == 0
                 ca, cb = np.where(carried, last[3], ca), np.where(carried, last[4], cb)
-            keep = same | np.r_[k[1:] == k[:-1], False]
-            last = (k[-1:], a[-1:], b[-1:], ca[-1], cb[-1], sc[-1], bool(same[-1]))
+            keep = near | np.r_[near[1:], False]
+            last = (k[-1:], a[-1:], b[-1:], ca[-1], cb[-1], sc[-1], bool(near[-1]))
             out = keep.copy()
             out[-1] = False  # goes with the next batch
             if out.any():
@@ -260,9 +272,9 @@ def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
             a, b, ca, cb = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("a", "b", "ca", "cb"))
             need, ok = needed(_size(b), _size(cb)), np.zeros(len(a), bool)
             for i, (x, y) in enumerate(zip(batch.column("vec").to_pylist(), batch.column("cvec").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
                 g = min(len(x), len(y))
-                ok[i] = np.minimum(folded(x[None], g), folded(y[None], g)).sum() >= need[i]
+                ok[i] = np.minimum(folded(x[None], g), folded(y[None], g)).sum(dtype=np.int64) >= need[i]
             yield pa.RecordBatch.from_arrays([pa.array(z[ok]) for z in (a, b, ca, cb)], names=["a", "b", "ca", "cb"])
 
     return pairs.join(v, ["a", "b"]).join(c, ["ca", "cb"]).select("a", "b", "ca", "cb", "vec", "cvec").mapInArrow(run, "a long, b long, ca long, cb long")
@@ -321,12 +333,13 @@ class RTree:
             if level < depth - 1:
                 left, right = _children(left, right, len(mine[0]) if level < len(self.levels) - 1 else None, len(theirs[0]) if level < len(other.levels) - 1 else None)
             keep = np.zeros(len(left), bool)
-            for at in range(0, len(left), 8192):
-                l, r = left[at : at + 8192], right[at : at + 8192]
+            step = max(64, (1 << 21) // self.vectors.shape[1])
+            for at in range(0, len(left), step):
+                l, r = left[at : at + step], right[at : at + step]
                 p, q = SIMILARITY
                 fits = (q * mine[2][l] >= p * theirs[1][r]) & (q * theirs[2][r] >= p * mine[1][l])
-                bound = np.minimum(mine[0][l], theirs[0][r]).sum(1)
-                keep[at : at + 8192] = fits & (bound >= needed(mine[1][l], theirs[1][r]))
+                bound = np.minimum(mine[0][l], theirs[0][r]).sum(1, dtype=np.int64)
+                keep[at : at + step] = fits & (bound >= needed(mine[1][l], theirs[1][r]))
             left, right = left[keep], right[keep]
         return self.order[left], other.order[right]
 
@@ -358,7 +371,7 @@ def _tree_pairs(members: DataFrame, vectors: DataFrame) -> DataFrame:
             roots: dict = {}
             comp = np.array([roots.setdefault((r[2], r[3]), len(roots)) for r in rows_])
             block = np.array([r[4] for r in rows_])
-            vecs = [np.frombuffer(r[5], "<u2") for r in rows_]
+            vecs = [np.frombuffer(r[5], np.uint8) for r in rows_]
             classes = _size_class(b)
             found = []
             for sc in np.unique(classes):
@@ -408,44 +421,59 @@ def _mixed_crowds(crowds: DataFrame, roots: DataFrame) -> DataFrame:
     return dealt.select(F.col("key").alias("crowd"), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "a", "b", "ra", "rb")
 
 
-def _wanted_texts(docs: DataFrame, crowds: DataFrame, words: int) -> DataFrame:
-    """One text for each class of a crowd. A bounded filter keeps most other texts from being sent; the join is exact."""
-    spark = docs.sparkSession
-    wanted = crowds.select("a", "b").distinct()
+def _wanted_texts(rows: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b, text): one text for each class of the pairs. A bounded filter keeps most other texts from being sent; the joins are exact."""
+    wanted = pairs.select("a", "b").union(pairs.select("ca", "cb")).distinct()
+    wanted = saved(members.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min("th").alias("th")), "wanted")
 
     def marks(batches):
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
-            at = batch.column("a").to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(FILTER_BITS)
+            at = batch.column("th").to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(FILTER_BITS)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
         yield _partial_sums(bits, pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
 
-    chunks = _reduced(wanted.mapInArrow(marks, "chunk int, counts binary"), "u1", np.bitwise_or)
-    shared = spark.sparkContext.broadcast(_spread(chunks, FILTER_BITS // 8, "u1"))
+    chunks = _reduced(wanted.select("th").mapInArrow(marks, "chunk int, counts binary"), "u1", np.bitwise_or)
+    shared = rows.sparkSession.sparkContext.broadcast(_spread(chunks, FILTER_BITS // 8, "u1"))
 
     def run(batches):
         bits, seen = shared.value, set()
         for batch in batches:
-            out = []
-            for value in batch.column("text"):
-                text = value.as_py()
-                s = shingles(text, words)
-                if not len(s):
-                    continue
-                a, b = identity(s)
-                at = (a % (1 << 64)) % FILTER_BITS
-                if bits[at >> 3] >> (at & 7) & 1 and _once(seen, (a, b)):
-                    out.append((a, b, text))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], names=["a", "b", "text"])
+            th = batch.column("th").to_numpy(zero_copy_only=False)
+            at = th.view(np.uint64) % np.uint64(FILTER_BITS)
+            marked = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            first = [i for i in np.flatnonzero(marked).tolist() if _once(seen, (int(th[i]), 0))]
+            yield batch.take(pa.array(first, pa.int64()))
 
-    found = docs.select("text").mapInArrow(run, "a long, b long, text string")
-    return found.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("text").alias("text"))
+    found = rows.select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, "th long, text string").join(wanted, "th")
+    return saved(found.groupBy("a", "b").agg(F.first("text").alias("text")), "texts")
 
 
 def _links(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.struct("b", "a").alias("u"), F.struct(F.col("cb").alias("b"), F.col("ca").alias("a")).alias("v"))
 
 
+def _round_pairs(mixed_crowds: DataFrame, k: int) -> DataFrame:
+    """Every member of a mixed crowd with one member of its size class that is of another component; who that is changes with k."""
+    rows = mixed_crowds.where("i = j").select("crowd", "a", "b", "ra", "rb", F.floor(F.log(F.greatest(F.shiftright("b", _SIZE_SHIFT), F.lit(1))) / math.log(1.25) + 1e-9).alias("class"))
+    centers = rows.groupBy("crowd", "class").agg(F.min_by(F.struct("a", "b", "ra", "rb"), F.xxhash64("a", "b", F.lit(k))).alias("c"))
+    pairs = rows.join(centers, ["crowd", "class"]).where("ra != c.ra or rb != c.rb")
+    first = F.least(F.struct("b", "a"), F.struct(F.col("c.b").alias("b"), F.col("c.a").alias("a")))
+    second = F.greatest(F.struct("b", "a"), F.struct(F.col("c.b").alias("b"), F.col("c.a").alias("a")))
+    ordered = pairs.select(second.alias("s"), first.alias("f")).distinct()
+    return ordered.select(F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("f.a").alias("ca"), F.col("f.b").alias("cb"))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) once the components that the links tie are one."""
+    root = F.coalesce(F.col("root"), F.col("x"))
+    lift = lambda df, c: df.withColumnRenamed(c, "x").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn(c, root).drop("x", "root")
+    tops = components(lift(lift(_links(links), "u"), "v"))
+    whole = roots.withColumnRenamed("root", "mid").join(tops.select(F.col("node").alias("mid"), F.col("root").alias("top")), "mid", "left").select("node", F.coalesce("top", "mid").alias("root"))
+    only = tops.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return saved(whole.union(only), "roots")
+
+
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, th, n_shingles, component_id) of every document; th: xxhash64 of the text."""
     spark = docs.sparkSession
@@ -460,17 +488,26 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     p, q = SIMILARITY
     size, csize = F.shiftright("b", _SIZE_SHIFT), F.shiftright("cb", _SIZE_SHIFT)
     stars = crowds.where("a != ca or b != cb").where((q * size >= p * csize) & (q * csize >= p * size)).select("a", "b", "ca", "cb").distinct()
-    texts = saved(_wanted_texts(rows, crowds, words), "texts")
     vectors = saved(vectors.join(crowds.select("a", "b").distinct(), ["a", "b"], "left_semi"), "vectors")
-    first = components(_links(_verified(_bounded(stars, vectors), texts, words)))
-
-    later = _verified(_tree_pairs(_mixed_crowds(crowds, first), vectors), texts, words)
-    root = F.coalesce(F.col("root"), F.col("x"))
-    lift = lambda df, c: df.withColumnRenamed(c, "x").join(first.withColumnRenamed("node", "x"), "x", "left").withColumn(c, root).drop("x", "root")
-    second = components(lift(lift(_links(later), "u"), "v"))
-    whole = first.withColumnRenamed("root", "mid").join(second.select(F.col("node").alias("mid"), F.col("root").alias("top")), "mid", "left").select("node", F.coalesce("top", "mid").alias("root"))
-    only = second.join(first.select("node"), "node", "left_anti").select("node", "root")
-    final = saved(whole.union(only), "roots").select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.col("root").alias("root"))
+    def linked(pairs: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Links among pairs, and how many pairs the bound let through."""
+        let_through = saved(_bounded(pairs, vectors), name)
+        return saved(_verified(let_through, _wanted_texts(rows, let_through, members), words), f"{name}-links"), let_through.count()
+
+    links, _ = linked(stars, "star-pairs")
+    roots = saved(components(_links(links)), "roots")
+    mixed_crowds = saved(_mixed_crowds(crowds, roots), "mixed")
+    for k in range(ROUNDS):
+        links, tried = linked(_round_pairs(mixed_crowds, k), "round-pairs")
+        found = links.count()
+        if found:
+            roots = _merged(roots, links)
+            mixed_crowds = saved(_mixed_crowds(crowds, roots), "mixed")
+        if found * 10 < tried or not found:
+            break
+    far = saved(_tree_pairs(mixed_crowds, vectors), "tree-pairs")
+    roots = _merged(roots, _verified(far, _wanted_texts(rows, far, members), words))
+    final = roots.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.col("root").alias("root"))
 
     classes = members.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("low")).join(final, ["a", "b"], "left")
     classes = saved(classes.select("a", "b", "low", F.coalesce("root", F.struct("b", "a")).alias("root")), "classes")
