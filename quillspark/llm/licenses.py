@@ -1,10 +1,12 @@
 """License scans with a positional index of rare license words.
 
 A-Z are lower-cased; words are runs of digits, a-z and characters beyond ASCII. Templates (short grants and headers) give a
-vocabulary and postings word -> (template, position). One pass counts in how many documents each vocabulary word occurs; then
-each document looks up its license words of highest inverse document frequency, intersects their postings by relative
-position (two different rare words must agree on where a template starts), and verifies the template's key phrase word by
-word. Independently of that, base phrases are found wherever their words stand consecutively.
+vocabulary. One pass counts in how many documents each vocabulary word occurs; every template is then indexed under the words of
+highest inverse document frequency of its own key phrase: postings word -> (template, position). Each document looks up all
+occurrences of the indexed words, intersects their postings by relative position (a template's words must agree on where it
+starts), and verifies the template's key phrase word by word. Wherever a key phrase stands its indexed words stand too, so no
+template is lost, whatever else the text holds. Independently of that, base phrases are found wherever their words stand
+consecutively.
 
 Everything is built-in functions over the words of one document: nothing is shuffled but the bounded word counts.
 
@@ -48,8 +50,8 @@ TEMPLATES = (
     Template("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
 )
 
-#: License words of a document that are looked up.
-RARE_WORDS = 8
+#: Words of its key phrase that a template is indexed under.
+KEY_WORDS = 2
 
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -99,30 +101,35 @@ def _base_places(words: Column) -> Column:
     return F.concat(*[places(phrase.split(), label) for phrase, label in BASE])
 
 
-def _placements(words: Column, rank: dict[str, int], templates, rare_words: int) -> Column:
-    """(template, start) where at least two different rare words agree."""
+def _key_start(template: Template) -> int:
+    """How many words the template has before its key phrase."""
+    return len(f" {template.text} "[: f" {template.text} ".index(f" {template.key} ")].split())
+
+
+def _indexed(template: Template, rank: dict[str, int], key_words: int) -> list[tuple[str, int]]:
+    """The rarest different words of the key phrase, each with its first position there, as one in the template."""
+    key = template.key.split()
+    return [(w, _key_start(template) + key.index(w)) for w in sorted(set(key), key=rank.__getitem__)[:key_words]]
+
+
+def _placements(words: Column, rank: dict[str, int], templates, key_words: int) -> Column:
+    """(template, start) where all words that the template is indexed under agree."""
     postings: dict[str, list] = {}
     for t, template in enumerate(templates):
-        for p, w in enumerate(template.text.split()):
+        for w, p in _indexed(template, rank, key_words):
             postings.setdefault(w, []).append((t, p))
-    order = sorted(postings, key=rank.__getitem__)
-    rank_of = F.create_map(*[x for i, w in enumerate(order) for x in (F.lit(w), F.lit(i))])
-    lists = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]) for w in order])
-    placed = F.filter(F.transform(words, lambda w, i: F.struct(F.element_at(rank_of, w).alias("rank"), i.alias("i"))), lambda x: x["rank"].isNotNull())
-
-    def hits(found: Column) -> Column:
-        rarest = F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["rank"]))), 1, rare_words)
-        chosen = let(rarest, lambda r: F.filter(found, lambda x: F.array_contains(r, x["rank"])))
-        votes = F.flatten(F.transform(chosen, lambda x: F.transform(F.element_at(lists, x["rank"] + 1), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("start")))))
-        return let(F.sort_array(votes), lambda v: F.array_distinct(F.filter(v, lambda x, i: F.coalesce(F.get(v, i - 1) == x, F.lit(False)))))
-
-    return let(placed, hits)
+    lists = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]))])
+    others = F.array(*[F.lit(len(_indexed(t, rank, key_words)) - 1) for t in templates])
+    found = F.filter(F.transform(words, lambda w, i: F.struct(F.element_at(lists, w).alias("at"), i.alias("i"))), lambda x: x["at"].isNotNull())
+    votes = F.flatten(F.transform(found, lambda x: F.transform(x["at"], lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("start")))))
+    # A word has one position in a template, so no placement gets more votes than the template has indexed words.
+    return let(F.sort_array(votes), lambda v: F.filter(v, lambda x, i: F.coalesce(F.get(v, i - F.element_at(others, x["t"] + 1)) == x, F.lit(False))))
 
 
 def _judge(words: Column, placements: Column, templates) -> Column:
     """(label, score) of the placements whose key phrase stands where the template has it; score: share of the template's words in place."""
     texts = F.array(*[F.array(*map(F.lit, t.text.split())) for t in templates])
-    checks = [(t, len(f" {x.text} "[: f" {x.text} ".index(f" {x.key} ")].split()), x.key.split()) for t, x in enumerate(templates)]
+    checks = [(t, _key_start(x), x.key.split()) for t, x in enumerate(templates)]
 
     def holds(p: Column) -> Column:
         test = F.lit(False)
@@ -135,14 +142,14 @@ def _judge(words: Column, placements: Column, templates) -> Column:
     return F.transform(F.filter(placements, holds), lambda p: F.struct(F.element_at(labels, p["t"] + 1).alias("label"), share(p).alias("score")))
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, rare_words: int = RARE_WORDS) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, key_words: int = KEY_WORDS) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels and score (1 where a base phrase stands, else the best template's)."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS])
     frequency, _ = document_frequency(docs, text, templates)
     rank = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
     whole = F.coalesce(F.col(text), F.lit(""))
     empty = F.struct(F.array().cast("array<struct<label:string,start:bigint>>").alias("base"), F.array().cast("array<struct<label:string,score:double>>").alias("found"))
-    scanned = let(words_of(F.col(text)), lambda w: F.struct(_base_places(w).alias("base"), _judge(w, _placements(w, rank, templates, rare_words), templates).alias("found")))
+    scanned = let(words_of(F.col(text)), lambda w: F.struct(_base_places(w).alias("base"), _judge(w, _placements(w, rank, templates, key_words), templates).alias("found")))
     step = docs.select("*", F.regexp_count(whole, F.lit(_WORD)).cast("long").alias("n_words"), F.when(_may_hold(whole, templates), scanned).otherwise(empty).alias("_scan"))
     base, found = F.col("_scan.base"), F.col("_scan.found")
     starts = F.transform(base, lambda x: x["start"])

@@ -394,3 +394,39 @@ def test_license_key_phrase_is_required(spark):
     df = spark.createDataFrame([(1, "the gnu general public was licensed under version 3 of the license"), (2, "x permission is hereby granted free of charge to any person obtaining a copy of this software")], "doc_id long, text string")
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(df).collect()}
     assert got[1] == ("", 0.0) and got[2][0] == "mit" and 0.5 < got[2][1] < 1
+
+
+def judged(text):
+    """Labels and score by trying every template at every word."""
+    words, found, labels = plain_words(text), [], set()
+    for phrase, label in licenses.BASE:
+        p = phrase.split()
+        labels |= {label for i in range(len(words)) if words[i : i + len(p)] == p}
+    score = 1.0 if labels else 0.0
+    for t in licenses.TEMPLATES:
+        whole, key = t.text.split(), t.key.split()
+        before = next(i for i in range(len(whole)) if whole[i : i + len(key)] == key)
+        for i in range(len(words)):
+            if words[i : i + len(key)] == key:
+                found.append(sum(0 <= i - before + j < len(words) and words[i - before + j] == w for j, w in enumerate(whole)) / len(whole))
+                labels.add(t.label)
+    return ",".join(sorted(labels)), max([score, *found])
+
+
+def test_several_licenses_in_a_text(spark):
+    r = random.Random(3)
+    mit, gpl, bsd = (next(t.text for t in licenses.TEMPLATES if t.label == x and len(t.key) > 25) for x in ("mit", "gpl-3", "bsd"))
+    texts = [f"{mit}. {gpl}", f"{bsd} -- {mit} -- {gpl}", " ".join(t.text for t in licenses.TEMPLATES), " ".join(t.key for t in licenses.TEMPLATES)]
+    texts += [f"{prose(40)} any associated charge copy documentation files free obtaining person software {prose(40)} {t.key} 7" for t in licenses.TEMPLATES]
+    words = sorted({w for t in licenses.TEMPLATES for w in t.text.split()})
+    for _ in range(30):
+        parts = [r.choice(licenses.TEMPLATES).text for _ in range(r.randint(1, 4))] + [" ".join(r.choice(words) for _ in range(15)) for _ in range(2)]
+        r.shuffle(parts)
+        cut = " ".join(parts).split()
+        for _ in range(3):
+            cut[r.randrange(len(cut))] = r.choice(words)
+        texts.append(" ".join(cut[r.randint(0, 6) :]))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i] == (judged(t)[0], pytest.approx(judged(t)[1])), t
