@@ -7,6 +7,9 @@ combination of votes and span features occurs in all documents: at most 4^7 coun
 counts expectation-maximisation estimates how reliable each labeler is and how likely each combination is personal data; a
 logistic span classifier is trained on these probabilities and decides every candidate.
 
+A run that only shares characters with a base span (digits of a token that pass as a card number, say) is a candidate like any
+other, so secrets may overlap base spans; redaction merges what overlaps. Runs wholly inside a base span are none.
+
 Offsets are code points, end exclusive; matches are the leftmost non-overlapping ones of each kind. The patterns are written so
 that a match never runs back over what it has passed: long texts take linear time.
 
@@ -116,9 +119,9 @@ PRIOR_WEIGHT = 0.2
 
 
 def candidates(text: Column, taken: Column) -> Column:
-    """Runs that may be credentials, with 24 characters before them and one after; those that touch a base span are left out."""
+    """Runs that may be credentials, with 24 characters before them; those that lie wholly inside a base span are left out."""
     runs = F.filter(spans(text, CANDIDATE), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]"))
-    free = lambda x: ~F.exists(taken, lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"]))
+    free = lambda x: ~F.exists(taken, lambda t: (t["start"] <= x["start"]) & (x["end"] <= t["end"]))
     around = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.substring(text, F.greatest(x["start"].cast("int") - 23, F.lit(1)), F.least(F.lit(24), x["start"].cast("int"))).alias("before"))
     kind = "array<struct<start:bigint,end:bigint,text:string,before:string>>"
     return F.when(text.rlike("[A-Za-z_+/-][0-9]|[0-9][A-Za-z_+/-]"), F.transform(F.filter(runs, free), around).cast(kind)).otherwise(F.array().cast(kind))

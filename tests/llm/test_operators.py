@@ -212,6 +212,19 @@ def test_secrets_and_redaction(docs):
     assert all(untouched[i] == TEXTS[i] for i in untouched)
 
 
+def test_secrets_that_overlap_base_spans(spark, docs):
+    tokens = ["1beb4111111111111111ad40cdbb6ae7f578ae00", "4111111111111111abcdef0123456789abcdef01", "b7db7aa4+12025550123a5fcc78305"]
+    rows = [(100 + i, f'key {i}, token = "{t}" end', "en", "s", 1) for i, t in enumerate(tokens)] + [(200, "to a1b2c3d4@x-y1234567.com", "en", "s", 1)]
+    both = docs.union(spark.createDataFrame(rows, DOCS))
+    got = {r.doc_id: r.pii for r in pii.find_pii(both).where("doc_id >= 100").collect()}
+    cut = {r.doc_id: r.text for r in pii.redact(both).where("doc_id >= 100").collect()}
+    for i, t in enumerate(tokens):
+        p = got[100 + i]
+        assert [x.text for x in p.secret] == [t] and len(p.card) + len(p.phone) == 1
+        assert cut[100 + i] == f'key {i}, token = "[{"CARD" if t.startswith("4111") else "SECRET"}]" end'
+    assert got[200].secret == [] and cut[200] == "to [EMAIL]"
+
+
 def test_labelers_are_weighed():
     counts = {"1-111-3": 400, "-11---2": 300, "-000-00": 5000, "----1-1": 40, "-0----1": 900}
     assert set(pii.accepted(counts)) >= {"1-111-3", "-11---2"} and not {"-000-00", "-0----1"} & set(pii.accepted(counts))
