@@ -474,8 +474,8 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return saved(whole.union(only), "roots")
 
 
-def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id) of every document; th: xxhash64 of the text."""
+def _rooted(docs: DataFrame, doc_id: str, text: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n, a, b) of every document, with a and b for its set of shingles, and (a, b, root) of every set with links."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     profile = saved(_profile(rows.select("doc_id", "text", F.xxhash64("text").alias("th")), words), "profile")
@@ -507,8 +507,12 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
             break
     far = saved(_tree_pairs(mixed_crowds, vectors), "tree-pairs")
     roots = _merged(roots, _verified(far, _wanted_texts(rows, far, members), words))
-    final = roots.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.col("root").alias("root"))
+    return members, roots.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.col("root").alias("root"))
 
+
+def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id) of every document; th: xxhash64 of the text."""
+    members, final = _rooted(docs, doc_id, text, words)
     classes = members.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("low")).join(final, ["a", "b"], "left")
     classes = saved(classes.select("a", "b", "low", F.coalesce("root", F.struct("b", "a")).alias("root")), "classes")
     lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("k"))
@@ -519,8 +523,14 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """docs with one document of each component (that with the smallest id); documents without words all stay."""
-    found = classify(docs, doc_id, text, words).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """docs with one document of each component: that with the smallest id, of such texts that with the smallest hash; a null id comes last.
+
+    Components are told apart by their root, as their ids may be null or repeated. Documents without words all stay.
+    """
+    members, final = _rooted(docs, doc_id, text, words)
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("low")
+    classes = members.where("n > 0").groupBy("a", "b").agg(low).join(final, ["a", "b"], "left").select("low", F.coalesce("root", F.struct("b", "a")).alias("root"))
+    found = classes.groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.th").union(members.where("n = 0").select("doc_id", "th"))
     stay = found.select(F.col("doc_id").alias("_stay_id"), F.col("th").alias("_stay_th")).distinct()
     kept = docs.join(stay, docs[doc_id].cast("long").eqNullSafe(F.col("_stay_id")) & (F.xxhash64(docs[text]) == F.col("_stay_th")), "left_semi")
     mark = F.when(F.coalesce(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == "", F.monotonically_increasing_id())

@@ -297,6 +297,19 @@ def test_near_duplicates(spark, docs, none):
     assert ngramjoin.classify(none).count() == 0 and ngramjoin.keep_one(none).count() == 0
 
 
+def test_one_of_each_group_with_null_and_repeated_ids(spark):
+    near = [[prose(200, seed), prose(200, seed) + " one", prose(200, seed) + " one two"] for seed in (21, 22, 23, 24)]
+    ids = [(None, None, None), (None, None, None), (7, 7, 9), (7, 7, None)]
+    rows = [(i, t, "en", "s", 1) for k in range(4) for i, t in zip(ids[k], near[k], strict=True)] + [(None, near[0][0], "en", "s", 1), (None, " ", "en", "s", 1), (None, None, "en", "s", 1)]
+    for data in (rows, rows[::-1]):
+        kept = [(r.doc_id, r.text) for r in ngramjoin.keep_one(spark.createDataFrame(data, DOCS)).collect()]
+        groups = [[(i, t) for i, t in kept if t in near[k]] for k in range(4)]
+        assert [len(g) for g in groups] == [1, 1, 1, 1] and [g[0][0] for g in groups] == [None, None, 7, 7]
+        assert len(kept) == 6 and {(None, " "), (None, None)} < set(kept)
+        assert data is rows or sorted(kept, key=str) == first
+        first = sorted(kept, key=str)
+
+
 def test_rtree_join_is_exact():
     r = np.random.default_rng(1)
     for n in (1, 5, 40, 300):
