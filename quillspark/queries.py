@@ -171,8 +171,8 @@ def a22(spark, d):
 
 @query("q14_hashed_vectors")
 def q14(spark, d):
-    b = read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return S.hashed_vectors(b, S.idf(b))
+    docs = _docs(spark, d).select("doc_id", "text")
+    return S.hashed_vectors(docs, S.idf(docs))
 
 
 def _graded(spark, d):

@@ -1,8 +1,14 @@
 """Business documents: extraction, queries, search and metrics on small cases."""
 
+import math
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import queries
+from quillspark.functions import text as T
 from quillspark.functions import values as V
 from quillspark.operators import metrics as M
 from quillspark.operators.classify import wording_type
@@ -71,3 +77,21 @@ def test_ranking(spark):
     got = {(r.query_id, r.k): r for r in M.ranking_metrics(hits, qrels, (1, 3)).collect()}
     assert got[1, 1].precision == 1.0 and got[1, 1].recall == 0.5 and got[1, 3].rr == 1.0 and got[2, 3].ndcg == 0.0
     assert got[1, 3].ndcg == pytest.approx((1 + 7 / 1.5849625) / (7 + 1 / 1.5849625))
+
+
+def test_hashed_vectors(spark, tmp_path):
+    texts = ["Red invoice red total 42", "blue INVOICE", None, "", "the ... -", "total total zebra", "é"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = [[x for w in re.findall("[a-z0-9]+", (t or "").lower()) if w not in T.STOP_WORDS for x in [w, *T.SYNONYMS.get(w, [])]] for t in texts]
+    df, want = Counter(w for ws in words for w in set(ws)), {}
+    for i, ws in enumerate(words):
+        sums = Counter()
+        for w in ws:
+            h = 0
+            for c in w:
+                h = (h * 131 + ord(c)) % 256
+            sums[h] += math.log((1 + len(texts)) / (1 + df[w])) + 1
+        norm = math.sqrt(sum(x * x for x in sums.values()))
+        want |= {(i, h): x / norm for h, x in sums.items()} or {(i, None): 0.0}
+    got = queries.QUERIES["q14_hashed_vectors"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.bucket): r.weight for r in got} == pytest.approx(want)
