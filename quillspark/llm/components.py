@@ -1,9 +1,13 @@
-"""Connected components of a table of links, by alternating large and small stars; nothing is gathered on the driver."""
+"""Connected components of a table of links, by alternating large and small stars; nothing is gathered on the driver.
+
+Defined cases: links with a null end and links of a node to itself tie nothing; repeated links count once; no links give no rows;
+ties can't occur, as the root is the smallest node. Columns other than u and v are not read.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,15 +27,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(u, v) links of any ordered type to (node, root): root is the smallest node of the component; every linked node has a row."""
-    edges = saved(edges.select("u", "v").where("u != v").distinct(), "links")
-    before = None
-    for _ in range(most_rounds):
-        edges = saved(_small_star(_large_star(edges)).distinct(), "stars")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.xxhash64("v", "u") % 1000033)).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+    with Scratch(edges.sparkSession) as scratch:
+        edges = scratch.saved(edges.select("u", "v").where("u != v").distinct(), "links")
+        before = None
+        for _ in range(most_rounds):
+            last, edges = edges, scratch.saved(_small_star(_large_star(edges)).distinct(), "stars")
+            scratch.drop(last)
+            now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.xxhash64("v", "u") % 1000033)).first())
+            if now == before:
+                break
+            before = now
+        else:
+            raise RuntimeError("components did not settle")
+        scratch.keep(edges)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -9,20 +9,22 @@ The plan, in which no step holds all pairs or an unbounded group:
 1. One scan gives each document its set's identity and count vector (shingles hashed into groups), and the corpus a bounded
    sketch of how frequent shingles are. Documents with equal sets are one class from here on.
 2. Linked sets share one of the first n - ceil(0.8 n) + 1 shingles in any common order; rare ones go first, so a passage
-   that many documents share makes no crowd. Classes that share such a shingle form a crowd.
+   that many documents share makes no crowd. Classes that share such a shingle form a crowd, unless their sizes and the places
+   of the shingle in their orders leave no room for the overlap.
 3. In each crowd and size class all are compared with its first class (a linear number of pairs): the coordinate minima of
    the count vectors bound the overlap, what survives is verified on the shingles, and what links makes components.
-   While crowds hold several components and such comparisons still find links, each member is compared with one of another
-   component, a linear number of pairs a round.
 4. Crowds that still hold several components are packed into R-trees of count vectors (large ones as pairs of blocks). A join
-   of the trees keeps the pairs of different components whose summed coordinate minima can reach the overlap; these are
-   verified. The components of all verified links are the result, the same as that of all links.
+   of the trees finds the pairs of different components whose summed coordinate minima can reach the overlap. Where these are
+   few, they are verified as pairs; where they are more than twice the members, the block's members are sent with their texts
+   to one task, which verifies there and hands on no more links than it has members. The components of all verified links
+   are the result, the same as that of all links.
 
 Count vectors alone can't route the join at scale: random sets of one size lie closer together than the radius of the search,
 so a tree over all documents would visit all pairs. Step 2 therefore deals out documents first, without losing a link.
 
 Defined cases: null texts are empty; repeated rows and copies are members of one class; a null id never is a component's id,
-unless the component has no other; empty tables have no rows. Extra columns pass through link_documents().
+unless the component has no other; very long texts take part whole, and sizes beyond 2^23 shingles are compared by their exact
+overlap only; empty tables have no rows. Columns other than the id and the text pass through keep_one() under whatever names.
 """
 
 import hashlib
@@ -35,19 +37,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import SPACES, Scratch, free_name, table, trimmed
 from .components import components
 
 WORDS = 5
 SIMILARITY = (80, 100)
 #: Cells of the frequency sketch and of the filter of wanted classes: bounds of what is broadcast.
-SKETCH = 1 << 18
-FILTER_BITS = 1 << 25
+SKETCH = 1 << 20
+FILTER_BITS = 1 << 27
 #: Members of a crowd that one task takes at a time, and points in a node of the tree.
-BLOCK = 1024
+BLOCK = 256
 NODE = 16
-#: Rounds of single comparisons, at most, before the trees take what is left.
-ROUNDS = 4
+#: Rows of one key that are looked at together; a key with more passes on in pieces of that many, without the filter by places.
+CARRY = 1 << 16
 _CHUNK = 1 << 12
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(WORDS, 0x9E3779B97F4A7C15, np.uint64)], dtype=np.uint64)
@@ -63,7 +65,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -97,7 +99,7 @@ def identity(s: np.ndarray) -> tuple[int, int]:
 
 
 def groups_for(n: int) -> int:
-    return 1 << min(12, max(4, (max(1, n) // 2).bit_length()))
+    return 1 << min(12, max(4, (max(1, n) // 4).bit_length()))
 
 
 def count_vector(s: np.ndarray) -> bytes:
@@ -120,31 +122,36 @@ def folded(v: np.ndarray, g: int) -> np.ndarray:
     return v.reshape(len(v), g, -1).sum(2, dtype=np.int32) if g < v.shape[1] else v
 
 
-def _partial_sums(counts: np.ndarray, kind) -> pa.RecordBatch:
+def _packed(x: np.ndarray) -> bytes:
+    """Counts in the narrowest unsigned type that holds them; the length tells which."""
+    return x.astype(f"<u{next(w for w in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << (8 * w))}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // _CHUNK}")
+
+
+def _partial_sums(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
     parts = counts.reshape(-1, _CHUNK)
     used = np.flatnonzero(parts.any(1))
-    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], schema=kind)
+    return used.tolist(), [_packed(parts[i]) for i in used]
 
 
-def _reduced(parts: DataFrame, dtype: str, how) -> np.ndarray:
+def _reduced(parts: DataFrame, cells: int, how) -> np.ndarray:
     """Rows (chunk, counts) of partial arrays joined into one array of bounded size."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(data, dtype)
-                sums[c] = how(sums[c], x) if c in sums else x.copy()
+                x = _unpacked(data)
+                sums[c] = how(sums[c], x, dtype=np.uint64) if c in sums else x.astype(np.uint64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
-
-    return {r["chunk"]: np.frombuffer(r["counts"], dtype) for r in parts.repartition("chunk").mapInArrow(run, "chunk int, counts binary").collect()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
-
-def _spread(chunks: dict, size: int, dtype: str) -> np.ndarray:
-    out = np.zeros(size, dtype)
-    for c, x in chunks.items():
-        out[c * _CHUNK : (c + 1) * _CHUNK] = x
+    out = np.zeros(cells, np.uint64)
+    for r in parts.repartition("chunk").mapInArrow(trimmed(run), "chunk int, counts binary").collect():
+        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = _unpacked(r["counts"])
     return out
 
 
@@ -154,6 +161,7 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         sketch = np.zeros(SKETCH, np.int64)
+
         def count(sets: list) -> None:
             if sets:
                 sketch[:] += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
@@ -176,13 +184,12 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
                 [batch.column("doc_id"), batch.column("th"), pa.array(ns, pa.int64()), pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64()), pa.array(vecs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 schema=kind,
             )
-        parts = sketch.reshape(-1, _CHUNK)
-        used = np.flatnonzero(parts.any(1))
-        if len(used):
-            k = len(used)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, f.type) for f in list(kind)[:6]), pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], schema=kind)
+        used, parts = _partial_sums(sketch)
+        if used:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(used), f.type) for f in list(kind)[:6]), pa.array(used, pa.int32()), pa.array(parts, pa.binary())], schema=kind)
+        _hashes().clear()
 
-    return docs.mapInArrow(run, "doc_id long, th long, n long, a long, b long, vec binary, chunk int, counts binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, th long, n long, a long, b long, vec binary, chunk int, counts binary")
 
 
 def _once(seen: set, key: tuple) -> bool:
@@ -196,13 +203,13 @@ def _once(seen: set, key: tuple) -> bool:
 
 
 def _prefix_rows(docs: DataFrame, sketch, words: int) -> DataFrame:
-    """(key, a, b): the rarest n - ceil(0.8 n) + 1 shingles of each class, once a task."""
+    """(key, a, b, place): the rarest n - ceil(0.8 n) + 1 shingles of each class with their places in its order, once a task."""
     p, q = SIMILARITY
 
     def run(batches):
         counts, seen = sketch.value, set()
         for batch in batches:
-            keys, a, b = [], [], []
+            keys, a, b, places = [], [], [], []
             for value in batch.column("text"):
                 s = shingles(value.as_py(), words)
                 if not len(s):
@@ -210,14 +217,16 @@ def _prefix_rows(docs: DataFrame, sketch, words: int) -> DataFrame:
                 who = identity(s)
                 if not _once(seen, who):
                     continue
-                first = np.lexsort((s, counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[: len(s) - -(-p * len(s) // q) + 1]
+                first = np.argsort(counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[: len(s) - -(-p * len(s) // q) + 1]
                 keys.append(s[first])
                 a.append(np.full(len(first), who[0], np.int64))
                 b.append(np.full(len(first), who[1], np.int64))
+                places.append(np.arange(len(first), dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["key", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (a, b, places))], names=["key", "a", "b", "place"])
+        _hashes().clear()
 
-    return docs.mapInArrow(run, "key long, a long, b long")
+    return docs.mapInArrow(trimmed(run), "key long, a long, b long, place int")
 
 
 def _size(b: np.ndarray) -> np.ndarray:
@@ -228,38 +237,79 @@ def _size_class(b: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(_size(b), 1)) / math.log(1.25) + 1e-9).astype(np.int64)
 
 
-def _crowds(rows: DataFrame) -> DataFrame:
-    """Rows of keys with at least two classes of sizes that can link, each with the first class of its key and size class (ca, cb)."""
+def _with_partners(k, b, place, open_first: bool, open_last: bool) -> np.ndarray:
+    """Whether a row's key has another row of a size that it can link with, as far as sizes and the row's own place tell.
+
+    The first common shingle of two linked sets leaves room for the overlap: need(na, nb) <= n - place on both sides.
+    """
     p, q = SIMILARITY
+    wide, top = 1 << (_SIZE_BITS + 1), (1 << _SIZE_BITS) - 1
+    g, s = np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1, _size(b)
+    low, high = -(-p * s // q), np.minimum(q * s // p, ((p + q) * (s - place) - p * s) // p)
+    low, high = np.minimum(low, top), np.where(s == top, wide - 1, np.clip(high, 0, wide - 1))
+    at = g * wide + s
+    found = np.searchsorted(at, g * wide + high, "right") - np.searchsorted(at, g * wide + low, "left")
+    keep = found - ((low <= s) & (s <= high)) > 0
+    if open_first:
+        keep |= g == 0
+    if open_last:
+        keep |= g == g[-1]
+    return keep
+
+
+def _crowds(rows: DataFrame) -> DataFrame:
+    """Rows of keys with at least two classes that can link, each with the first class of its key and size class (ca, cb).
+
+    Of a key with two classes the second is compared with the first, whatever their size classes.
+    """
 
     def run(batches):
-        last = None  # (key, a, b, ca, cb, size class, whether its key has an earlier class of a size near its own)
-        for batch in batches:
-            k, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if last is not None:
-                k, a, b = np.r_[last[0], k], np.r_[last[1], a], np.r_[last[2], b]
+        held, head, open_first = None, None, False  # rows of the last key; (key, size class, ca, cb) of a key that goes on
+
+        def crowd(k, a, b, place, open_last):
+            nonlocal head
             new = np.r_[True, (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            k, a, b = k[new], a[new], b[new]
+            k, a, b, place = k[new], a[new], b[new], place[new]
+            keep = _with_partners(k, b, place, open_first, open_last)
+            k, a, b = k[keep], a[keep], b[keep]
+            if not len(k):
+                return None
+            start = np.r_[True, k[1:] != k[:-1]]
+            n = np.diff(np.r_[np.flatnonzero(start), len(k)])[np.cumsum(start) - 1]
+            ends = (k == k[0]) & open_first | (k == k[-1]) & open_last
+            keep = (n > 1) | ends
+            k, a, b, n, ends = k[keep], a[keep], b[keep], n[keep], ends[keep]
+            if not len(k):
+                return None
             sc = _size_class(b)
             same = np.r_[False, k[1:] == k[:-1]]
-            head = np.r_[True, ~same[1:] | (sc[1:] != sc[:-1])]
-            near = np.r_[False, same[1:] & (q * _size(b[:-1]) >= p * _size(b[1:]))]  # rows of a key ascend by size
-            at = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
+            first = ~same | (np.r_[True, sc[1:] != sc[:-1]] & ((n > 2) | ends))
+            at = np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))
             ca, cb = a[at], b[at]
-            if last is not None:
-                near[0] = last[6]
-                carried = at == 0
-                ca, cb = np.where(carried, last[3], ca), np.where(carried, last[4], cb)
-            keep = near | np.r_[near[1:], False]
-            last = (k[-1:], a[-1:], b[-1:], ca[-1], cb[-1], sc[-1], bool(near[-1]))
-            out = keep.copy()
-            out[-1] = False  # goes with the next batch
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (k, a, b, ca, cb)], names=["key", "a", "b", "ca", "cb"])
-        if last is not None and last[6]:
-            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1]), pa.array(last[2]), pa.array([last[3]]), pa.array([last[4]])], names=["key", "a", "b", "ca", "cb"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "b", "a").mapInArrow(run, "key long, a long, b long, ca long, cb long")
+            if head is not None:
+                on = (k == head[0]) & (sc == head[1])
+                ca, cb = np.where(on, head[2], ca), np.where(on, head[3], cb)
+            head = (k[-1], sc[-1], ca[-1], cb[-1]) if open_last else None
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, a, b, ca, cb)], names=["key", "a", "b", "ca", "cb"])
+
+        for batch in batches:
+            rows_ = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if held is not None:
+                rows_ = [np.concatenate(x) for x in zip(held, rows_, strict=True)]
+            cut = int(np.searchsorted(rows_[0], rows_[0][-1], "left"))
+            hot = len(rows_[0]) - cut > CARRY
+            if hot:
+                cut = len(rows_[0])
+            if cut:
+                out = crowd(*(x[:cut] for x in rows_), hot)
+                open_first = hot
+                if out is not None:
+                    yield out
+            held = None if hot else [x[cut:] for x in rows_]
+        if held is not None and len(held[0]) and (out := crowd(*held, False)) is not None:
+            yield out
+
+    return rows.repartition("key").sortWithinPartitions("key", "b", "a").mapInArrow(trimmed(run), "key long, a long, b long, ca long, cb long")
 
 
 def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -277,7 +327,7 @@ def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
                 ok[i] = np.minimum(folded(x[None], g), folded(y[None], g)).sum(dtype=np.int64) >= need[i]
             yield pa.RecordBatch.from_arrays([pa.array(z[ok]) for z in (a, b, ca, cb)], names=["a", "b", "ca", "cb"])
 
-    return pairs.join(v, ["a", "b"]).join(c, ["ca", "cb"]).select("a", "b", "ca", "cb", "vec", "cvec").mapInArrow(run, "a long, b long, ca long, cb long")
+    return pairs.join(v, ["a", "b"]).join(c, ["ca", "cb"]).select("a", "b", "ca", "cb", "vec", "cvec").mapInArrow(trimmed(run), "a long, b long, ca long, cb long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -305,8 +355,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 if q * inter >= p * (len(center) + len(mine) - inter):
                     out.append((a, b, ca, cb))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["a", "b", "ca", "cb"])
+        _hashes().clear()
 
-    return pairs.join(c, ["ca", "cb"]).join(t, ["a", "b"]).select("a", "b", "ca", "cb", "text", "ctext").mapInArrow(run, "a long, b long, ca long, cb long")
+    return pairs.join(c, ["ca", "cb"]).join(t, ["a", "b"]).select("a", "b", "ca", "cb", "text", "ctext").mapInArrow(trimmed(run), "a long, b long, ca long, cb long")
 
 
 class RTree:
@@ -357,63 +408,135 @@ def _children(left, right, n_left, n_right):
     return pl[ok], pr[ok]
 
 
-def _tree_pairs(members: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(key, block pair) crowds with components to pairs of different components that the trees let through."""
+def _let_through(b: np.ndarray, comp: np.ndarray, block: np.ndarray, vecs: list) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of different components (and blocks, where there are two) that the trees let through."""
+    p, q = SIMILARITY
+    sizes, two = _size(b), bool((block != block[0]).any())
+    if len(b) <= NODE:  # one node: its points are compared at once
+        left, right = [], []
+        for i in range(len(b) - 1):
+            r = slice(i + 1, None)
+            fits = (comp[r] != comp[i]) & (q * sizes[r] >= p * sizes[i]) & (q * sizes[i] >= p * sizes[r]) & ((block[r] != block[i]) | (not two))
+            for j in (np.flatnonzero(fits) + i + 1).tolist():
+                g = min(len(vecs[i]), len(vecs[j]))
+                if np.minimum(folded(vecs[i][None], g), folded(vecs[j][None], g)).sum(dtype=np.int64) >= needed(sizes[i], sizes[j]):
+                    left.append(i)
+                    right.append(j)
+        return np.array(left, np.int64), np.array(right, np.int64)
+    classes, found = _size_class(b), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for sc in np.unique(classes):
+        # a link never reaches beyond the next two classes of sizes
+        own = np.flatnonzero(classes == sc)
+        for there in (sc, sc + 1, sc + 2):
+            others = np.flatnonzero(classes == there)
+            if not len(others):
+                continue
+            g = min(min(len(vecs[i]) for i in own), min(len(vecs[i]) for i in others))
+            pack = lambda at: RTree(sizes[at], np.vstack([folded(vecs[i][None], g)[0] for i in at]))  # noqa: B023, E731
+            l, r = pack(own).pairs(pack(others))
+            l, r = own[l], others[r]
+            ok = (comp[l] != comp[r]) & ((l < r) if there == sc else True) & ((block[l] != block[r]) | (not two))
+            found.append((l[ok], r[ok]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _grouped(batches, names: tuple[str, ...]):
+    """Rows of a sorted stream of batches as lists of columns, one for each (crowd, i, j)."""
+    held, rows = None, []
+    for batch in batches:
+        for crowd, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("crowd", "i", "j", *names)), strict=True):
+            if (crowd, i, j) != held:
+                if len(rows) > 1:
+                    yield held, list(zip(*rows, strict=True))
+                held, rows = (crowd, i, j), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield held, list(zip(*rows, strict=True))
+
+
+def _numbered(ra, rb) -> np.ndarray:
+    roots: dict = {}
+    return np.array([roots.setdefault(r, len(roots)) for r in zip(ra, rb, strict=True)])
+
+
+def _tree_rows(members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Blocks of crowds to the pairs that the trees let through (a, b, ca, cb); or, where these are more than twice the members,
+    to the members that stand in any of them (a, b, ra, rb, crowd, i, j)."""
     rows = members.join(vectors.select("a", "b", "vec"), ["a", "b"])
+    kind = pa.schema([(c, pa.int64()) for c in ("a", "b", "ca", "cb", "ra", "rb", "crowd")] + [("i", pa.int32()), ("j", pa.int32())])
 
     def run(batches):
-        held, rows_ = None, []
+        for (crowd, i, j), (a, b, ra, rb, block, vecs) in _grouped(batches, ("a", "b", "ra", "rb", "block", "vec")):
+            a, b, ra, rb = (np.array(x, np.int64) for x in (a, b, ra, rb))
+            l, r = _let_through(b, _numbered(ra.tolist(), rb.tolist()), np.array(block), [np.frombuffer(v, np.uint8) for v in vecs])
+            if not len(l):
+                continue
+            if len(l) > 2 * len(a):
+                at = np.unique(np.r_[l, r])
+                cols, tail = [a[at], b[at], None, None, ra[at], rb[at]], (crowd, i, j)
+            else:
+                swap = (b[l] > b[r]) | ((b[l] == b[r]) & (a[l] > a[r]))
+                l, r = np.where(swap, r, l), np.where(swap, l, r)
+                cols, tail = [a[r], b[r], a[l], b[l], None, None], (None, None, None)
+            n = len(cols[0])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in cols), *(pa.array([t] * n, kind.field(6 + m).type) for m, t in enumerate(tail))], schema=kind)
 
-        def flush():
-            if len(rows_) < 2:
-                return None
-            a, b = np.array([r[0] for r in rows_]), np.array([r[1] for r in rows_])
-            roots: dict = {}
-            comp = np.array([roots.setdefault((r[2], r[3]), len(roots)) for r in rows_])
-            block = np.array([r[4] for r in rows_])
-            vecs = [np.frombuffer(r[5], np.uint8) for r in rows_]
-            classes = _size_class(b)
-            found = []
-            for sc in np.unique(classes):
-                # a link never reaches beyond the next two classes of sizes
-                own = np.flatnonzero(classes == sc)
-                for there in (sc, sc + 1, sc + 2):
-                    others = np.flatnonzero(classes == there)
-                    if not len(others):
-                        continue
-                    g = min(min(len(vecs[i]) for i in own), min(len(vecs[i]) for i in others))
-                    pack = lambda at: RTree(_size(b[at]), np.vstack([folded(vecs[i][None], g)[0] for i in at]))  # noqa: B023, E731
-                    l, r = pack(own).pairs(pack(others))
-                    l, r = own[l], others[r]
-                    two = len(np.unique(block)) > 1
-                    ok = (comp[l] != comp[r]) & (l != r) & ((l < r) if there == sc else True) & ((block[l] != block[r]) if two else True)
-                    found.append((l[ok], r[ok]))
-            l, r = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            swap = (b[l] > b[r]) | ((b[l] == b[r]) & (a[l] > a[r]))
-            l, r = np.where(swap, r, l), np.where(swap, l, r)
-            return pa.RecordBatch.from_arrays([pa.array(a[r]), pa.array(b[r]), pa.array(a[l]), pa.array(b[l])], names=["a", "b", "ca", "cb"])
+    dealt = rows.repartition("crowd", "i", "j").sortWithinPartitions("crowd", "i", "j", "a", "b")
+    return dealt.select("crowd", "i", "j", "a", "b", "ra", "rb", "block", "vec").mapInArrow(trimmed(run), "a long, b long, ca long, cb long, ra long, rb long, crowd long, i int, j int")
+
+
+def overlaps(sets: list) -> np.ndarray:
+    """How many shingles each two of a block's sets share: products of incidence matrices, some thousand shingles at a time."""
+    lengths = np.array([len(s) for s in sets])
+    values, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    column = np.cumsum(n > 1) - 1  # shingles of one set alone count nowhere
+    shared = (n > 1)[at]
+    owner, column = owner[shared], column[at[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out, width = np.zeros((len(sets), len(sets)), np.float64), 1 << 12
+    for low in range(0, int((n > 1).sum()), width):
+        own = slice(*np.searchsorted(column, (low, low + width)))
+        x = np.zeros((len(sets), width), np.float32)
+        x[owner[own], column[own] - low] = 1
+        out += x @ x.T
+    return out.astype(np.int64)
+
+
+def _dense_links(dense: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Members of dense blocks, verified inside one task a block: at most one link for each component that joins another."""
+    p, q = SIMILARITY
+    rows = dense.join(texts.select("a", "b", "text"), ["a", "b"])
 
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("crowd", "i", "j", "a", "b", "ra", "rb", "block", "vec")]
-            for crowd, i, j, *row in zip(*cols, strict=True):
-                if (crowd, i, j) != held:
-                    if held is not None and (out := flush()) is not None:
-                        yield out
-                    held, rows_ = (crowd, i, j), []
-                rows_.append(row)
-        if held is not None and (out := flush()) is not None:
-            yield out
+    def run(batches):
+        for _, (a, b, ra, rb, found) in _grouped(batches, ("a", "b", "ra", "rb", "text")):
+            comp = _numbered(ra, rb)
+            sets = [shingles(t, words) for t in found]
+            n, inter = np.array([len(s) for s in sets]), overlaps(sets)
+            alike = (q * inter >= p * (n[:, None] + n[None] - inter)) & (comp[:, None] != comp[None])
+            out = []
+            for i in range(len(a)):
+                while len(js := np.flatnonzero(alike[i] & (comp != comp[i]))):
+                    j = int(js[0])
+                    out.append((a[i], b[i], a[j], b[j]))
+                    comp[comp == comp[j]] = comp[i]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["a", "b", "ca", "cb"])
+        _hashes().clear()
 
     dealt = rows.repartition("crowd", "i", "j").sortWithinPartitions("crowd", "i", "j", "a", "b")
-    return dealt.select("crowd", "i", "j", "a", "b", "ra", "rb", "block", "vec").mapInArrow(run, "a long, b long, ca long, cb long").distinct()
+    return dealt.select("crowd", "i", "j", "a", "b", "ra", "rb", "text").mapInArrow(trimmed(run), "a long, b long, ca long, cb long")
 
 
 def _mixed_crowds(crowds: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of crowds with several components, each crowd of the same members once, dealt into pairs of blocks."""
+    """Members of crowds with several components, each crowd of the same members once, dealt into pairs of blocks.
+
+    A crowd of two has been compared already.
+    """
     known = roots.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.col("root.a").alias("ra"), F.col("root.b").alias("rb"))
     rows = crowds.select("key", "a", "b").join(known, ["a", "b"], "left").select("key", "a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
     per_key = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"), F.min(F.struct("rb", "ra")).alias("lo"), F.max(F.struct("rb", "ra")).alias("hi"))
-    several = per_key.where("lo != hi").groupBy("n", "sum").agg(F.min("key").alias("key"))
+    several = per_key.where("n > 2 and lo != hi").groupBy("n", "sum").agg(F.min("key").alias("key"))
     mine = rows.join(several.select("key", "n"), "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("a", "b", F.lit(7)), blocks).cast("int")
@@ -421,100 +544,92 @@ def _mixed_crowds(crowds: DataFrame, roots: DataFrame) -> DataFrame:
     return dealt.select(F.col("key").alias("crowd"), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "a", "b", "ra", "rb")
 
 
-def _wanted_texts(rows: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b, text): one text for each class of the pairs. A bounded filter keeps most other texts from being sent; the joins are exact."""
-    wanted = pairs.select("a", "b").union(pairs.select("ca", "cb")).distinct()
-    wanted = saved(members.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min("th").alias("th")), "wanted")
+def _wanted_texts(rows: DataFrame, wanted: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, text): one text for each class in wanted. A bounded filter keeps most other texts from being sent; the joins are exact."""
+    wanted = scratch.saved(members.join(wanted.distinct(), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min("th").alias("th")), "wanted")
+    bits = min(FILTER_BITS, max(8 * _CHUNK, 1 << (16 * wanted.count()).bit_length()))
 
     def marks(batches):
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        mine = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            at = batch.column("th").to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(FILTER_BITS)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
-        yield _partial_sums(bits, pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
+            at = batch.column("th").to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(bits)
+            np.bitwise_or.at(mine, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+        used, parts = _partial_sums(mine)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
 
-    chunks = _reduced(wanted.select("th").mapInArrow(marks, "chunk int, counts binary"), "u1", np.bitwise_or)
-    shared = rows.sparkSession.sparkContext.broadcast(_spread(chunks, FILTER_BITS // 8, "u1"))
+    marked = _reduced(wanted.select("th").mapInArrow(marks, "chunk int, counts binary"), bits // 8, np.bitwise_or).astype(np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(marked)
 
     def run(batches):
-        bits, seen = shared.value, set()
+        mine, seen = shared.value, set()
         for batch in batches:
             th = batch.column("th").to_numpy(zero_copy_only=False)
-            at = th.view(np.uint64) % np.uint64(FILTER_BITS)
-            marked = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            first = [i for i in np.flatnonzero(marked).tolist() if _once(seen, (int(th[i]), 0))]
+            at = th.view(np.uint64) % np.uint64(bits)
+            hit = (mine[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            first = [i for i in np.flatnonzero(hit).tolist() if _once(seen, (int(th[i]), 0))]
             yield batch.take(pa.array(first, pa.int64()))
 
-    found = rows.select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, "th long, text string").join(wanted, "th")
-    return saved(found.groupBy("a", "b").agg(F.first("text").alias("text")), "texts")
+    found = rows.select(F.xxhash64("text").alias("th"), "text").mapInArrow(trimmed(run), "th long, text string").join(wanted, "th")
+    texts = scratch.saved(found.groupBy("a", "b").agg(F.first("text").alias("text")), "texts")
+    shared.destroy()
+    return texts
 
 
 def _links(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.struct("b", "a").alias("u"), F.struct(F.col("cb").alias("b"), F.col("ca").alias("a")).alias("v"))
 
 
-def _round_pairs(mixed_crowds: DataFrame, k: int) -> DataFrame:
-    """Every member of a mixed crowd with one member of its size class that is of another component; who that is changes with k."""
-    rows = mixed_crowds.where("i = j").select("crowd", "a", "b", "ra", "rb", F.floor(F.log(F.greatest(F.shiftright("b", _SIZE_SHIFT), F.lit(1))) / math.log(1.25) + 1e-9).alias("class"))
-    centers = rows.groupBy("crowd", "class").agg(F.min_by(F.struct("a", "b", "ra", "rb"), F.xxhash64("a", "b", F.lit(k))).alias("c"))
-    pairs = rows.join(centers, ["crowd", "class"]).where("ra != c.ra or rb != c.rb")
-    first = F.least(F.struct("b", "a"), F.struct(F.col("c.b").alias("b"), F.col("c.a").alias("a")))
-    second = F.greatest(F.struct("b", "a"), F.struct(F.col("c.b").alias("b"), F.col("c.a").alias("a")))
-    ordered = pairs.select(second.alias("s"), first.alias("f")).distinct()
-    return ordered.select(F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("f.a").alias("ca"), F.col("f.b").alias("cb"))
-
-
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) once the components that the links tie are one."""
     root = F.coalesce(F.col("root"), F.col("x"))
     lift = lambda df, c: df.withColumnRenamed(c, "x").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn(c, root).drop("x", "root")
     tops = components(lift(lift(_links(links), "u"), "v"))
     whole = roots.withColumnRenamed("root", "mid").join(tops.select(F.col("node").alias("mid"), F.col("root").alias("top")), "mid", "left").select("node", F.coalesce("top", "mid").alias("root"))
     only = tops.join(roots.select("node"), "node", "left_anti").select("node", "root")
-    return saved(whole.union(only), "roots")
+    return scratch.saved(whole.union(only), "roots")
 
 
-def _rooted(docs: DataFrame, doc_id: str, text: str, words: int) -> tuple[DataFrame, DataFrame]:
+def _rooted(docs: DataFrame, doc_id: str, text: str, words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, n, a, b) of every document, with a and b for its set of shingles, and (a, b, root) of every set with links."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    profile = saved(_profile(rows.select("doc_id", "text", F.xxhash64("text").alias("th")), words), "profile")
+    profile = scratch.saved(_profile(rows.select("doc_id", "text", F.xxhash64("text").alias("th")), words), "profile")
     members = profile.where("chunk is null").select("doc_id", "th", "n", "a", "b")
-    vectors = profile.where("chunk is null and n > 0").groupBy("a", "b").agg(F.first("vec").alias("vec"))
-    sketch = _spread(_reduced(profile.where("chunk is not null").select("chunk", "counts"), "<i8", np.add), SKETCH, "<i8")
-    shared = spark.sparkContext.broadcast(sketch)
-    crowds = saved(_crowds(_prefix_rows(rows.select("text"), shared, words)), "crowds")
+    sketch = _reduced(profile.where("chunk is not null").select("chunk", "counts"), SKETCH, np.add)
+    shared = spark.sparkContext.broadcast(np.minimum(sketch, (1 << 32) - 1).astype(np.uint32))
+    crowds = scratch.saved(_crowds(_prefix_rows(rows.select("text"), shared, words)), "crowds")
+    shared.destroy()
 
     p, q = SIMILARITY
     size, csize = F.shiftright("b", _SIZE_SHIFT), F.shiftright("cb", _SIZE_SHIFT)
     stars = crowds.where("a != ca or b != cb").where((q * size >= p * csize) & (q * csize >= p * size)).select("a", "b", "ca", "cb").distinct()
-    vectors = saved(vectors.join(crowds.select("a", "b").distinct(), ["a", "b"], "left_semi"), "vectors")
-    def linked(pairs: DataFrame, name: str) -> tuple[DataFrame, int]:
-        """Links among pairs, and how many pairs the bound let through."""
-        let_through = saved(_bounded(pairs, vectors), name)
-        return saved(_verified(let_through, _wanted_texts(rows, let_through, members), words), f"{name}-links"), let_through.count()
-
-    links, _ = linked(stars, "star-pairs")
-    roots = saved(components(_links(links)), "roots")
-    mixed_crowds = saved(_mixed_crowds(crowds, roots), "mixed")
-    for k in range(ROUNDS):
-        links, tried = linked(_round_pairs(mixed_crowds, k), "round-pairs")
-        found = links.count()
-        if found:
-            roots = _merged(roots, links)
-            mixed_crowds = saved(_mixed_crowds(crowds, roots), "mixed")
-        if found * 10 < tried or not found:
-            break
-    far = saved(_tree_pairs(mixed_crowds, vectors), "tree-pairs")
-    roots = _merged(roots, _verified(far, _wanted_texts(rows, far, members), words))
+    vectors = profile.where("chunk is null and n > 0").select("a", "b", "vec").join(crowds.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    vectors = scratch.saved(vectors.groupBy("a", "b").agg(F.first("vec").alias("vec")), "vectors")
+    ends = lambda pairs: pairs.select("a", "b").union(pairs.select("ca", "cb"))
+
+    near = scratch.saved(_bounded(stars, vectors), "star-pairs")
+    texts = _wanted_texts(rows, ends(near), members, scratch)
+    roots = scratch.saved(components(_links(_verified(near, texts, words))), "roots")
+    scratch.drop(texts, near)
+    far = scratch.saved(_tree_rows(_mixed_crowds(crowds, roots), vectors), "tree-rows")
+    scratch.drop(crowds, vectors)
+    pairs, dense = far.where("crowd is null").select("a", "b", "ca", "cb").distinct(), far.where("crowd is not null").drop("ca", "cb")
+    texts = _wanted_texts(rows, ends(pairs).union(dense.select("a", "b")), members, scratch)
+    links = scratch.saved(_verified(pairs, texts, words).union(_dense_links(dense, texts, words)), "far-links")
+    merged = _merged(roots, links, scratch)
+    scratch.drop(texts, far, links, roots)
+    roots = merged
+    scratch.keep(profile, roots)
     return members, roots.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.col("root").alias("root"))
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, th, n_shingles, component_id) of every document; th: xxhash64 of the text."""
-    members, final = _rooted(docs, doc_id, text, words)
-    classes = members.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("low")).join(final, ["a", "b"], "left")
-    classes = saved(classes.select("a", "b", "low", F.coalesce("root", F.struct("b", "a")).alias("root")), "classes")
+    with Scratch(docs.sparkSession) as scratch:
+        members, final = _rooted(docs, doc_id, text, words, scratch)
+        classes = members.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("low")).join(final, ["a", "b"], "left")
+        classes = scratch.saved(classes.select("a", "b", "low", F.coalesce("root", F.struct("b", "a")).alias("root")), "classes")
+        scratch.keep(*scratch.paths.values())  # what the result is read from
     lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("k"))
     many = classes.join(lowest.where("k > 1").select("root", "component_id"), "root").select("a", "b", "component_id")
     named = classes.select("a", "b", "low").join(many, ["a", "b"], "left").select("a", "b", F.coalesce("component_id", "low").alias("component_id"))
@@ -527,15 +642,21 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 
     Components are told apart by their root, as their ids may be null or repeated. Documents without words all stay.
     """
-    members, final = _rooted(docs, doc_id, text, words)
+    with Scratch(docs.sparkSession) as scratch:
+        members, final = _rooted(docs, doc_id, text, words, scratch)
+        scratch.keep(*scratch.paths.values())
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("low")
     classes = members.where("n > 0").groupBy("a", "b").agg(low).join(final, ["a", "b"], "left").select("low", F.coalesce("root", F.struct("b", "a")).alias("root"))
     found = classes.groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.th").union(members.where("n = 0").select("doc_id", "th"))
-    stay = found.select(F.col("doc_id").alias("_stay_id"), F.col("th").alias("_stay_th")).distinct()
-    kept = docs.join(stay, docs[doc_id].cast("long").eqNullSafe(F.col("_stay_id")) & (F.xxhash64(docs[text]) == F.col("_stay_th")), "left_semi")
-    mark = F.when(F.coalesce(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == "", F.monotonically_increasing_id())
-    marked = kept.withColumns({"_keep_th": F.xxhash64(F.col(text)), "_keep_empty": mark})
-    return marked.dropDuplicates([doc_id, "_keep_th", "_keep_empty"]).select(*docs.columns)
+    stay_id, stay_th, mark = (free_name(docs, f"_stay_{x}") for x in ("id", "th", "mark"))
+    stay = found.select(F.col("doc_id").alias(stay_id), F.col("th").alias(stay_th)).distinct()
+    kept = docs.join(stay, docs[doc_id].cast("long").eqNullSafe(F.col(stay_id)) & (F.xxhash64(docs[text].cast("string")) == F.col(stay_th)), "left_semi")
+    if members.where("n > 0").groupBy("doc_id", "th").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        return kept
+    # the same id and text more than once: one row stays
+    empty = F.when(F.coalesce(F.btrim(F.col(text).cast("string"), F.lit(SPACES)), F.lit("")) == "", F.monotonically_increasing_id())
+    marked = kept.withColumns({stay_th: F.xxhash64(F.col(text).cast("string")), mark: empty})
+    return marked.dropDuplicates([doc_id, stay_th, mark]).select(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
