@@ -4,14 +4,18 @@ Rows are ordered by (hash of the text, hash of the id, number of the row in the
 together, and a group of copies larger than a shard is split where it has to be. The keys are read as digits of 12 bits. A
 round counts, across all partitions, the exact bytes in every cell between the candidate boundaries that are still open;
 a boundary that is within tolerance is settled, the others are refined inside the one cell that holds their target. A round
-sends at most 4096 counts for each open boundary, whatever the number of rows. Then the rows are exchanged once, by shard.
+sends at most 4096 counts for each open boundary, whatever the number of rows. Then the rows are exchanged once, by shard and
+cell: a large shard is dealt into cells of bounded size, whose rows are numbered from the counts of the cells before them.
 
 Law: ``bytes``. Every boundary is within ``tolerance`` of a shard's bytes from its target, or as near as whole rows allow.
 
 Defined cases: a null text has 16 bytes and the crc of nothing; a null id has a place of its own; repeated rows are told apart
-by their number; an empty table has no rows. Extra columns pass through shard() and columns named like a result are replaced.
+by their number; very long texts count whole; an empty table has no rows. Extra columns pass through shard() and columns named like a result are replaced.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ SHARDS = 40
 ROW_BYTES = 16
 #: Share of a shard's bytes by which a boundary may miss its target.
 TOLERANCE = 0.002
+#: Rows of a shard that one task numbers, about; a shard with more is dealt into cells by a hash.
+CELL_ROWS = 1 << 20
 _BITS = 12
 _KEYS = ("k1", "k2", "k3")
 
@@ -53,10 +59,9 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple]:
         else:
             prefixes = sorted({p for p, _ in open_.values()})
             depth = len(prefixes[0])
-            spark = keys.sparkSession
-            wanted = spark.createDataFrame([(i, *_shifted(p, digits)) for i, p in enumerate(prefixes)], "group int, p1 long, p2 long, p3 long")
-            mine = keys.select(cell, "size", *[_leading(k, depth, digits).alias(f"p{i}") for i, k in enumerate(_KEYS, 1)])
-            rows = mine.join(F.broadcast(wanted), ["p1", "p2", "p3"]).groupBy("group", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
+            inside = lambda p: reduce(and_, [_leading(k, depth, digits) == F.lit(v) for k, v in zip(_KEYS, _shifted(p, digits), strict=True)])
+            group = F.coalesce(*[F.when(inside(p), F.lit(i)) for i, p in enumerate(prefixes)])  # fewer than there are shards
+            rows = keys.select(cell, "size", group.alias("group")).where("group is not null").groupBy("group", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
             counts = {p: [] for p in prefixes}
             for r in rows:
                 counts[prefixes[r["group"]]].append(r)
@@ -121,7 +126,7 @@ def _padded(cell: tuple, digits: list) -> list[int]:
     return out
 
 
-def shard(df: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE, keep: bool = True) -> DataFrame:
+def shard(df: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE, keep: bool = True, cell_rows: int = CELL_ROWS) -> DataFrame:
     """df with size, text_crc32, law, shard, slot and grown_shard; keep=False returns only the id with them."""
     results = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     df = df.drop(*[c for c in df.columns if c.lower() in results])
@@ -142,14 +147,23 @@ def shard(df: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str
     mine = F.struct(*[F.col(k).bitwiseXOR(top) for k in _KEYS])
     above = [F.struct(*[F.lit(v) for v in _padded(b, digits)]) for b in bounds if b is not None]
     placed = keys.withColumn("shard", F.size(F.filter(F.array(*above), lambda b: mine >= b)).cast("int") if above else F.lit(0))
-    window = Window.partitionBy("shard").orderBy(*[F.col(k).bitwiseXOR(top) for k in _KEYS])
+    per_cell = max(1, cell_rows)
+    cells = max(1, -(-keys.count() // (shards * per_cell)))
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64("k1", "k3"), F.lit(cells)) if cells > 1 else F.lit(0).cast("long"))
+    window = Window.partitionBy("shard", "cell").orderBy(*[F.col(k).bitwiseXOR(top) for k in _KEYS])
+    slot = F.row_number().over(window).cast("long") - 1
+    if cells > 1:  # rows before each cell of a shard, from counts
+        counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.join(counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), ["shard", "cell"])
+        slot = slot + F.col("before")
     return placed.select(
         *[F.col(f"c_{i}").alias(c) for i, c in enumerate(kept)],
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.row_number().over(window) - 1).cast("int").alias("slot"),
+        slot.alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
