@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import free_name, free_prefix, let, table
 
 _SPAN = "array<struct<start:bigint,end:bigint,text:string>>"
 _BLOCK = 256
@@ -191,18 +191,19 @@ def accepted(counts: dict[str, int]) -> list[str]:
     return [p for p in sorted(counts) if sum(a * b for a, b in zip(weights, _features(p), strict=True)) > 0]
 
 
-def _with_spans(docs: DataFrame, text: str) -> DataFrame:
-    """docs with _base (a struct of the base kinds' spans) and _cand (candidates with their votes)."""
+def _with_spans(docs: DataFrame, text: str, at: str) -> DataFrame:
+    """docs with {at}_base (a struct of the base kinds' spans) and {at}_cand (candidates with their votes)."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    step = docs.select("*", F.struct(*[c.alias(k) for k, c in base_spans(whole).items()]).alias("_base"))
-    taken = F.concat(*[F.col(f"_base.{k}") for k in KINDS[:4]])
-    step = step.select("*", candidates(whole, taken).alias("_runs"))
-    return step.select("*", F.transform("_runs", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), _pattern(c).alias("votes"))).alias("_cand")).drop("_runs")
+    step = docs.select("*", F.struct(*[c.alias(k) for k, c in base_spans(whole).items()]).alias(f"{at}_base"))
+    taken = F.concat(*[F.col(f"{at}_base.{k}") for k in KINDS[:4]])
+    step = step.select("*", candidates(whole, taken).alias(f"{at}_runs"))
+    voted = F.transform(f"{at}_runs", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), _pattern(c).alias("votes")))
+    return step.select("*", voted.alias(f"{at}_cand")).drop(f"{at}_runs")
 
 
 def vote_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
     """How often each combination of votes occurs over all documents (a bounded number of combinations)."""
-    found = _with_spans(docs.select(text), text).select(F.explode("_cand.votes").alias("votes")).groupBy("votes").count()
+    found = _with_spans(docs.select(F.col(text).alias("text")), "text", "_w").select(F.explode("_w_cand.votes").alias("votes")).groupBy("votes").count()
     return {r["votes"]: r["count"] for r in found.collect()}
 
 
@@ -210,9 +211,10 @@ def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFram
     """docs with a struct of arrays of (start, end, text): email, ip, card, phone, secret."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() == into.lower()])
     patterns = accepted(vote_counts(docs, text))
-    step = _with_spans(docs, text)
-    secret = F.transform(F.filter("_cand", lambda c: c["votes"].isin(patterns) if patterns else F.lit(False)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"))).cast(_SPAN)
-    return step.select(*docs.columns, F.struct(*[F.col(f"_base.{k}").alias(k) for k in KINDS[:4]], secret.alias("secret")).alias(into))
+    at = free_prefix(docs, "_w")
+    step = _with_spans(docs, text, at)
+    secret = F.transform(F.filter(f"{at}_cand", lambda c: c["votes"].isin(patterns) if patterns else F.lit(False)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"))).cast(_SPAN)
+    return step.select(*docs.columns, F.struct(*[F.col(f"{at}_base.{k}").alias(k) for k in KINDS[:4]], secret.alias("secret")).alias(into))
 
 
 def _listed(kinds, into: str) -> Column:
@@ -225,15 +227,16 @@ def _of_kind(kind: str, into: str) -> Column:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; of spans that overlap, what the earlier one leaves is part of it."""
-    found = find_pii(docs, text, "_pii")
-    every = lambda k: F.transform(F.col(f"_pii.{k}"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("tag")))
+    into = free_name(docs, "_pii")
+    found = find_pii(docs, text, into)
+    every = lambda k: F.transform(F.col(f"{into}.{k}"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("tag")))
     ordered = F.array_sort(F.concat(*[every(k) for k in KINDS]))
     t = F.col(text)
     cut = lambda a, b: F.substring(t, a.cast("int") + 1, F.greatest(b - a, F.lit(0)).cast("int"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(cut(a["at"], s["start"]), s["tag"])).alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
     rebuilt = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"].cast("int") + 1, 2147483647)))
-    n = F.size(F.concat(*[F.col(f"_pii.{k}") for k in KINDS]))
+    n = F.size(F.concat(*[F.col(f"{into}.{k}") for k in KINDS]))
     return found.select(*[F.when(n > 0, rebuilt).otherwise(t).alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
@@ -241,4 +244,4 @@ def op4(spark, sf_dir: str) -> DataFrame:
     """find_pii() over all documents, as counts and lists of spans."""
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     counts = [F.size(f"pii.{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(_listed(KINDS[:4], "pii"), 256).alias("base_sha256"), _listed(KINDS, "pii").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_listed(KINDS[:4], "pii"), 256).alias("base_sha256"), _listed(KINDS, "pii").alias("spans"), F.size("pii.secret").cast("long").alias("n_secret"), F.size(F.concat(*[F.col(f"pii.{k}") for k in KINDS])).cast("long").alias("n_spans"))
