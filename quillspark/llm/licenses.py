@@ -11,7 +11,8 @@ consecutively.
 Everything is built-in functions over the words of one document: nothing is shuffled but the bounded word counts.
 
 Defined cases: a null or empty text has no words, labels '' and score 0; repeated rows are judged one by one; ties in frequency
-are broken by the word; empty tables have no rows. Extra columns pass through; columns named like a result are replaced.
+are broken by the word; very long texts are scanned whole; empty tables have no rows. Extra columns pass through under whatever
+names; columns named like a result are replaced.
 """
 
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import free_name, let, table
 
 # Base phrases and their labels.
 BASE = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -145,13 +146,14 @@ def _judge(words: Column, placements: Column, templates) -> Column:
 def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, key_words: int = KEY_WORDS) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels and score (1 where a base phrase stands, else the best template's)."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS])
+    scan = free_name(docs, "_scan", *RESULTS)
     frequency, _ = document_frequency(docs, text, templates)
     rank = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
     whole = F.coalesce(F.col(text), F.lit(""))
     empty = F.struct(F.array().cast("array<struct<label:string,start:bigint>>").alias("base"), F.array().cast("array<struct<label:string,score:double>>").alias("found"))
     scanned = let(words_of(F.col(text)), lambda w: F.struct(_base_places(w).alias("base"), _judge(w, _placements(w, rank, templates, key_words), templates).alias("found")))
-    step = docs.select("*", F.regexp_count(whole, F.lit(_WORD)).cast("long").alias("n_words"), F.when(_may_hold(whole, templates), scanned).otherwise(empty).alias("_scan"))
-    base, found = F.col("_scan.base"), F.col("_scan.found")
+    step = docs.select("*", F.regexp_count(whole, F.lit(_WORD)).cast("long").alias("n_words"), F.when(_may_hold(whole, templates), scanned).otherwise(empty).alias(scan))
+    base, found = F.col(f"{scan}.base"), F.col(f"{scan}.found")
     starts = F.transform(base, lambda x: x["start"])
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return step.select(

@@ -4,7 +4,8 @@ Measures (of whole texts; words are runs of other characters than space and \\t-
 ``n_words``, ``word_chars`` (code points in words), ``n_symbols`` (characters of ``#*$%&|<>``), ``n_dup_lines``
 (lines with a word that equal an earlier line), ``n_repeat_words`` (words inside 3-word windows found at least twice).
 A null text has no words; all its counts are 0. An empty text likewise. Repeated rows are judged one by one.
-Columns of the input that carry the name of a measure are replaced in the result; all others stay.
+Very long texts are judged whole: beyond 2^22 words the 3-word windows are compared as strings. Ties can't occur; empty tables
+have no rows. Columns of the input that carry the name of a result are replaced; all others stay, whatever their names.
 """
 
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, SPACES, let
+from .common import SPACE_RUN, SPACES, free_prefix, let
 
 SYMBOLS = "#*$%&|<>"
 
@@ -91,35 +92,36 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     stops = [v for w in STOP_WORDS for v in {w, w.capitalize()}]
-    n = F.col("_q_words_n")
     ratio = lambda a, b: F.when(b > 0, a / b)
     kept = df.drop("measures")
-    step = kept.select("*", words_of(F.col(text)).alias("_q_words"), lines.alias("_q_lines"))
-    step = step.select("*", _window_keys(F.col("_q_words")).alias("_q_keys"))
-    step = step.select("*", _candidates(F.col("_q_words"), F.col("_q_keys")).alias("_q_again"))
+    q = free_prefix(kept, "_q")
+    n = F.col(f"{q}_words_n")
+    step = kept.select("*", words_of(F.col(text)).alias(f"{q}_words"), lines.alias(f"{q}_lines"))
+    step = step.select("*", _window_keys(F.col(f"{q}_words")).alias(f"{q}_keys"))
+    step = step.select("*", _candidates(F.col(f"{q}_words"), F.col(f"{q}_keys")).alias(f"{q}_again"))
     step = step.select(
         *kept.columns,
-        F.size("_q_words").alias("_q_words_n"),
-        F.length(F.array_join("_q_words", "")).alias("_q_chars"),
-        F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).alias("_q_symbols"),
-        F.size("_q_lines").alias("_q_lines_n"),
-        (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).alias("_q_dup"),
-        F.size(F.filter("_q_words", lambda w: w.isin(stops))).alias("_q_stops"),
-        _repeated(F.col("_q_words"), F.col("_q_again")).alias("_q_repeat"),
+        F.size(f"{q}_words").alias(f"{q}_words_n"),
+        F.length(F.array_join(f"{q}_words", "")).alias(f"{q}_chars"),
+        F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).alias(f"{q}_symbols"),
+        F.size(f"{q}_lines").alias(f"{q}_lines_n"),
+        (F.size(f"{q}_lines") - F.size(F.array_distinct(f"{q}_lines"))).alias(f"{q}_dup"),
+        F.size(F.filter(f"{q}_words", lambda w: w.isin(stops))).alias(f"{q}_stops"),
+        _repeated(F.col(f"{q}_words"), F.col(f"{q}_again")).alias(f"{q}_repeat"),
     )
     return step.select(
         *kept.columns,
         F.struct(
             n.cast("long").alias("n_words"),
-            F.col("_q_chars").cast("long").alias("word_chars"),
-            F.col("_q_symbols").cast("long").alias("n_symbols"),
-            F.col("_q_dup").cast("long").alias("n_dup_lines"),
-            F.col("_q_repeat").cast("long").alias("n_repeat_words"),
-            ratio(F.col("_q_repeat"), n).alias("repeat_ratio"),
-            ratio(F.col("_q_chars"), n).alias("mean_word_chars"),
-            ratio(F.col("_q_symbols"), n).alias("symbol_ratio"),
-            ratio(F.col("_q_stops"), n).alias("stop_ratio"),
-            ratio(F.col("_q_dup"), F.col("_q_lines_n")).alias("dup_line_ratio"),
+            F.col(f"{q}_chars").cast("long").alias("word_chars"),
+            F.col(f"{q}_symbols").cast("long").alias("n_symbols"),
+            F.col(f"{q}_dup").cast("long").alias("n_dup_lines"),
+            F.col(f"{q}_repeat").cast("long").alias("n_repeat_words"),
+            ratio(F.col(f"{q}_repeat"), n).alias("repeat_ratio"),
+            ratio(F.col(f"{q}_chars"), n).alias("mean_word_chars"),
+            ratio(F.col(f"{q}_symbols"), n).alias("symbol_ratio"),
+            ratio(F.col(f"{q}_stops"), n).alias("stop_ratio"),
+            ratio(F.col(f"{q}_dup"), F.col(f"{q}_lines_n")).alias("dup_line_ratio"),
         ).alias("measures"),
     )
 
