@@ -5,7 +5,7 @@ neighbours inside a pre-token; an index maps each pair (by its merge rank) to al
 ascending order, each to all its positions at once, and the lists of the pairs around the merged places are updated.
 
 Defined cases: a null or empty text has no ids; special tokens of the file that occur in a text become their ids; texts of any
-length are encoded whole; repeated rows are encoded alike. Extra columns pass through; one named like the result is replaced.
+length are encoded whole; repeated rows are encoded alike; empty tables have no rows. Extra columns pass through; one named like the result is replaced.
 Ids are kept as little-endian unsigned 32-bit integers in a binary column (ids_array() gives an array).
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, trimmed
 
 #: Pre-tokens that a task remembers at most; then it starts anew.
 MAX_CACHED = 300_000
@@ -237,8 +237,9 @@ def bpe_encode(df: DataFrame, text: str = "text", into: str = "ids", path: str |
             for part in slices(batch, text):
                 ids = enc.encode(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(ids, pa.binary())], names=[*(f.name for f in fields), into])
+        enc.reset()
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(into, T.BinaryType())]))
+    return df.mapInArrow(trimmed(run), T.StructType([*fields, T.StructField(into, T.BinaryType())]))
 
 
 def bpe_decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None, keep: bool = True) -> DataFrame:
@@ -254,7 +255,7 @@ def bpe_decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str
                 texts = [merges.decode(np.frombuffer(v, "<u4")).decode("utf-8", "replace") if v else "" for v in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(texts, pa.string())], names=[*(f.name for f in fields), into])
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(into, T.StringType())]))
+    return df.mapInArrow(trimmed(run), T.StructType([*fields, T.StructField(into, T.StringType())]))
 
 
 def ids_array(ids: Column) -> Column:
