@@ -88,8 +88,8 @@ ITEMS = [(1, prose(300, 1)[200:330]), (2, "don't end a the"), (3, None), (4, " "
 
 def test_contamination(spark, docs, none):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for most in (decontam.MAX_WINDOWS, 40):  # one broadcast, and blocks of items
-        got = decontam.find_contamination(docs.withColumn("Contamination", F.lit(1)), items, max_windows=most).collect()
+    for most in (decontam.MAX_WORDS, 40):  # one broadcast, and an equi-join
+        got = decontam.find_contamination(docs.withColumn("Contamination", F.lit(1)), items, max_words=most).collect()
         assert len(got) == len(ROWS)
         for r in got:
             c = r["contamination"]
@@ -103,10 +103,17 @@ def test_contamination_removed(spark, docs):
     items = spark.createDataFrame([(1, prose(300, 1)[200:330])], "item_id long, text string")
     kept = decontam.decontaminate(docs, items, remove="documents")
     assert kept.columns == docs.columns and {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {8, 9}
-    cut = decontam.decontaminate(docs, items, remove="spans")
-    assert cut.count() == len(ROWS)
-    assert {r.contamination.n_hit for r in decontam.find_contamination(cut, items).collect()} == {0}
-    assert [r.text for r in cut.where("doc_id = 13").collect()] == [TEXTS[13]]
+    for most in (decontam.MAX_WORDS, 40):
+        cut = decontam.decontaminate(docs.withColumns({"_found": F.lit(1), "_row": F.lit(2)}), items, remove="spans", max_words=most)
+        assert cut.columns == [*docs.columns, "_found", "_row"] and cut.count() == len(ROWS)
+        assert {r.contamination.n_hit for r in decontam.find_contamination(cut, items).collect()} == {0}
+        assert [tuple(r) for r in cut.where("doc_id = 13").select("text", "_found", "_row").collect()] == [(TEXTS[13], 1, 2)]
+
+
+def test_contamination_set_is_bounded():
+    r = random.Random(3)
+    grams = decontam.NgramSet([(1, " ".join(f"w{r.randrange(1 << 40)}" for _ in range(20_000)))], 10)
+    assert grams.nbytes() < 220 * 20_000
 
 
 # BPE
@@ -456,3 +463,59 @@ def test_several_licenses_in_a_text(spark):
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, t in rows:
         assert got[i] == (judged(t)[0], pytest.approx(judged(t)[1])), t
+
+
+# names and types
+
+
+def test_extra_columns_keep_their_values(spark, docs):
+    names = ["_base", "_cand", "_w_base", "_w_cand", "_pii", "_scan", "_q_words", "_q_dup", "_found", "_row", "_contamination_0", "_stay_id", "_stay_th", "_stay_mark", "_keep_th", "c_0", "cell", "before", "k1"]
+    wide = docs.withColumns({n: F.lit(f"mine {n}") for n in names})
+    items = spark.createDataFrame([(1, "of the"), (2, "a b c d")], "item_id long, text string")
+    calls = {
+        "pii": pii.find_pii(wide),
+        "redact": pii.redact(wide),
+        "licenses": licenses.scan_licenses(wide),
+        "quality": quality.quality(wide),
+        "contamination": decontam.find_contamination(wide, items),
+        "decontaminate": decontam.decontaminate(wide, items),
+        "keep_one": ngramjoin.keep_one(wide),
+        "shard": sharding.shard(wide),
+    }
+    for what, df in calls.items():
+        rows = df.select(*names).distinct().collect()
+        assert len(rows) == 1 and all(rows[0][n] == f"mine {n}" for n in names), what
+
+
+def test_sharding_in_cells(docs):
+    rows = sharding.shard(docs, shards=3, cell_rows=2).collect()
+    assert len(rows) == len(ROWS)
+    for s in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
+CONTRACT = {
+    "op1_decontamination": "doc_id n_words:bigint n_hit:bigint n_items:bigint items_sha256:string contaminated:boolean",
+    "op2_bpe": "doc_id n_tokens:bigint ids_sha256:string decoded_sha256:string",
+    "op3_quality_rules": "doc_id n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint n_repeat_words:bigint base_failed:boolean kept:boolean",
+    "op4_pii": "doc_id n_email:bigint n_ip:bigint n_card:bigint n_phone:bigint base_sha256:string spans:string",
+    "op5_sharding": "doc_id size:bigint text_crc32:bigint law:string shard:int slot:bigint grown_shard:int",
+    "op6_ngram_jaccard": "doc_id n_shingles:bigint component_id:bigint",
+    "op8_token_files": "doc_id start:bigint n_tokens:bigint ids_crc32:bigint",
+    "op9_warc": "page_id payload_bytes:bigint payload_digest:string record_type:string refers_to:bigint",
+    "op10_license_scan": "doc_id n_words:bigint n_base:bigint first_word:bigint last_word:bigint base_labels:string labels:string score:double",
+}
+
+
+def test_contract_types(spark, docs, tmp_path):
+    from quillspark.llm import queries
+
+    d = at(tmp_path, "documents", docs.where("doc_id < 6"))
+    at(tmp_path, "pages", spark.createDataFrame([(1, "u", "x" * 120)], "page_id long, url string, html string"))
+    at(tmp_path, "benchmark", spark.createDataFrame([(1, "a b c d")], "item_id long, text string"))
+    for name, want in CONTRACT.items():
+        have = dict(queries.queries()[name](spark, d).dtypes)
+        for column in want.split():
+            c, _, kind = column.partition(":")
+            assert c in have and (not kind or have[c] == kind), (name, c, have.get(c))
