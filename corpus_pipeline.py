@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, personal data, BPE."""
+"""The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, personal data, BPE.
+
+Defined cases: null, empty and blank texts fail the quality rules and go; of repeated rows and equal texts one stays, that with
+the smallest id (null ids last); very long texts pass through every stage whole; empty tables give no rows. Extra columns stay
+under whatever names, but for n_chars, which is counted anew where texts change, and for columns that carry the name of what the
+last stage adds (ids, n_tokens), which are replaced.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +47,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their text and the text decoded from these."""
-    coded = bpe_decode(bpe_encode(docs), into="text")
-    return coded.select(*docs.columns, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    kept = docs.drop(*[c for c in docs.columns if c.lower() in ("ids", "n_tokens")])
+    coded = bpe_decode(bpe_encode(kept), into="text")
+    return coded.select(*kept.columns, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
