@@ -8,13 +8,25 @@ from pyspark.sql import functions as F
 
 
 def chunks(docs: DataFrame, size: int = 1000, overlap: int = 100, doc_id: str = "doc_id", text: str = "text", context: int = 100) -> DataFrame:
-    """(doc_id, chunk_index, start, end, content, token_count, preceding, following); empty texts have none."""
+    """(doc_id, chunk_index, start, end, content, token_count, preceding, following); empty texts have none.
+
+    Pieces are cut inside the row, so a long text is not copied to each of its chunks.
+    """
     step, t = size - overlap, F.col(text)
     starts = F.when(F.length(t) > 0, F.sequence(F.lit(0), F.greatest(F.length(t) - overlap - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    rows = docs.select(doc_id, text, F.posexplode(starts).alias("chunk_index", "start"))
-    content = F.substring(t, F.col("start") + 1, F.lit(size))
-    end = F.least(F.col("start") + size, F.length(t))
-    return rows.select(doc_id, "chunk_index", "start", end.alias("end"), content.alias("content"), F.greatest(F.lit(1), F.floor(F.length(content) / 4)).cast("long").alias("token_count"), F.substring(t, F.greatest(F.col("start") - context, F.lit(0)) + 1, F.least(F.col("start"), F.lit(context))).alias("preceding"), F.substring(t, end + 1, F.lit(context)).alias("following"))
+
+    def piece(start: Column) -> Column:
+        end = F.least(start + size, F.length(t))
+        return F.struct(
+            start.alias("start"),
+            end.alias("end"),
+            F.substring(t, start + 1, F.lit(size)).alias("content"),
+            F.greatest(F.lit(1), F.floor((end - start) / 4)).cast("long").alias("token_count"),
+            F.substring(t, F.greatest(start - context, F.lit(0)) + 1, F.least(start, F.lit(context))).alias("preceding"),
+            F.substring(t, end + 1, F.lit(context)).alias("following"),
+        )
+
+    return docs.select(doc_id, F.posexplode(F.transform(starts, piece)).alias("chunk_index", "p")).select(doc_id, "chunk_index", "p.*")
 
 
 def split_of(key: Column) -> Column:
@@ -28,10 +40,10 @@ def approved(examples: DataFrame, labels: DataFrame, doc_id: str = "doc_id") ->
     return examples.join(labels.where("quality = 1").select(doc_id).distinct(), doc_id, "left_semi")
 
 
-def chat_rows(examples: DataFrame, prompt: str, answer: str) -> DataFrame:
+def chat_rows(examples: DataFrame, prompt: str, answer: str, keep: list[str] | None = None) -> DataFrame:
     """Examples as one JSON conversation a row."""
     message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
-    return examples.select(F.to_json(F.struct(F.array(message("user", prompt), message("assistant", answer)).alias("messages"))).alias("value"))
+    return examples.select(F.to_json(F.struct(F.array(message("user", prompt), message("assistant", answer)).alias("messages"))).alias("value"), *(keep or []))
 
 
 def text_classifier(train: DataFrame, label: str = "label", text: str = "text", features: int = 1 << 15) -> PipelineModel:
@@ -66,5 +78,22 @@ def predicted(model: PipelineModel, docs: DataFrame) -> DataFrame:
     return out.select(*docs.columns, F.element_at(F.array(*map(F.lit, names)), F.col("prediction").cast("int") + 1).alias("model_label"), F.array_max(p).alias("model_confidence"))
 
 
-def top_rows(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def top_features(model: PipelineModel, names: list[str], n: int = 10) -> DataFrame:
+    """(class, rank, feature, weight): the features of the largest coefficients by size, a class each; ties by name.
+
+    names: of the vector's places; a model's coefficients are few, so they are read on the driver.
+    """
+    from pyspark.sql import SparkSession
+
+    labels, weights = model.stages[0].labels, model.stages[-1].coefficientMatrix.toArray()
+    rows = [(labels[i] if len(weights) > 1 else labels[-1], name, float(w)) for i, row in enumerate(weights) for name, w in zip(names, row, strict=True)]
+    order = Window.partitionBy("class").orderBy(F.abs("weight").desc(), "feature")
+    return SparkSession.active().createDataFrame(rows, "class string, feature string, weight double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("class", "rank", "feature", "weight")

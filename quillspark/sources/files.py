@@ -1,6 +1,6 @@
 """Readers of document files and page tables, as frames of text."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, collapse, strip
@@ -15,9 +15,14 @@ def kind_of(path: Column) -> Column:
     return F.when(e == "pdf", F.lit("pdf")).when(e.isin(*IMAGES), F.lit("image")).when(e.isin(*TEXTS, "docx"), e)
 
 
+# What the bytes 80 to 9F stand for in code page 1252 (undefined ones as they are).
+_CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+
 def decoded(content: Column) -> Column:
-    """UTF-8 text without a mark; bytes that are none are read with replacements."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.make_valid_utf8(content.cast("string")))
+    """UTF-8 text without a mark; bytes that are no UTF-8 are read as code page 1252, which is Latin-1 but for 80 to 9F."""
+    latin = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), _CP1252)
+    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(latin)
     return F.regexp_replace(text, "^﻿", "")
 
 
@@ -37,11 +42,56 @@ def json_text(value: Column) -> Column:
     return F.array_join(F.transform(F.map_entries(F.from_json(value, "map<string,string>")), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None")))), "\n")
 
 
-def csv_text(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """A table as one text: a header line, a blank line, and 'Row n: h: v | h: v' lines."""
-    line = F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns])
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x, i: F.concat(F.lit("Row "), (i + 1).cast("string"), F.lit(": "), x["l"])), "\n")
-    return rows.agg(F.concat(F.lit(f"Headers: {', '.join(columns)}\n\n"), body).alias("text"))
+def row_line(columns: list[str], number: Column) -> Column:
+    """'Row n: h: v | h: v'."""
+    cells = F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns])
+    return F.concat(F.lit("Row "), number.cast("string"), F.lit(": "), cells)
+
+
+def csv_lines(rows: DataFrame, columns: list[str], order: str, cells: int = 64) -> DataFrame:
+    """(row, text) of a table in the order of a column: its lines, numbered from 1 by counts of ranges and a window inside each.
+
+    No group holds the table; write the result sorted by row as text. The order column must not repeat.
+    """
+    ranged = rows.select(*dict.fromkeys([*columns, order])).repartitionByRange(cells, order).withColumn("_cell", F.spark_partition_id())
+    bounds = ranged.groupBy("_cell").agg(F.count("*").alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high"))
+    before = Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are cells
+    offsets = bounds.select("_low", "_high", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.row_number().over(Window.orderBy("_low")).alias("_cell"))
+    placed = rows.select(*dict.fromkeys([*columns, order])).join(F.broadcast(offsets), F.col(order).between(F.col("_low"), F.col("_high")))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_cell").orderBy(order))
+    return placed.select(number.alias("row"), row_line(columns, number).alias("text"))
+
+
+def csv_texts(files: DataFrame) -> DataFrame:
+    """(path, text, dropped) of CSV files (path, content): a header line, a blank line, a line a row; rows of another width are dropped and counted.
+
+    A file is one document, so its text is one value; quotes follow the usual rules, without line breaks inside a cell.
+    """
+    cell = r'("(?:[^"]|"")*"|[^,"]*)(?:,|$)'
+    bare = lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, 2, 2147483647).substr(F.lit(1), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    cells = lambda line: F.transform(F.regexp_extract_all(F.regexp_replace(line, ",$", ',""'), F.lit(cell), F.lit(1)), bare)
+    parsed = lambda line: F.transform(F.array(line), cells)[0]
+    lines = F.filter(F.split(decoded(F.col("content")), r"\r\n|\n|\r"), lambda x: x != "")
+    split = files.select("path", F.transform(lines, lambda x: _trimmed_cells(parsed(x))).alias("_rows"))
+    head = F.get("_rows", F.lit(0))
+    good = F.filter(F.slice("_rows", 2, 1 << 30), lambda r: F.size(r) == F.size(F.get("_rows", F.lit(0))))
+    told = lambda r, i: F.concat(F.lit("Row "), (i + 1).cast("string"), F.lit(": "), F.array_join(F.zip_with(F.get("_rows", F.lit(0)), r, lambda h, v: F.concat(h, F.lit(": "), v)), " | "))
+    text = F.concat(F.lit("Headers: "), F.array_join(head, ", "), F.lit("\n\n"), F.array_join(F.transform(good, told), "\n"))
+    return split.where(F.size("_rows") > 0).select("path", text.alias("text"), (F.size("_rows") - 1 - F.size(good)).cast("long").alias("dropped"))
+
+
+def _trimmed_cells(cells: Column) -> Column:
+    """The last match of a line is empty, at its end: it is no cell."""
+    return F.slice(cells, F.lit(1), F.greatest(F.size(cells) - 1, F.lit(1)))
+
+
+def images_of(annotations: DataFrame, images: DataFrame) -> DataFrame:
+    """(stem, annotation, image) of files (path) by their stem; of several images the first kind in order counts, none gives null."""
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    # Kinds of images in the order in which they are taken.
+    rank = F.array_position(F.array(*map(F.lit, ("png", "jpg", "jpeg", "tif", "tiff"))), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    found = images.select(stem.alias("stem"), F.col("path").alias("image"), rank.alias("r")).where("r > 0").groupBy("stem").agg(F.min(F.struct("r", "image")).alias("i"))
+    return annotations.select(stem.alias("stem"), F.col("path").alias("annotation")).join(found, "stem", "left").select("stem", "annotation", F.col("i.image").alias("image"))
 
 
 def main_part(html: Column) -> Column:
@@ -68,7 +118,7 @@ def page_title(url: Column, html: Column) -> Column:
 
 def box_line(line: Column) -> Column:
     """The text of 'x1,y1,...,text[,confidence]': eight or four numbers in front go, and a last part from 0 to 1."""
-    parts = F.split(line, ",")
+    parts = F.transform(F.split(line, ","), strip)
     number = lambda x: F.trim(x).try_cast("double").isNotNull()
     lead = lambda p, n: (F.size(p) > n) & F.forall(F.slice(p, 1, n), number)
     rest = F.when(lead(parts, 8), F.slice(parts, 9, 100000)).when(lead(parts, 4), F.slice(parts, 5, 100000)).otherwise(parts)
