@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 from .common import table, trimmed
 
 #: Pre-tokens that a task remembers at most; then it starts anew.
-MAX_CACHED = 300_000
+MAX_CACHED = 200_000
 #: Characters of text that are encoded (and sent on) at a time; a longer text is a slice of its own.
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 2_000_000
 
 
 def byte_chars() -> list[str]:
@@ -258,6 +258,29 @@ def bpe_decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str
     return df.mapInArrow(trimmed(run), T.StructType([*fields, T.StructField(into, T.StringType())]))
 
 
+def bpe_code(df: DataFrame, text: str = "text", ids: str = "ids", into: str = "decoded", path: str | None = None, keep: bool = True) -> DataFrame:
+    """df with the ids of every whole text and the text decoded from these, in one pass: bpe_decode(bpe_encode()), with one worker a task.
+
+    into may name the text itself, which is then replaced; keep=False leaves the text out otherwise.
+    """
+    source, pattern = tokenizer_file(df.sparkSession, path)
+    gone = {ids.lower(), into.lower()} - {text.lower()}
+    fields = [f for f in df.schema.fields if f.name.lower() not in gone and (keep or f.name != text or into == text)]
+    schema = T.StructType([*fields, T.StructField(ids, T.BinaryType()), *([] if into == text else [T.StructField(into, T.StringType())])])
+
+    def run(batches):
+        enc, merges = encoder(source.value, pattern), _merges(source.value)
+        for batch in batches:
+            for part in slices(batch, text):
+                coded = enc.encode(part.column(text).to_pylist())
+                decoded = pa.array([merges.decode(np.frombuffer(v, "<u4")).decode("utf-8", "replace") if v else "" for v in coded], pa.string())
+                columns = [decoded if f.name == text and into == text else part.column(f.name) for f in fields]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(coded, pa.binary()), *([] if into == text else [decoded])], names=schema.names)
+        enc.reset()
+
+    return df.mapInArrow(trimmed(run), schema)
+
+
 def ids_array(ids: Column) -> Column:
     """A binary column of ids as array<bigint>."""
     number = lambda k: F.conv(F.concat(*[F.substring(F.hex(F.substring(ids, k * 4 + 4 - j, 1)), 1, 2) for j in range(4)]), 16, 10).cast("long")
@@ -267,5 +290,5 @@ def ids_array(ids: Column) -> Column:
 def op2(spark, sf_dir: str) -> DataFrame:
     """Encode and decode all documents; digests of both."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe_encode(docs, keep=False)
-    return bpe_decode(coded).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe_code(docs, keep=False)
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

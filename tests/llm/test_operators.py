@@ -128,6 +128,9 @@ def test_bpe(docs, none):
         want = library.encode(r.text or "", add_special_tokens=False).ids
         assert np.frombuffer(r.ids, "<u4").tolist() == want
         assert r.decoded == library.decode(want, skip_special_tokens=False)
+    once = {(r.doc_id, r.text): (r.ids, r.decoded) for r in bpe.bpe_code(docs.withColumn("IDS", F.lit(1))).collect()}
+    assert once == {(r.doc_id, r.text): (r.ids, r.decoded) for r in got}
+    assert {r.doc_id: r.text for r in bpe.bpe_code(docs, into="text").where("doc_id < 9").collect()} == {r.doc_id: r.decoded for r in got if r.doc_id is not None and r.doc_id < 9}
     assert [list(r.a) for r in bpe.bpe_encode(docs).where("doc_id = 4").select(bpe.ids_array(F.col("ids")).alias("a")).collect()] == [library.encode("a b c d").ids]
     assert bpe.bpe_encode(none).count() == 0
 
