@@ -1,7 +1,7 @@
 """License scans with a positional index of rare license words.
 
-A-Z are lower-cased; words are runs of digits, a-z and characters beyond ASCII. Templates (short grants and headers) give a
-vocabulary. One pass counts in how many documents each vocabulary word occurs; every template is then indexed under the words of
+A-Z are lower-cased; words are runs of digits, a-z and characters beyond ASCII. Templates (grants, headers, notices) have key phrases,
+which give a vocabulary. One pass counts in how many documents each vocabulary word occurs; every template is then indexed under the words of
 highest inverse document frequency of its own key phrase: postings word -> (template, position). Each document looks up all
 occurrences of the indexed words, intersects their postings by relative position (a template's words must agree on where it
 starts), and verifies the template's key phrase word by word. Wherever a key phrase stands its indexed words stand too, so no
@@ -15,6 +15,7 @@ are broken by the word; very long texts are scanned whole; empty tables have no
 names; columns named like a result are replaced.
 """
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import free_name, let, table
 
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 # Base phrases and their labels.
 BASE = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
@@ -34,28 +38,71 @@ class Template:
     key: str
 
 
-# Openings and short grants of common licenses, in normalised words.
-TEMPLATES = (
-    Template("mit", "released under the mit license", "under the mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license version 2"),
-    Template("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("gpl-2", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    Template("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
-    Template("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license version 3"),
-    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    Template("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
+def _words(text: str) -> str:
+    """A text as its words in single spaces."""
+    return " ".join(re.findall(_WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+
+
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
+agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF
+ANY KIND, either express or implied."""
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the
+Free Software Foundation, either version {1} of the License, or (at your option) any later version."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely"""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license"""
+_UNLICENSE = "This is free and unencumbered software released into the public domain."
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+_EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"
+
+# Grants, headers and short notices of common licenses, each with the phrase that has to be there.
+TEMPLATES = tuple(
+    Template(label, _words(text), _words(key))
+    for label, text, key in (
+        ("mit", "released under the MIT License", "under the MIT License"),
+        ("mit", _MIT, "to deal in the Software without restriction"),
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+        ("apache-2", _APACHE, "Apache License, Version 2"),
+        ("gpl-3", "This work is licensed under the GNU General Public License, version 3", "GNU General Public License version 3"),
+        ("gpl-2", "This work is licensed under the GNU General Public License, version 2", "GNU General Public License version 2"),
+        ("gpl-3", _GNU.format("General Public License", 3), "GNU General Public License as published by the Free Software Foundation, either version 3"),
+        ("gpl-2", _GNU.format("General Public License", 2), "GNU General Public License as published by the Free Software Foundation, either version 2"),
+        ("lgpl", "licensed under the GNU Lesser General Public License", "GNU Lesser General Public License"),
+        ("agpl-3", "licensed under the GNU Affero General Public License version 3", "GNU Affero General Public License version 3"),
+        ("agpl-3", _GNU.format("Affero General Public License", 3), "GNU Affero General Public License as published by the Free Software Foundation, either version 3"),
+        ("mpl-2", _MPL, "Mozilla Public License"),
+        ("epl-2", _EPL, "Eclipse Public License"),
+        ("bsd", _BSD, "Redistribution and use in source and binary forms"),
+        ("isc", _ISC, "for any purpose with or without fee is hereby granted"),
+        ("zlib", _ZLIB, "to alter it and redistribute it freely"),
+        ("bsl-1", _BOOST, "to any person or organization obtaining a copy of the software"),
+        ("unlicense", _UNLICENSE, "free and unencumbered software released into the public domain"),
+        ("cc-by-nc", "licensed under CC BY-NC 4.0", "CC BY-NC"),
+        ("cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial"),
+        ("cc-by-sa", "licensed under CC BY-SA 4.0", "CC BY-SA"),
+        ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike"),
+        ("cc-by", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 International"),
+        ("cc0", "dedicated to the public domain under CC0 1.0 Universal", "CC0 1.0 Universal"),
+    )
 )
 
 #: Words of its key phrase that a template is indexed under.
 KEY_WORDS = 2
 
-_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -76,8 +123,8 @@ def _may_hold(text: Column, templates) -> Column:
 
 
 def document_frequency(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> tuple[dict[str, int], int]:
-    """In how many of all documents each word of the templates occurs (as many counts as the templates have words), and their number."""
-    vocabulary = sorted({w for t in templates for w in t.text.split()})
+    """In how many of all documents each word of the key phrases occurs (as many counts as these have words), and their number."""
+    vocabulary = sorted({w for t in templates for w in t.key.split()})
     known = F.array_intersect(words_of(F.col(text)), F.array(*map(F.lit, vocabulary)))
     counts = docs.select(F.explode(F.concat(known, F.array(F.lit("")))).alias("word")).groupBy("word").count().collect()
     df = {r["word"]: r["count"] for r in counts}
