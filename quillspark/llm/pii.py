@@ -1,9 +1,10 @@
 """Personal data by weak supervision, in built-in functions.
 
-Base spans come from patterns with checks (email, ip, card, phone). The method adds spans of credentials (kind ``secret``):
+Base spans come from patterns with checks (email, ip, card, phone). The method adds account numbers (kind ``iban``, by their check
+digits) and spans of credentials (kind ``secret``):
 candidates are runs of letters, digits, ``_``, ``+``, ``/`` and ``-`` with a letter and a digit; labelers of three sorts vote on
 each one (patterns of the run, a gazetteer of key words in front of it, the context around it). One pass counts how often each
-combination of votes and span features occurs in all documents: at most 4^7 counts, whatever the number of rows. On those
+combination of votes and span features occurs in all documents: at most 3^7 * 36 counts, whatever the number of rows. On those
 counts expectation-maximisation estimates how reliable each labeler is and how likely each combination is personal data; a
 logistic span classifier is trained on these probabilities and decides every candidate.
 
@@ -39,7 +40,9 @@ CANDIDATE = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{8,}+"
 # Words that announce a credential.
 GAZETTEER = ("password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential")
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "iban")
+#: Account numbers: two letters, two check digits, 11 to 30 more characters, in one run or in groups of four.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -77,6 +80,21 @@ def _luhn(s: Column) -> Column:
     return total % 10 == 0
 
 
+def _mod97(s: Column) -> Column:
+    """Whether an account number's first four characters, moved behind the others, make it 1 modulo 97 (letters count 10 to 35)."""
+    bare = F.replace(s, F.lit(" "), F.lit(""))
+    turned = F.split(F.concat(F.substring(bare, 5, 40), F.substring(bare, 1, 4)), "")
+    value = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+    step = lambda a, c: F.when(c == "", a).otherwise(let(value(c), lambda v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97))
+    return F.aggregate(turned, F.lit(0), step) == 1
+
+
+def account_spans(text: Column) -> Column:
+    """Account numbers whose check digits hold."""
+    found = F.filter(spans(text, IBAN), lambda x: F.length(F.replace(x["text"], F.lit(" "), F.lit(""))).between(15, 34) & _mod97(x["text"]))
+    return F.when(text.rlike("[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]{4}"), found).otherwise(F.array().cast(_SPAN))
+
+
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 
@@ -108,6 +126,7 @@ LABELERS = (
     Labeler("mixed", lambda c: F.length(c["text"]) >= 16, lambda c: F.length(c["text"]) < 12),
     Labeler("gazetteer", lambda c: F.lower(c["before"]).rlike("(?:" + "|".join(GAZETTEER) + r")[\"']?\s*[:=]?\s*[\"']?$")),
     Labeler("assigned", lambda c: c["before"].rlike(r"[:=]\s*[\"']?$")),
+    Labeler("enclosed", lambda c: c["before"].rlike("[\"'`(<]$") & c["after"].rlike("^[\"'`)>]"), lambda c: c["before"].rlike("[a-z] $") & c["after"].rlike("^ [a-z]")),
     Labeler("prose", lambda c: F.lit(False), lambda c: c["text"].rlike("^[A-Z]?[a-z]+(?:[-/][a-z]+)*[0-9]{0,2}$") | c["text"].rlike("^[0-9]{1,4}(?:[-/][0-9a-z]{1,9}){1,3}$")),
 )
 
@@ -119,19 +138,22 @@ PRIOR_WEIGHT = 0.2
 
 
 def candidates(text: Column, taken: Column) -> Column:
-    """Runs that may be credentials, with 24 characters before them; those that lie wholly inside a base span are left out."""
+    """Runs that may be credentials, with 24 characters before and 8 behind them; those that lie wholly inside a span taken already are left out."""
     runs = F.filter(spans(text, CANDIDATE), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]"))
     free = lambda x: ~F.exists(taken, lambda t: (t["start"] <= x["start"]) & (x["end"] <= t["end"]))
-    around = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.substring(text, F.greatest(x["start"].cast("int") - 23, F.lit(1)), F.least(F.lit(24), x["start"].cast("int"))).alias("before"))
-    kind = "array<struct<start:bigint,end:bigint,text:string,before:string>>"
+    around = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.substring(text, F.greatest(x["start"].cast("int") - 23, F.lit(1)), F.least(F.lit(24), x["start"].cast("int"))).alias("before"), F.substring(text, x["end"].cast("int") + 1, F.lit(8)).alias("after"))
+    kind = "array<struct<start:bigint,end:bigint,text:string,before:string,after:string>>"
     return F.when(text.rlike("[A-Za-z_+/-][0-9]|[0-9][A-Za-z_+/-]"), F.transform(F.filter(runs, free), around).cast(kind)).otherwise(F.array().cast(kind))
 
 
 def _pattern(c: Column) -> Column:
-    """A candidate's votes (1, 0 or - of each labeler) and a length class, as a short string."""
+    """A candidate's votes (1, 0 or - of each labeler) and its own features, as a short string: classes of its length, of its share of digits, of its cases."""
     votes = [F.when(v.yes(c), F.lit("1")).when(v.no(c), F.lit("0")).otherwise(F.lit("-")) if v.no else F.when(v.yes(c), F.lit("1")).otherwise(F.lit("-")) for v in LABELERS]
     size = F.least(F.floor(F.length(c["text"]) / 10), F.lit(3)).cast("string")
-    return F.concat(*votes, size)
+    share = F.length(_digits(c["text"])) / F.length(c["text"])
+    digits = F.when(share < 0.2, F.lit("0")).when(share < 0.5, F.lit("1")).otherwise(F.lit("2"))
+    cases = F.when(c["text"].rlike("[A-Z]") & c["text"].rlike("[a-z]"), F.lit("2")).when(c["text"].rlike("[A-Z]"), F.lit("1")).otherwise(F.lit("0"))
+    return F.concat(*votes, size, digits, cases)
 
 
 def estimate(counts: dict[str, int], rounds: int = 100) -> dict[str, float]:
@@ -162,9 +184,13 @@ def estimate(counts: dict[str, int], rounds: int = 100) -> dict[str, float]:
     return belief
 
 
+#: Classes of length, share of digits and cases that count beside the first one.
+_CLASSES = ("123", "12", "12")
+
+
 def _features(p: str) -> list[float]:
     m = len(LABELERS)
-    return [1.0, *(1.0 if v == "1" else 0.0 for v in p[:m]), *(1.0 if v == "0" else 0.0 for v in p[:m]), *(1.0 if p[m] == s else 0.0 for s in "123")]
+    return [1.0, *(1.0 if v == "1" else 0.0 for v in p[:m]), *(1.0 if v == "0" else 0.0 for v in p[:m]), *(1.0 if p[m + k] == s else 0.0 for k, of in enumerate(_CLASSES) for s in of)]
 
 
 def train(counts: dict[str, int], belief: dict[str, float], rounds: int = 400, step: float = 2.0, penalty: float = 1e-3) -> list[float]:
@@ -174,7 +200,7 @@ def train(counts: dict[str, int], belief: dict[str, float], rounds: int = 400, s
     """
     rows = [(_features(p), belief[p], math.sqrt(counts[p])) for p in sorted(counts)]
     total = sum(w for _, _, w in rows) or 1.0
-    weights = [0.0] * (1 + 2 * len(LABELERS) + 3)
+    weights = [0.0] * (1 + 2 * len(LABELERS) + sum(map(len, _CLASSES)))
     for _ in range(rounds if rows else 0):
         slope = [penalty * w for w in weights]
         for x, y, w in rows:
@@ -194,8 +220,8 @@ def accepted(counts: dict[str, int]) -> list[str]:
 def _with_spans(docs: DataFrame, text: str, at: str) -> DataFrame:
     """docs with {at}_base (a struct of the base kinds' spans) and {at}_cand (candidates with their votes)."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    step = docs.select("*", F.struct(*[c.alias(k) for k, c in base_spans(whole).items()]).alias(f"{at}_base"))
-    taken = F.concat(*[F.col(f"{at}_base.{k}") for k in KINDS[:4]])
+    step = docs.select("*", F.struct(*[c.alias(k) for k, c in base_spans(whole).items()]).alias(f"{at}_base"), account_spans(whole).alias(f"{at}_iban"))
+    taken = F.concat(*[F.col(f"{at}_base.{k}") for k in KINDS[:4]], F.col(f"{at}_iban"))
     step = step.select("*", candidates(whole, taken).alias(f"{at}_runs"))
     voted = F.transform(f"{at}_runs", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), _pattern(c).alias("votes")))
     return step.select("*", voted.alias(f"{at}_cand")).drop(f"{at}_runs")
@@ -208,13 +234,13 @@ def vote_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
 
 
 def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
-    """docs with a struct of arrays of (start, end, text): email, ip, card, phone, secret."""
+    """docs with a struct of arrays of (start, end, text): email, ip, card, phone, secret, iban."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() == into.lower()])
     patterns = accepted(vote_counts(docs, text))
     at = free_prefix(docs, "_w")
     step = _with_spans(docs, text, at)
     secret = F.transform(F.filter(f"{at}_cand", lambda c: c["votes"].isin(patterns) if patterns else F.lit(False)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"))).cast(_SPAN)
-    return step.select(*docs.columns, F.struct(*[F.col(f"{at}_base.{k}").alias(k) for k in KINDS[:4]], secret.alias("secret")).alias(into))
+    return step.select(*docs.columns, F.struct(*[F.col(f"{at}_base.{k}").alias(k) for k in KINDS[:4]], secret.alias("secret"), F.col(f"{at}_iban").alias("iban")).alias(into))
 
 
 def _listed(kinds, into: str) -> Column:

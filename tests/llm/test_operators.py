@@ -522,3 +522,27 @@ def test_contract_types(spark, docs, tmp_path):
         for column in want.split():
             c, _, kind = column.partition(":")
             assert c in have and (not kind or have[c] == kind), (name, c, have.get(c))
+
+
+def test_secrets_recall_and_precision(spark):
+    """Planted credentials and look-alikes: at least 0.9 of the ones are found, at least 0.9 of what is found are such."""
+    r = random.Random(11)
+    run = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    hexa, mixed, upper = "0123456789abcdef", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    forms = ['token = "{}"', "api_key: {}", "password={}", "export SECRET='{}'", "Authorization: Bearer {}", 'access_key = "{}",']
+    plain = ["see chapter{} of it", "room b{} was full", "model x{}-pro is new", "on 2024-05-{}T10 we met", "version v{}.2beta1"]
+    rows, secrets = [], set()
+    for i in range(400):
+        s = run(hexa, 40) + "a1" if i % 3 == 0 else run(upper, 18) + "A7" if i % 3 == 1 else run(mixed, 28) + "b9"
+        secrets.add(s)
+        rows.append((i, f"some words go {r.choice(forms).format(s)} and on"))
+        rows.append((1000 + i, f"some words {r.choice(plain).format(r.randrange(10, 99))} and so on"))
+    found = [s.text for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in x.pii.secret]
+    right = sum(s in secrets for s in found)
+    assert right / len(secrets) >= 0.9 and right / len(found) >= 0.9, (right, len(secrets), len(found))
+
+
+def test_account_numbers(spark):
+    texts = ["pay to GB82 WEST 1234 5698 7654 32 now", "DE89370400440532013000", "pay to GB82 WEST 1234 5698 7654 33 now", "XDE89370400440532013000", None]
+    got = {x.i: [(s.start, s.text) for s in x.pii.iban] for x in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    assert got == {0: [(7, "GB82 WEST 1234 5698 7654 32")], 1: [(0, "DE89370400440532013000")], 2: [], 3: [], 4: []}
