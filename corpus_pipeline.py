@@ -9,7 +9,7 @@ last stage adds (ids, n_tokens), which are replaced.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import bpe_decode, bpe_encode
+from quillspark.llm.bpe import bpe_code
 from quillspark.llm.common import new_path, table
 from quillspark.llm.decontam import decontaminate
 from quillspark.llm.ngramjoin import keep_one
@@ -48,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their text and the text decoded from these."""
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("ids", "n_tokens")])
-    coded = bpe_decode(bpe_encode(kept), into="text")
+    coded = bpe_code(kept, into="text")
     return coded.select(*kept.columns, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
