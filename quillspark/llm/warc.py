@@ -1,21 +1,25 @@
 """WARC archives: a deterministic sharded writer and a verifying reader.
 
-Records are sorted by ranges of their id; each task regenerates headers and digests, compresses every record as a gzip member
-and closes a file once it has enough compressed bytes. Of records with equal payloads of at least 100 bytes that with the
+Records are dealt into ranges of their order (id, hash of the digest) that begin at multiples of a number of payload bytes, counted
+exactly over all pages. A task regenerates the headers and digests of whole ranges, compresses every record as a gzip member and
+closes a file at the end of a range or once it has enough compressed bytes. So the files depend on the pages and the parameters
+alone, whatever the number of partitions. Of records with equal payloads of at least 100 bytes that with the
 smallest id is a response and the others are revisits that refer to it; smaller payloads are always responses. File images
 are committed through temporary names and a manifest, on whatever store Spark writes to.
 
 Defined cases: a null payload is empty; a null url gives a placeholder URI and reads back as null; a null id is kept as null,
 and its record is a response unless an equal payload has an id; rows that repeat the smallest id are all responses; an empty
-table gives no files and no rows. Columns other than id, url and payload are not stored.
+table gives no files and no rows; very long payloads are records of their own size; equal rows stay in one range. Columns other
+than id, url and payload are not stored.
 """
 
 import hashlib
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import commit_files, saved, table
@@ -23,6 +27,11 @@ from .common import commit_files, saved, table
 #: Compressed bytes after which a file is closed, and zlib's level.
 FILE_BYTES = 8 << 20
 LEVEL = 4
+#: Payload bytes of a range, and the most ranges there are: beyond, ranges grow, so that their starts (16 bytes each) can be broadcast.
+RANGE_BYTES = 4 * FILE_BYTES
+MOST_RANGES = 1 << 20
+#: What a record without payload counts in its range, about its headers.
+_HEAD_BYTES = 512
 #: Payloads below this size are never revisits.
 LEAST_BYTES = 100
 _URN = "urn:x-quillspark:page:"
@@ -48,6 +57,25 @@ def record(page_id, url, payload: bytes, digest: str, first, date: str) -> bytes
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
+def _member(data: bytes, level: int) -> bytes:
+    gz = zlib.compressobj(level, wbits=31)
+    return gz.compress(data) + gz.flush()
+
+
+def info(name: str, date: str) -> bytes:
+    """The record that a file begins with."""
+    block = b"software: quillspark\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:x-quillspark:file:{name}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+_INFO = b"WARC/1.1\r\nWARC-Type: warcinfo\r\n"
+
+
+def file_name(part: int, seq: int) -> str:
+    return f"{part:07d}-{seq:05d}.warc.gz"
+
+
 def members(image: bytes, step: int = 1 << 16):
     """The gzip members of a file, each decompressed."""
     view, at = memoryview(image), 0
@@ -100,33 +128,71 @@ def _revisits(pages: DataFrame) -> DataFrame:
     return salted.join(firsts, ["digest", "salt"]).where(F.col("id") > F.col("first")).select("id", "digest", "first").distinct()
 
 
-def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2000-01-01T00:00:00Z", file_bytes: int = FILE_BYTES, level: int = LEVEL) -> str:
+def _starts(rows: DataFrame, range_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (key, hash) at which each range begins, ascending: at most MOST_RANGES, found by exact sums of bytes over (key, hash, bytes)."""
+    sized = rows.groupBy("key", "hash").agg(F.sum("bytes").alias("bytes")).repartitionByRange("key", "hash")
+    sized = saved(sized.withColumn("at", F.spark_partition_id()), "warc-sizes")
+    totals = sized.groupBy("at").agg(F.sum("bytes").alias("bytes"))
+    whole = totals.agg(F.sum("bytes")).first()[0] or 0
+    step = max(range_bytes, -(-whole // MOST_RANGES))
+    # One row a partition: the bytes before it.
+    before = totals.select("at", (F.sum("bytes").over(Window.orderBy("at")) - F.col("bytes")).alias("before"))
+    running = F.sum("bytes").over(Window.partitionBy("at").orderBy("key", "hash")) - F.col("bytes")
+    placed = sized.withColumn("running", running).join(before, "at").withColumn("range", F.floor((F.col("before") + F.col("running")) / F.lit(step)))
+    found = placed.groupBy("range").agg(F.min(F.struct("key", "hash")).alias("start")).select("range", "start.key", "start.hash").toArrow().sort_by("range")
+    return found["key"].to_numpy(), found["hash"].to_numpy()
+
+
+def _range_of(spark, starts: tuple[np.ndarray, np.ndarray]):
+    """A function of the columns (key, hash): the number of the range."""
+    shared = spark.sparkContext.broadcast(starts)
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series, hashed: pd.Series) -> pd.Series:
+        keys, hashes = shared.value
+        low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+        for i in np.flatnonzero(low < high):
+            low[i] += np.searchsorted(hashes[low[i] : high[i]], hashed[i], "right")
+        return pd.Series(low - 1)
+
+    return place
+
+
+def write_warc(
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2000-01-01T00:00:00Z", file_bytes: int = FILE_BYTES, level: int = LEVEL, range_bytes: int = RANGE_BYTES
+) -> str:
     """Writes all pages; the path of the committed archive."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("string")
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     # What revisits what travels as rows of its own through the one exchange of the payloads, just before the page it belongs to.
     notes = saved(_revisits(rows), "warc-revisits").select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "digest", "first")
     both = rows.withColumn("first", F.lit(None).cast("long")).unionByName(notes)
-    order = [F.col("id").asc_nulls_first(), F.col("first").isNull(), "digest", "url"]
-    dealt = both.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(*order)
+    # Null ids sort first; where the least long is an id too, it only shares their ranges.
+    key, hashed = F.coalesce("id", F.lit(-(1 << 63))), F.xxhash64("digest")
+    place = _range_of(pages.sparkSession, _starts(rows.select(key.alias("key"), hashed.alias("hash"), (F.octet_length("payload") + _HEAD_BYTES).cast("long").alias("bytes")), range_bytes))
+    order = ["range", F.col("id").asc_nulls_first(), F.col("first").isNull(), hashed, "digest", "url"]
+    dealt = both.withColumn("range", place(key, hashed)).repartition("range").sortWithinPartitions(*order)
 
     def run(batches):
-        part, seq, members_, size = TaskContext.get().partitionId(), 0, [], 0
+        part, seq, members_, size = None, 0, [], 0
         of, firsts = None, {}
 
         def image():
-            body = b"".join(members_)
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_records": [len(members_)], "n_bytes": [size], "sha256": [hashlib.sha256(body).hexdigest()], "image": [body]}, schema=kind)
+            body = _member(info(file_name(part, seq), date), level) + b"".join(members_)
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_records": [len(members_)], "n_bytes": [len(body)], "sha256": [hashlib.sha256(body).hexdigest()], "image": [body]}, schema=kind)
 
         for batch in batches:
             for k in range(batch.num_rows):
-                i, u, text, digest, first = (c[k].as_py() for c in batch.columns)
+                i, u, text, digest, first, at = (c[k].as_py() for c in batch.columns)
+                if at != part:
+                    if members_:
+                        yield image()
+                    part, seq, members_, size, of, firsts = at, 0, [], 0, None, {}
                 if first is not None:
                     of, firsts = i, {digest: first} | (firsts if of == i else {})
                     continue
                 first = firsts.get(digest) if of == i and i is not None else None
-                gz = zlib.compressobj(level, wbits=31)
-                members_.append(gz.compress(record(i, u, text.encode(), digest, first, date)) + gz.flush())
+                members_.append(_member(record(i, u, text.encode(), digest, first, date), level))
                 size += len(members_[-1])
                 if size >= file_bytes:
                     yield image()
@@ -152,7 +218,7 @@ def read_warc(spark, path: str, payloads: bool = False) -> DataFrame:
                 if hashlib.sha256(image).hexdigest() != digest:
                     raise ValueError(f"file {part}-{seq} does not have the digest that was written")
                 at = {"part": part, "seq": seq, "sha256": digest}
-                yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} | at for r in map(parse, members(image))], schema=kind)
+                yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} | at for r in (parse(x) for x in members(image) if not x.startswith(_INFO))], schema=kind)
 
     return files.mapInArrow(run, fields).join(listed, ["part", "seq"]).where(F.col("sha256") == F.col("listed")).select(*names)
 

@@ -407,6 +407,22 @@ def test_warc(spark):
     assert warc.read_warc(spark, warc.write_warc(pages.limit(0))).count() == 0
 
 
+def test_warc_files_do_not_depend_on_partitions(spark):
+    rows = [(i % 400 - 100 if i % 9 else None, f"http://a/{i}", f"<p>{prose(5 + i % 40, i % 300)}</p>") for i in range(600)]
+    pages, before, found = spark.createDataFrame(rows, "page_id long, url string, html string"), spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for dealt, shuffled in ((1, 1), (7, 3), (3, 11)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+            path = warc.write_warc(pages.repartition(dealt), file_bytes=2000, range_bytes=20000)
+            found.append(sorted(map(tuple, spark.read.parquet(f"{path}/manifest").select("part", "seq", "n_records", "n_bytes", "sha256").collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and len({f[0] for f in found[0]}) > 5 and len(found[0]) > len({f[0] for f in found[0]})
+    assert sum(f[2] for f in found[0]) == len(rows)
+    image = spark.read.parquet(f"{path}/files").where("part = 1 and seq = 0").first().image
+    assert next(iter(warc.members(image))).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and warc.file_name(1, 0).encode() in next(iter(warc.members(image)))
+
+
 # licenses
 
 
