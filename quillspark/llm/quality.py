@@ -154,3 +154,25 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
     q = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return q.select("doc_id", *[F.col(f"measures.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
+
+
+_STOPS = ", ".join(f"'{v}'" for v in sorted({v for w in STOP_WORDS for v in (w, w.capitalize())}))
+ORACLE = f"""
+with t as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') words,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) lines from t),
+u as (select rid, unnest(words) a, unnest(range(len(words))) p from w),
+g as (select rid, p, a, lead(a) over d b, lead(a, 2) over d c from u window d as (partition by rid order by p)),
+h as (select rid, p, count(*) over (partition by rid, a, b, c) again from g where c is not null),
+c as (select rid, count(distinct q) n from (select rid, unnest([p, p + 1, p + 2]) q from h where again > 1) group by rid),
+m as (select doc_id, len(words) n_words, cast(length(array_to_string(words, '')) as bigint) word_chars,
+  cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) n_symbols,
+  len(lines) - len(list_distinct(lines)) n_dup_lines, coalesce(n, 0) n_repeat_words,
+  len(list_filter(words, lambda x: x in ({_STOPS}))) stops, len(lines) n_lines
+  from w left join c using (rid)),
+j as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and word_chars / n_words between 2 and 14 and n_symbols / n_words <= 0.1 and stops / n_words >= 0.03
+    and n_dup_lines / n_lines <= 0.5 kept
+from j
+"""

@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontamination": decontam.ORACLE, "op6_ngram_jaccard": ngramjoin.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op1_decontamination": decontam.ORACLE, "op3_quality_rules": quality.ORACLE, "op6_ngram_jaccard": ngramjoin.ORACLE, "op9_warc": warc.ORACLE}
