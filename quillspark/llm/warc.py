@@ -30,6 +30,8 @@ LEVEL = 4
 #: Payload bytes of a range, and the most ranges there are: beyond, ranges grow, so that their starts (16 bytes each) can be broadcast.
 RANGE_BYTES = 4 * FILE_BYTES
 MOST_RANGES = 1 << 20
+#: Tasks that write files, at most: each takes one range, or every MOST_TASKS-th.
+MOST_TASKS = 1 << 15
 #: What a record without payload counts in its range, about its headers.
 _HEAD_BYTES = 512
 #: Payloads below this size are never revisits.
@@ -169,9 +171,10 @@ def write_warc(
     both = rows.withColumn("first", F.lit(None).cast("long")).unionByName(notes)
     # Null ids sort first; where the least long is an id too, it only shares their ranges.
     key, hashed = F.coalesce("id", F.lit(-(1 << 63))), F.xxhash64("digest")
-    place = _range_of(pages.sparkSession, _starts(rows.select(key.alias("key"), hashed.alias("hash"), (F.octet_length("payload") + _HEAD_BYTES).cast("long").alias("bytes")), range_bytes))
+    starts = _starts(rows.select(key.alias("key"), hashed.alias("hash"), (F.octet_length("payload") + _HEAD_BYTES).cast("long").alias("bytes")), range_bytes)
+    place = _range_of(pages.sparkSession, starts)
     order = ["range", F.col("id").asc_nulls_first(), F.col("first").isNull(), hashed, "digest", "url"]
-    dealt = both.withColumn("range", place(key, hashed)).repartition("range").sortWithinPartitions(*order)
+    dealt = both.withColumn("range", place(key, hashed)).repartitionById(max(1, min(len(starts[0]), MOST_TASKS)), F.col("range")).sortWithinPartitions(*order)
 
     def run(batches):
         part, seq, members_, size = None, 0, [], 0
