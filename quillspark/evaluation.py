@@ -303,7 +303,7 @@ def s15(spark, d):
 
 @query("w4_weak_queries", f"""with {_TOP}, rel as (select query_id, count(*) n from t where same group by query_id), g as (select query_id, count(*) filter (where same) f, min(rank) filter (where same) first, sum(case when same then 1 / log2(rank + 1) else 0 end) dcg from r where rank <= 5 group by query_id), i as (select query_id, n, (select sum(1 / log2(x + 1)) from unnest(range(1, cast(least(n, 5) as bigint) + 1)) u(x)) ideal from rel) select query_id from g join i using (query_id) where first is null or dcg / ideal < 0.85 or f / n < 0.75""")
 def w4(spark, d):
-    return M.weak_queries(M.ranking_metrics(*_graded(spark, d), (5,))).select("query_id")
+    return M.weak_queries(M.graded_metrics(*_graded(spark, d), (5,))).select("query_id")
 
 
 @query("a12_no_match", "with q as (select c_custkey % 3 = 0 empty from customer where c_custkey % 2 = 0) select count(*) AS n, count(*) filter (where empty) / count(*) AS accuracy from q")

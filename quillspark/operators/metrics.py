@@ -51,11 +51,17 @@ def slice_accuracy(rows: DataFrame, slices: list[str]) -> DataFrame:
 def ranking_metrics(hits: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """(query_id, k, precision, recall, rr, ndcg) for every query with a relevant document; hits: (query_id, doc_id, rank)."""
     grades = qrels.where("grade > 0").dropDuplicates(["query_id", "doc_id"])
+    return graded_metrics(hits.join(grades, ["query_id", "doc_id"]), grades.groupBy("query_id", "grade").agg(F.count("*").alias("n")), ks)
+
+
+def graded_metrics(found: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """The same from relevant hits (query_id, rank, grade) and counts of relevant documents (query_id, grade, n), which need no pairs."""
     cut = F.explode(F.array(*map(F.lit, ks)))
     gain = lambda g, r: (F.pow(F.lit(2.0), g) - 1) / F.log2(r + 1)
-    ideal_rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("grade").desc(), "doc_id"))
-    ideal = grades.withColumn("r", ideal_rank).withColumn("k", cut).groupBy("query_id", "k").agg(F.count("*").alias("relevant"), F.sum(F.when(F.col("r") <= F.col("k"), gain(F.col("grade"), F.col("r")))).alias("ideal"))
-    got = hits.join(grades, ["query_id", "doc_id"]).withColumn("k", cut).where("rank <= k").groupBy("query_id", "k")
+    places = relevant.where("grade > 0 and n > 0").select("query_id", "grade", "n", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(max(ks))).cast("int"))).alias("place"))
+    ideal_rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("grade").desc(), "place"))
+    ideal = places.withColumn("r", ideal_rank).withColumn("k", cut).groupBy("query_id", "k").agg(F.sum(F.when(F.col("place") == 1, F.col("n"))).alias("relevant"), F.sum(F.when(F.col("r") <= F.col("k"), gain(F.col("grade"), F.col("r")))).alias("ideal"))
+    got = found.withColumn("k", cut).where("rank <= k").groupBy("query_id", "k")
     got = got.agg(F.count("*").alias("found"), F.min("rank").alias("first"), F.sum(gain(F.col("grade"), F.col("rank"))).alias("dcg"))
     rows = ideal.join(got, ["query_id", "k"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))

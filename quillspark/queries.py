@@ -140,11 +140,10 @@ def q3(spark, d):
     return S.search(parse_queries(asked(spark, d)).persist(), corpus).select("query_id", "rank", "doc_id", "score")
 
 
-@query("q6_phrase_search", _CORPUS + """, s as (select distinct gold_supplier n from corpus where gold_supplier <> 'Unknown Trading Company'), q as (select n, row_number() over (order by n) query_id from s), m as (select query_id, doc_id, row_number() over (partition by query_id order by doc_id) r from q join corpus on gold_supplier = n where gold_type = 'receipt') select query_id, cast(r as integer) AS rank, doc_id, cast(2 as integer) AS lexical_tier from m where r <= 5""")
+@query("q6_phrase_search", _CORPUS + """, q as (select distinct gold_supplier n, gold_supplier query_id from corpus), m as (select query_id, doc_id, row_number() over (partition by query_id order by doc_id) r from q join corpus on gold_supplier = n where gold_type = 'receipt') select query_id, cast(r as integer) AS rank, doc_id, cast(2 as integer) AS lexical_tier from m where r <= 5""")
 def q6(spark, d):
     c = rendered(spark, d)
-    names = c.select("gold_supplier").distinct().where("gold_supplier != 'Unknown Trading Company'")
-    q = names.select(F.row_number().over(Window.orderBy("gold_supplier")).cast("long").alias("query_id"), F.concat(F.lit("receipts "), F.col("gold_supplier")).alias("query"))
+    q = c.select(F.col("gold_supplier").alias("query_id")).distinct().select("query_id", F.concat(F.lit("receipts "), F.col("query_id")).alias("query"))
     corpus = S.search_corpus(process(c.select("doc_id", "text"))).persist()
     return S.search(parse_queries(q).persist(), corpus).select("query_id", "rank", "doc_id", "lexical_tier")
 
@@ -176,15 +175,18 @@ def q14(spark, d):
 
 
 def _graded(spark, d):
-    v = read(spark, d, "embeddings")
+    """Hits of a query's own label, and how many other vectors have that label."""
+    v = read(spark, d, "embeddings").select("vec_id", "label")
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return nearest(spark, d).select("query_id", F.col("vec_id").alias("doc_id"), "rank"), q.join(v.select(F.col("vec_id").alias("doc_id"), "label"), "label").where("query_id != doc_id").select("query_id", "doc_id", F.lit(1).alias("grade"))
+    found = nearest(spark, d).join(q, "query_id").join(v, ["vec_id", "label"]).select("query_id", "rank", F.lit(1).alias("grade"))
+    sizes = v.groupBy("label").agg(F.count("*").alias("n"))
+    return found, q.join(sizes, "label").select("query_id", F.lit(1).alias("grade"), (F.col("n") - 1).alias("n"))
 
 
 @query("w1_ranking_metrics", f"""with {_TOP}, rel as (select query_id, count(*) n from t where same group by query_id), k as (select unnest([1, 3, 5]) k), g as (select query_id, k, count(*) filter (where same) f, min(rank) filter (where same) first, sum(case when same then 1 / log2(rank + 1) else 0 end) dcg from r, k where rank <= k group by query_id, k), i as (select query_id, k, (select sum(1 / log2(x + 1)) from unnest(range(1, cast(least(n, k) as bigint) + 1)) u(x)) ideal, n from rel, k)
 select cast(k as integer) AS k, count(*) AS queries, round(avg(f / k), 6) AS precision, round(avg(f / n), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS rr, round(avg(dcg / ideal), 6) AS ndcg from g join i using (query_id, k) group by k""")
 def w1(spark, d):
-    return M.mean_metrics(M.ranking_metrics(*_graded(spark, d)))
+    return M.mean_metrics(M.graded_metrics(*_graded(spark, d)))
 
 
 _JUDGED = "j as (select quality gold, case when length(text) >= 600 then 1 else 0 end pred, lang, case when quality = case when length(text) >= 600 then 1 else 0 end then 1 else 0 end ok from documents join labels using (doc_id))"

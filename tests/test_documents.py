@@ -11,6 +11,7 @@ from quillspark import queries
 from quillspark.functions import text as T
 from quillspark.functions import values as V
 from quillspark.operators import metrics as M
+from quillspark.operators import search as S
 from quillspark.operators.classify import wording_type
 from quillspark.operators.extract import fields
 from quillspark.operators.queries import parse_queries
@@ -95,3 +96,63 @@ def test_hashed_vectors(spark, tmp_path):
         want |= {(i, h): x / norm for h, x in sums.items()} or {(i, None): 0.0}
     got = queries.QUERIES["q14_hashed_vectors"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r.doc_id, r.bucket): r.weight for r in got} == pytest.approx(want)
+
+
+def _search_brute(asked, docs, k):
+    """Phrase tiers, gate, bounds, share of words and rank, one pair at a time."""
+    norm = lambda x: re.sub(r"\s+", " ", re.sub(r"[^\w\s]|_", " ", (x or "").lower())).strip()
+    rows = []
+    for q in asked:
+        if q["error"]:
+            continue
+        phrase, scored, gate = norm(q["semantic_text"]), [], False
+        for d in docs:
+            fields = [norm(d["number"]), norm(d["supplier"]), "", norm(d["text"])]
+            inside = [i + 1 for i, f in enumerate(fields) if phrase and (f == phrase if i == 0 else f" {phrase} " in f" {f} ")]
+            gate = gate or bool(inside)
+            ok = q["document_type"] in (None, d["type"]) and (q["supplier"] is None or norm(q["supplier"]) == norm(d["supplier"]))
+            ok = ok and (q["document_number"] is None or q["document_number"].lower() in d["number"])
+            ok = ok and (q["amount_lt"] is None or (d["amount"] is not None and d["amount"] < q["amount_lt"]))
+            if ok:
+                words, have = set(phrase.split()), set((fields[1] + " " + fields[3]).split())
+                scored.append((inside[0] if inside else 5, len(words & have) / len(words) if words else 0.0, d["doc_id"]))
+        if q["semantic_text"] == "":
+            best = [(None, 1.0, i) for _, _, i in sorted(scored, key=lambda x: x[2])]
+        else:
+            best = sorted((x for x in scored if not gate or x[0] < 5), key=lambda x: (x[0], -x[1], x[2]))
+        rows += [(q["query_id"], r + 1, i, round(s, 9), t) for r, (t, s, i) in enumerate(best[:k])]
+    return sorted(rows, key=str)
+
+
+@pytest.mark.parametrize("block", [10_000, 2])
+def test_search(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "MAX_QUERIES", block)
+    docs = [
+        ("1", "invoice", "Alpha Ltd", "inv-10", 100.0, "alpha ltd chairs and tables"),
+        ("2", "receipt", "Beta Co", "r-7", 50.0, "beta co tables"),
+        ("3", "invoice", "Alpha Ltd", "inv-11", None, "green chairs"),
+        ("4", "purchase_order", "", "", 900.0, ""),
+        ("5", None, None, "x", 20.0, "lamps for alpha"),
+        ("6", "receipt", "Beta Co", "r-8", 10.0, "beta co lamps and chairs"),
+    ]
+    docs = [dict(zip(("doc_id", "type", "supplier", "number", "amount", "text"), r, strict=True)) for r in docs]
+    corpus = spark.createDataFrame(docs, "doc_id string, type string, supplier string, number string, amount double, text string")
+    n = lambda c: T.normal_name(F.coalesce(F.col(c), F.lit("")))
+    corpus = corpus.select("doc_id", F.col("doc_id").alias("doc_ord"), "type", "supplier", n("supplier").alias("supplier_norm"), "number", n("number").alias("number_norm"), F.col("amount").cast("decimal(18,4)").alias("amount_dec"), F.lit(None).cast("date").alias("date_val"), F.lit("").alias("filename_norm"), n("text").alias("text_norm"))
+    none = {"document_type": None, "supplier": None, "document_number": None, "amount_lt": None, "semantic_text": "", "error": None}
+    cases = [
+        {}, {"document_type": "invoice"}, {"supplier": "ALPHA, ltd"}, {"supplier": "Beta Co", "document_type": "invoice"}, {"amount_lt": 60.0},
+        {"document_number": "INV"}, {"semantic_text": "green chairs"}, {"semantic_text": "beta co", "amount_lt": 20.0}, {"semantic_text": "r 7"},
+        {"semantic_text": "chairs lamps"}, {"semantic_text": "green chairs", "document_type": "receipt"}, {"semantic_text": "zebra", "document_type": "receipt"},
+        {"semantic_text": "red lamps", "supplier": "Beta Co"}, {"semantic_text": "!!"}, {"error": "query is required"}, {"semantic_text": "nothing here", "amount_lt": 30.0},
+    ]
+    asked = [{"query_id": i, **none, **c} for i, c in enumerate(cases)]
+    q = spark.createDataFrame(asked, "query_id long, document_type string, supplier string, document_number string, amount_lt double, semantic_text string, error string")
+    ops = ("eq", "lt", "lte", "gt", "gte", "min", "max")
+    q = q.withColumn("amount_lt", F.col("amount_lt").cast("decimal(18,4)")).withColumns({f"amount_{x}": F.lit(None).cast("decimal(18,4)") for x in ops if x != "lt"} | {f"date_{x}": F.lit(None).cast("date") for x in ops})
+    got = [(r.query_id, r.rank, r.doc_id, round(r.score, 9), r.lexical_tier) for r in S.search(q, corpus, 4).collect()]
+    assert sorted(got, key=str) == _search_brute(asked, docs, 4)
+    assert S.search(q.where("false"), corpus).count() == 0
+    scores = spark.createDataFrame([(11, "2", 0.9), (11, "6", 0.1), (9, "5", 0.8)], "query_id long, doc_id string, score double")
+    by = {(r.query_id, r.doc_id): r.score for r in S.search(q, corpus, 9, scores, 0.5).collect()}
+    assert {k for k in by if k[0] == 11} == {(11, "2"), (11, "6")} and {k for k in by if k[0] == 9} == {(9, "5")}
