@@ -16,7 +16,9 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     letter = lambda x: F.char((F.lit(65) + x % 26).cast("int"))
     sk = F.col("sk")
     name = F.when(sk.isNull(), F.lit("Unknown Trading Company")).otherwise(F.concat(letter(sk), letter(F.floor(sk / 26)), letter(F.floor(sk / 676)), F.lit(" Trading Company")))
-    o = orders.join(customer, "o_custkey").join(first, "k", "left").withColumn("s", name)
+    # The rows are small but each costs a document's extraction: a stated number of partitions keeps adaptive execution from merging them by bytes.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    o = orders.join(customer, "o_custkey").repartition(parts, "k").join(first, "k", "left").withColumn("s", name)
     day = lambda pattern: F.date_format("d", pattern)
     number = lambda base: (F.col("k") + base).cast("string")
     amount, lf = F.format_number("p", 2), "\n"
