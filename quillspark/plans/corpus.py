@@ -37,6 +37,23 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flawed(docs: DataFrame) -> DataFrame:
+    """Rendered documents with flaw (0 to 5, by doc_id): none; no date, amount, supplier or number; a date that checks refuse."""
+    text = F.col("text")
+    cuts = {
+        1: r"(?m)^(?:Invoice Date|Date|PO Creation Date) ?: .*\n",
+        2: r"\n(?:Balance Due: |TOTAL AMT PAYABLE |Grand Total ).*",
+        3: r"(?m)^(?:Vendor|Company Name|SUPPLIER): .*\n",
+        4: r"(?m)^(?:Receipt No\. |PO Number : ).*\n|(?<=INVOICE) # \d+",
+    }
+    flaw = F.floor(F.col("doc_id") / 3) % 6
+    changed = F.regexp_replace(F.regexp_replace(text, r"(\d{4})-(\d\d)-(\d\d)", "$1/$2/$3"), r"(\d\d)[/.](\d\d)[/.](\d{4})", "$1-$2-$3")
+    made = F.when(F.col("flaw") == 5, changed)
+    for i, pattern in cuts.items():
+        made = made.when(F.col("flaw") == i, F.regexp_replace(text, pattern, ""))
+    return docs.withColumn("flaw", flaw).withColumn("text", made.otherwise(text))
+
+
 #: The same for DuckDB, as a common table expression named corpus.
 SQL = """sup as (select l_orderkey, min(l_suppkey) sk from lineitem group by l_orderkey),
 o as (select o_orderkey k, o_orderkey % 3 m, o_totalprice p, o_orderdate d, c_name c,
