@@ -148,6 +148,33 @@ def q1(spark, d):
     return parse_queries(asked(spark, d)).select("query_id", "document_type", "amount_lt", "date_gte", "semantic_text")
 
 
+def worded(spark: SparkSession, d: str) -> DataFrame:
+    """A query for every order, in eight wordings: dates, ranges, amounts, suppliers, numbers, an incomplete date, a blank."""
+    c = rendered(spark, d)
+    kinds, n, day = F.concat(F.replace(F.col("gold_type"), F.lit("_"), F.lit(" ")), F.lit("s ")), F.floor(F.col("gold_total") / 50), lambda f: F.date_format("gold_date", f)
+    forms = [
+        F.concat(kinds, F.lit("on or before "), day("d MMMM yyyy")),
+        F.concat(kinds, F.lit("between "), n, F.lit(" and "), n + 100),
+        F.concat(kinds, F.lit("at least "), n),
+        F.concat(kinds, F.lit("from "), F.col("gold_supplier"), F.lit(" over "), n),
+        F.concat(kinds, F.lit("dated "), day("yyyy-MM-dd")),
+        F.concat(F.replace(F.col("gold_type"), F.lit("_"), F.lit(" ")), F.lit(" "), F.col("doc_id") + 10000, F.lit(" oak desk")),
+        F.concat(kinds, F.lit("after "), day("yyyy")),
+        F.lit("  "),
+    ]
+    return c.select(F.col("doc_id").alias("query_id"), F.get(F.array(*forms), (F.floor(F.col("doc_id") / 3) % 8).cast("int")).alias("query"))
+
+
+@query("q1_query_wordings", _CORPUS + """, q as (select *, (doc_id // 3) % 8 w, cast(floor(gold_total / 50) as decimal(18,4)) n from corpus)
+select doc_id AS query_id, case when w <> 7 then gold_type end AS document_type, case when w = 5 and gold_type <> 'purchase_order' then cast(doc_id + 10000 as varchar) end AS document_number,
+ case when w = 3 then gold_supplier end AS supplier, case when w = 0 then gold_date end AS date_lte, case when w = 4 then gold_date end AS date_eq,
+ case when w = 2 then n end AS amount_gte, case when w = 3 then n end AS amount_gt, case when w = 1 then n end AS amount_min, case when w = 1 then cast(n + 100 as decimal(18,4)) end AS amount_max,
+ case w when 5 then case when gold_type = 'purchase_order' then cast(doc_id + 10000 as varchar) || ' ' else '' end || 'oak desk' when 6 then 'after ' || year(gold_date) else '' end AS semantic_text,
+ case w when 6 then 'Date filters require a complete day, month, and year, for example: after 1st January 2026.' when 7 then 'query is required' end AS error from q""")
+def q1_wordings(spark, d):
+    return parse_queries(worded(spark, d)).select("query_id", "document_type", "document_number", "supplier", "date_lte", "date_eq", "amount_gte", "amount_gt", "amount_min", "amount_max", "semantic_text", "error")
+
+
 @query("q3_structured_search", _CORPUS + f", {_ASKED}, m as (select query_id, doc_id, row_number() over (partition by query_id order by doc_id) r from q join corpus on gold_type = t and cast(replace(format('{{:,.2f}}', gold_total), ',', '') as decimal(18,4)) < a and gold_date >= d) select query_id, cast(r as integer) AS rank, doc_id, 1.0::double AS score from m where r <= 5")
 def q3(spark, d):
     corpus = S.search_corpus(process(rendered(spark, d).select("doc_id", "text"))).persist()
