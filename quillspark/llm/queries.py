@@ -1,6 +1,6 @@
 """The subpackage's registered queries and their SQL."""
 
-from . import bpe, decontam, licenses, ngramjoin, pii, quality, sharding, tokbin, tokcount, warc
+from . import bpe, decontam, lexical, licenses, ngramjoin, pieces, pii, quality, runs, sharding, tokbin, tokcount, warc
 
 
 def queries() -> dict:
@@ -15,8 +15,11 @@ def queries() -> dict:
         "op8_token_files": tokbin.op8,
         "op9_warc": warc.op9,
         "op10_license_scan": licenses.op10,
+        "op11_ranked_search": lexical.op11,
+        "op12_sentencepiece": pieces.op12,
+        "op13_periodic_runs": runs.op13,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontamination": decontam.ORACLE, "op3_quality_rules": quality.ORACLE, "op6_ngram_jaccard": ngramjoin.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op1_decontamination": decontam.ORACLE, "op3_quality_rules": quality.ORACLE, "op6_ngram_jaccard": ngramjoin.ORACLE, "op9_warc": warc.ORACLE, "op11_ranked_search": lexical.ORACLE}
