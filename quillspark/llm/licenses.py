@@ -27,7 +27,7 @@ _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Base phrases and their labels.
-BASE = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 
 @dataclass(frozen=True)
@@ -217,4 +217,29 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, key_
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """scan_licenses() over all documents."""
-    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def _sql() -> str:
+    """DuckDB's SQL for op10: every template is tried wherever its key phrase stands."""
+    words = lambda text: "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
+    base = ", ".join(f"('{label}', {words(phrase)})" for phrase, label in BASE)
+    templates = ", ".join(f"('{t.label}', {words(t.key)}, {_key_start(t)}, {words(t.text)})" for t in TEMPLATES)
+    return rf"""
+with d as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') w from documents),
+j as (select rid, w, ' ' || array_to_string(w, ' ') || ' ' line from d),
+b as (select * from (values {base}) v(label, key)),
+t as (select * from (values {templates}) v(label, key, before, words)),
+bp as (select rid, label, p from (select rid, w, label, key, unnest(range(1, len(w) - len(key) + 2)) p from j join b on contains(line, ' ' || array_to_string(key, ' ') || ' ')) where w[p:p + len(key) - 1] = key),
+tp as (select rid, w, label, words, p - before s from (select rid, w, t.*, unnest(range(1, len(w) - len(key) + 2)) p from j join t on contains(line, ' ' || array_to_string(key, ' ') || ' ')) where w[p:p + len(key) - 1] = key),
+ts as (select rid, label, list_sum(list_transform(range(0, len(words)), lambda k: case when s + k between 1 and len(w) and w[cast(greatest(s + k, 1) as bigint)] = words[k + 1] then 1 else 0 end)) / len(words) score from tp),
+ba as (select rid, count(*) n, min(p) - 1 a, max(p) - 1 z, string_agg(distinct label, ',' order by label) labels from bp group by rid),
+la as (select rid, string_agg(distinct label, ',' order by label) labels from (select rid, label from bp union all select rid, label from ts) group by rid),
+sc as (select rid, max(score) score from ts group by rid)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n, 0) n_base, a first_word, z last_word, coalesce(ba.labels, '') base_labels, coalesce(la.labels, '') labels,
+  cast(case when n > 0 then 1 else coalesce(score, 0) end as double) score
+from d left join ba using (rid) left join la using (rid) left join sc using (rid)
+"""
+
+
+ORACLE = _sql()

@@ -236,8 +236,15 @@ def test_secrets_that_overlap_base_spans(spark, docs):
 
 
 def test_labelers_are_weighed():
-    counts = {"1-111-3": 400, "-11---2": 300, "-000-00": 5000, "----1-1": 40, "-0----1": 900}
-    assert set(pii.accepted(counts)) >= {"1-111-3", "-11---2"} and not {"-000-00", "-0----1"} & set(pii.accepted(counts))
+    def seen(classes, **votes):
+        """A pattern of the votes of some labelers and the classes of size, digits and cases."""
+        assert set(votes) <= {v.name for v in pii.LABELERS} and len(classes) == len(pii._CLASSES)
+        return "".join(str(votes.get(v.name, "-")) for v in pii.LABELERS) + classes
+
+    secret, key = seen("310", hex=1, mixed=1, gazetteer=1, assigned=1), seen("211", key_id=1, mixed=1, assigned=1)
+    model, plain = seen("000", key_id=0, mixed=0, prose=0), seen("100", key_id=0, prose=0)
+    counts = {secret: 400, key: 300, model: 5000, seen("110", enclosed=1): 40, plain: 900}
+    assert set(pii.accepted(counts)) >= {secret, key} and not {model, plain} & set(pii.accepted(counts))
     assert pii.accepted({}) == []
 
 
@@ -425,12 +432,14 @@ def test_warc_files_do_not_depend_on_partitions(spark):
 
 # licenses
 
+PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+
 
 def test_licenses(docs, none):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs.withColumn("SCORE", F.lit(1))).collect()}
     for r in got.values():
         w, starts, labels = plain_words(r.text), [], set()
-        for phrase, label in licenses.BASE:
+        for phrase, label in PHRASES:
             p = phrase.split()
             for i in range(len(w)):
                 if w[i : i + len(p)] == p:
@@ -448,10 +457,16 @@ def test_license_key_phrase_is_required(spark):
     assert got[1] == ("", 0.0) and got[2][0] == "mit" and 0.5 < got[2][1] < 1
 
 
+def test_base_phrases_are_whole(spark):
+    rows = [(1, "See the MIT License text"), (2, "it is under the MIT license, and under  the MIT-license"), (3, "understand the mit license"), (4, "Apache License 2"), (5, "CC BY-NC"), (6, None)]
+    got = {r.doc_id: (r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, None, None, ""), 2: (2, 2, 7, "mit"), 3: (0, None, None, ""), 4: (0, None, None, ""), 5: (1, 0, 0, "cc-by-nc"), 6: (0, None, None, "")}
+
+
 def judged(text):
     """Labels and score by trying every template at every word."""
     words, found, labels = plain_words(text), [], set()
-    for phrase, label in licenses.BASE:
+    for phrase, label in PHRASES:
         p = phrase.split()
         labels |= {label for i in range(len(words)) if words[i : i + len(p)] == p}
     score = 1.0 if labels else 0.0
