@@ -78,12 +78,11 @@ def runs_of(words: np.ndarray, lengths: np.ndarray, least: int = LEAST, times: i
         again = np.r_[same, False] | np.r_[False, same]
         names = np.cumsum(np.r_[True, ~same])[again]
         at = place[order[again]]
-        block[place] = -1
         block[at] = names
-        at = np.sort(at)
-        at = at[at >= k]
-        place = at[block[at - k] >= 0]
+        after = np.sort(at[at >= k])
+        place = after[block[after - k] >= 0]
         key = block[place - k] * (int(names.max(initial=0)) + 1) + block[place]
+        block[at] = -1
         k *= 2
     runs = np.concatenate(found)
     return runs[np.lexsort((runs[:, 2], runs[:, 0]))]

@@ -172,6 +172,13 @@ def test_runs_of_random_texts():
     got, begins = runs.runs_of(np.array([x for t in texts for x in t], np.int64), lengths).tolist(), (np.cumsum(lengths) - lengths).tolist()
     want = [[s + b, length, q] for t, b in zip(texts, begins, strict=True) for s, length, q in runs_by_comparison(t)]
     assert got == want and len(want) > 300
+    # Texts of one and the same loop, one after the other: nothing of a shorter block may stay from the scale before.
+    same = [[i % 30 for i in range(b, b + n)] for b, n in ((0, 147), (3, 331), (29, 120), (0, 119), (5, 400))] * 3
+    texts = [[r.randrange(9) for _ in range(r.randrange(40))] + t + [r.randrange(9) for _ in range(r.randrange(20))] * r.randrange(6) for t in same]
+    lengths = np.array(list(map(len, texts)), np.int64)
+    begins = (np.cumsum(lengths) - lengths).tolist()
+    want = [[s + b, length, q] for t, b in zip(texts, begins, strict=True) for s, length, q in runs_by_comparison(t)]
+    assert runs.runs_of(np.array([x for t in texts for x in t], np.int64), lengths).tolist() == want
     assert runs.runs_of(np.zeros(0, np.int64), np.zeros(0, np.int64)).shape == (0, 3)
     with pytest.raises(ValueError):
         runs.runs_of(np.zeros(3, np.int64), np.array([3]), times=1)
