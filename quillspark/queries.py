@@ -10,12 +10,14 @@ from .operators import search as S
 from .operators import store as D
 from .operators import training as G
 from .operators import validate as C
+from .operators import vectors as X
 from .operators.classify import wording_type
 from .operators.queries import parse_queries
 from .plans.corpus import SQL as CORPUS
 from .plans.corpus import flawed, read, rendered
 from .plans.process import process
 from .sources import files as R
+from .sources.shared import shared_path
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -204,6 +206,41 @@ def q8(spark, d):
     return nearest(spark, d).select("query_id", "rank", "vec_id", "score")
 
 
+def _vector_index(spark, d):
+    """An index of all embeddings, and every 20th as a query."""
+    v = read(spark, d, "embeddings")
+    index = X.build_index(v, shared_path(spark, "vector-index"), 64)
+    return index, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def _others(hits: DataFrame, k: int) -> DataFrame:
+    """The k best hits other than the query's own vector."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return hits.where("query_id != vec_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+@query("q12_vector_index", "select vec_id, cast(len(embedding) as bigint) AS dimension, true AS within from embeddings")
+def q12(spark, d):
+    index, _ = _vector_index(spark, d)
+    away = F.sqrt(F.aggregate(F.zip_with("vector", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    held = index.vectors().join(F.broadcast(spark.read.parquet(f"{index.folder}/lists")), "list")
+    return held.select("vec_id", F.size("vector").cast("long").alias("dimension"), (away <= F.col("radius")).alias("within"))
+
+
+@query("q8_index_exact", f"with {_TOP} select query_id, cast(rank as integer) AS rank, vec_id, score from r where rank <= 5")
+def q8_index(spark, d):
+    index, queries = _vector_index(spark, d)
+    return _others(X.search_index(index, queries, k=6, exact=True), 5).select("query_id", "rank", "vec_id", "score")
+
+
+@query("q8_index_recall", "select count(*) AS queries, true AS at_least_nine_tenths from embeddings where vec_id % 20 = 0")
+def q8_recall(spark, d):
+    index, queries = _vector_index(spark, d)
+    found = _others(X.search_index(index, queries, k=6, probes=X.probes_for(index, queries, k=6)), 5)
+    each = X.recall_of(found, nearest(spark, d))
+    return each.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("at_least_nine_tenths"))
+
+
 @query("a22_idf", f"with w as (select distinct doc_id, unnest({_TOKENS}) token from documents), n as (select count(*) n from documents) select token, count(*) AS df, round(ln((1 + any_value(n)) / (1 + count(*))) + 1, 6) AS idf from w, n group by token")
 def a22(spark, d):
     return S.idf(_docs(spark, d)).select("token", "df", F.round("idf", 6).alias("idf"))
