@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles, with_quantiles
+
 
 def ratio(a: Column, b: Column) -> Column:
     """0 where there is nothing to divide by."""
@@ -85,18 +87,22 @@ def no_match_accuracy(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def distribution(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """n, mean, median, std (0 for one value), min, max, p90, p95, iqr; percentiles by nearest rank."""
+    """n, mean, median, std (0 for one value), min, max, p90, p95, iqr; percentiles by nearest rank, without a task that holds a group."""
     v = F.col(value)
-    at = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")
-    return rows.where(v.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), at(0.9).alias("p90"), at(0.95).alias("p95"), F.round(at(0.75) - at(0.25), 6).alias("iqr"),
-    )
+    whole = rows.where(v.isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
+    )
+    found = quantiles(rows, value, by, {"p90": 0.9, "p95": 0.95, "_q1": 0.25, "_q3": 0.75}, {"_median": 0.5})
+    both = with_quantiles(whole, by, found)
+    return both.select(*by, "n", "mean", F.round("_median", 6).alias("median"), "std", "min", "max", "p90", "p95", F.round(F.col("_q3") - F.col("_q1"), 6).alias("iqr"))
 
 
 def balanced_mean(rows: DataFrame, value: str, document: str, by: list[str]) -> DataFrame:
     """Runs averaged a document, then documents: mean and median beside the mean over all runs."""
     per = rows.where(F.col(value).isNotNull()).groupBy(*by, document).agg(F.avg(value).alias("m"), F.sum(value).alias("s"), F.count("*").alias("c"))
-    return per.groupBy(*by).agg(F.count("*").alias("documents"), F.round(F.avg("m"), 6).alias("balanced_mean"), F.round(F.median("m"), 6).alias("balanced_median"), F.round(F.sum("s") / F.sum("c"), 6).alias("run_mean"))
+    whole = per.groupBy(*by).agg(F.count("*").alias("documents"), F.round(F.avg("m"), 6).alias("balanced_mean"), F.round(F.sum("s") / F.sum("c"), 6).alias("run_mean"))
+    both = with_quantiles(whole, by, quantiles(per, "m", by, cont={"_median": 0.5}))
+    return both.select(*by, "documents", "balanced_mean", F.round("_median", 6).alias("balanced_median"), "run_mean")
 
 
 def stage_shares(rows: DataFrame, stage: str, value: str) -> DataFrame:

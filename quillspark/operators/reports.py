@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import comparable, normal_name
 from .metrics import prf, ratio
+from .quantiles import quantiles, with_quantiles
 
 FAILED = "EXTRACTION_FAILED"
 # Words that tell a text of another language in the report of errors.
@@ -146,7 +147,15 @@ def latency_summary(stages: DataFrame, by: list[str]) -> DataFrame:
     timed = stages.where("seconds is not null")
     per = timed.groupBy(*by, "document").agg(F.sum("seconds").alias("total"), F.max(F.struct("seconds", "stage")).alias("stage"))
     stat = lambda c: F.round(c, 6)
-    return per.groupBy(*by).agg(F.count("*").alias("documents"), stat(F.avg("total")).alias("mean"), stat(F.median("total")).alias("median"), stat(F.min("total")).alias("min"), stat(F.max("total")).alias("max"), F.max(F.struct("total", "document")).alias("d"), F.max("stage").alias("s")).select(*by, "documents", "mean", "median", "min", "max", F.col("d.document").alias("slowest_document"), F.col("s.stage").alias("slowest_stage"), stat(F.col("s.seconds")).alias("slowest_stage_s"))
+    whole = per.groupBy(*by).agg(
+        F.count("*").alias("documents"), stat(F.avg("total")).alias("mean"), stat(F.min("total")).alias("min"), stat(F.max("total")).alias("max"),
+        F.max(F.struct("total", "document")).alias("_d"), F.max("stage").alias("_s"),
+    )
+    both = with_quantiles(whole, by, quantiles(per, "total", by, cont={"_median": 0.5}))
+    return both.select(
+        *by, "documents", "mean", stat(F.col("_median")).alias("median"), "min", "max", F.col("_d.document").alias("slowest_document"),
+        F.col("_s.stage").alias("slowest_stage"), stat(F.col("_s.seconds")).alias("slowest_stage_s"),
+    )
 
 
 def downstream(means: DataFrame, by: list[str], stages: list[str], stage: str = "stage", mean: str = "mean") -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import metrics as M
+from quillspark.operators import quantiles as Q
 from quillspark.operators import search as S
 from quillspark.operators import vectors as V
 
@@ -78,3 +80,35 @@ def test_index_of_nothing(spark, tmp_path):
     assert V.search_index(index, queries, exact=True).count() == 0 and V.probes_for(index, queries) == 0
     with pytest.raises(Exception, match="dimension is not 5"):
         V.build_index(_vectors(spark, [(1, [0.0] * 6)]), f"{tmp_path}/bad", 5)
+
+
+# order statistics
+
+
+@pytest.mark.parametrize("few", [3, 50, 10_000])
+def test_quantiles(spark, few):
+    r = random.Random(5)
+    rows = [("hot", 7.0)] * 700 + [("hot", r.gauss(0, 1e3)) for _ in range(400)] + [("one", 2.5)] + [(None, float(i % 5)) for i in range(60)]
+    rows += [("wide", x) for x in (-1.7e308, -1.0, 0.0, 1e-300, 2e-300, 1.0, 1.7e308)] + [("low", None), ("low", float("nan"))] + [("pow", 2.0**-i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {q.g: q for q in Q.quantiles(df, "x", ["g"], {"d90": 0.9, "d0": 0.0, "d100": 1.0, "d25": 0.25}, {"c50": 0.5, "c33": 0.33}, few).collect()}
+    groups = {}
+    for g, x in rows:
+        if x is not None and x == x:
+            groups.setdefault(g, []).append(x)
+    assert got.keys() == groups.keys()
+    for g, xs in groups.items():
+        xs = sorted(xs)
+        at = lambda p: xs[max(1, -(-round(p * 100) * len(xs) // 100)) - 1]  # noqa: B023, E731
+        assert (got[g].d90, got[g].d0, got[g].d100, got[g].d25) == (at(0.9), xs[0], xs[-1], at(0.25)), g
+        assert got[g].c50 == pytest.approx(float(np.quantile(xs, 0.5))) and got[g].c33 == pytest.approx(float(np.quantile(xs, 0.33)))
+    whole = Q.quantiles(df, "x", [], {"m": 0.5}, few=few).collect()
+    every = sorted(x for xs in groups.values() for x in xs)
+    assert [w.m for w in whole] == [every[-(-len(every) // 2) - 1]] and Q.quantiles(df.where("g = 'low'"), "x", ["g"], {"m": 0.5}).count() == 0
+
+
+def test_summaries_by_order_statistics(spark):
+    df = spark.createDataFrame([("a", float(i % 17)) for i in range(100)] + [(None, 1.0), (None, 4.0)], "g string, x double")
+    got = {r.g: r for r in M.distribution(df, "x", ["g"]).collect()}
+    want = {r.g: r for r in df.groupBy("g").agg(F.expr("percentile_disc(0.9) within group (order by x)").alias("p90"), F.round(F.median("x"), 6).alias("median")).collect()}
+    assert {g: (r.p90, r.median) for g, r in got.items()} == {g: (r.p90, r.median) for g, r in want.items()} and got[None].n == 2
