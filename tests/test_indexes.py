@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import metrics as M
 from quillspark.operators import quantiles as Q
+from quillspark.operators import ranges as R
 from quillspark.operators import search as S
 from quillspark.operators import vectors as V
 
@@ -112,3 +113,53 @@ def test_summaries_by_order_statistics(spark):
     got = {r.g: r for r in M.distribution(df, "x", ["g"]).collect()}
     want = {r.g: r for r in df.groupBy("g").agg(F.expr("percentile_disc(0.9) within group (order by x)").alias("p90"), F.round(F.median("x"), 6).alias("median")).collect()}
     assert {g: (r.p90, r.median) for g, r in got.items()} == {g: (r.p90, r.median) for g, r in want.items()} and got[None].n == 2
+
+
+# ranges
+
+
+def _range_rows(seed, n):
+    r = random.Random(seed)
+    docs = []
+    for i in range(n):
+        amount = None if r.random() < 0.1 else 500.0 if r.random() < 0.3 else round(r.uniform(0, 1000), r.randrange(5))
+        day = None if r.random() < 0.1 else r.randrange(19000, 19400)
+        docs.append((i, r.randrange(n) if i % 3 else 7, r.choice(["invoice", "receipt", None, "receipt"]), amount, day))
+    asked = []
+    for i in range(220):
+        b = {f"{w}_{op}": None for w in ("amount", "date") for op in R._OPS}
+        for w, pick in (("amount", lambda: r.choice([500.0, round(r.uniform(-50, 1100), 2)])), ("date", lambda: r.randrange(18990, 19410))):
+            for op in r.sample(R._OPS, r.choice([0, 1, 1, 2])):
+                b[f"{w}_{op}"] = pick()
+        asked.append((i, r.choice(["invoice", "receipt", None, "order"]), b))
+    return docs, asked
+
+
+_TESTS = {"eq": lambda v, b: v == b, "lt": lambda v, b: v < b, "lte": lambda v, b: v <= b, "gt": lambda v, b: v > b, "gte": lambda v, b: v >= b, "min": lambda v, b: v >= b, "max": lambda v, b: v <= b}
+
+
+@pytest.mark.parametrize("n,bins,k", [(0, 32, 5), (3, 4, 5), (1500, 8, 3), (1500, 32, 5)])
+def test_first_within(spark, tmp_path, n, bins, k):
+    docs, asked = _range_rows(n + bins, n)
+    df = spark.createDataFrame(docs, "doc_id long, doc_ord long, type string, a double, d int")
+    corpus = df.select("doc_id", "doc_ord", "type", F.col("a").cast("decimal(18,4)").alias("amount_dec"), F.date_from_unix_date("d").alias("date_val"))
+    names = [f"{w}_{op}" for w in ("amount", "date") for op in R._OPS]
+    q = spark.createDataFrame([(i, t, *[b[c] for c in names]) for i, t, b in asked], "query_id long, document_type string, " + ", ".join(f"{c} {'double' if c[0] == 'a' else 'int'}" for c in names))
+    q = q.select("query_id", "document_type", *[F.col(c).cast("decimal(18,4)").alias(c) if c[0] == "a" else F.date_from_unix_date(c).alias(c) for c in names])
+    index = R.build_ranges(corpus, f"{tmp_path}/r", k=5, bins=bins)
+    got = {}
+    for r in R.first_within(index, q, k).collect():
+        got.setdefault(r.query_id, set()).add(r.doc_id)
+    for i, t, b in asked:
+        ok = [(o, x) for x, o, kind, a, d in docs if (t is None or kind == t) and all(v is None or (b_of is not None and _TESTS[c.split("_")[1]](b_of, v)) for c, v in b.items() for b_of in [a if c[0] == "a" else d])]
+        assert got.get(i, set()) == {x for _, x in sorted(ok)[:k]}, (i, t, b)
+    with pytest.raises(ValueError):
+        R.first_within(index, q, 6)
+
+
+def test_a_node_keeps_k_documents(spark, tmp_path):
+    docs, _ = _range_rows(1, 3000)
+    df = spark.createDataFrame(docs, "doc_id long, doc_ord long, type string, a double, d int")
+    index = R.build_ranges(df.select("doc_id", "doc_ord", "type", F.col("a").cast("decimal(18,4)").alias("amount_dec"), F.date_from_unix_date("d").alias("date_val")), f"{tmp_path}/n", k=2, bins=4)
+    assert index.nodes().groupBy("type", "na", "nd").count().agg(F.max("count")).first()[0] == 2 and index.nodes().count() <= 4 * 8 * 8 * 2
+    assert index.documents().count() == 3000 and len(index.amounts) <= 4
