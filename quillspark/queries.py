@@ -13,11 +13,12 @@ from .operators import validate as C
 from .operators import vectors as X
 from .operators.classify import wording_type
 from .operators.queries import parse_queries
+from .operators.ranges import build_ranges, first_within
 from .plans.corpus import SQL as CORPUS
 from .plans.corpus import flawed, read, rendered
 from .plans.process import process
 from .sources import files as R
-from .sources.shared import shared_path
+from .sources.shared import shared_path, written
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -179,16 +180,37 @@ def q1_wordings(spark, d):
 
 @query("q3_structured_search", _CORPUS + f", {_ASKED}, m as (select query_id, doc_id, row_number() over (partition by query_id order by doc_id) r from q join corpus on gold_type = t and cast(replace(format('{{:,.2f}}', gold_total), ',', '') as decimal(18,4)) < a and gold_date >= d) select query_id, cast(r as integer) AS rank, doc_id, 1.0::double AS score from m where r <= 5")
 def q3(spark, d):
-    corpus = S.search_corpus(process(rendered(spark, d).select("doc_id", "text"))).persist()
-    return S.search(parse_queries(asked(spark, d)).persist(), corpus).select("query_id", "rank", "doc_id", "score")
+    corpus = written(S.search_corpus(process(rendered(spark, d).select("doc_id", "text"))), "search-corpus")
+    index = build_ranges(corpus, shared_path(spark, "range-index"))
+    return S.search(written(parse_queries(asked(spark, d)), "queries"), corpus, ranges=index).select("query_id", "rank", "doc_id", "score")
+
+
+@query("q3_range_cells", _CORPUS + """, q as (select doc_id query_id, (doc_id // 3) % 4 w, case when (doc_id // 3) % 5 > 0 then gold_type end t, cast(replace(format('{:,.2f}', gold_total), ',', '') as decimal(18,4)) a, gold_date d from corpus where doc_id % 20 = 0),
+ m as (select query_id, c.doc_id, row_number() over (partition by query_id order by c.doc_id) r from q join (select doc_id, gold_type, cast(replace(format('{:,.2f}', gold_total), ',', '') as decimal(18,4)) x, gold_date y from corpus) c on (t is null or gold_type = t) and case w when 0 then x between a and a * 1.01 when 1 then y between d and d + 20 when 2 then x > a and y < d else x <= a and y > d end)
+select query_id, doc_id from m where r <= 5""")
+def q3_range_cells(spark, d):
+    """Narrow and wide ranges of amounts and dates, with and without a type, over the rendered orders' own values."""
+    c = rendered(spark, d)
+    held = written(c.select("doc_id", F.col("doc_id").alias("doc_ord"), F.col("gold_type").alias("type"), V.query_amount(F.format_number("gold_total", 2)).alias("amount_dec"), F.col("gold_date").alias("date_val")), "range-corpus")
+    w, amount, day = F.floor(F.col("doc_id") / 3) % 4, F.col("amount_dec"), F.col("date_val")
+    of = lambda n, value, kind: F.when(w == n, value).cast(kind)
+    money = "decimal(18,4)"
+    bounds = {
+        "amount_min": of(0, amount, money), "amount_max": of(0, F.floor(amount * F.lit("1.01").cast("decimal(3,2)") * 10000) / 10000, money),
+        "date_min": of(1, day, "date"), "date_max": of(1, F.date_add(day, 20), "date"), "amount_gt": of(2, amount, money), "date_lt": of(2, day, "date"),
+        "amount_lte": of(3, amount, money), "date_gt": of(3, day, "date"),
+    }
+    bounds |= {n: F.lit(None).cast(kind) for kind, names in ((money, ("amount_eq", "amount_lt", "amount_gte")), ("date", ("date_eq", "date_lte", "date_gte"))) for n in names}
+    asked = held.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.when(F.floor(F.col("doc_id") / 3) % 5 > 0, F.col("type")).alias("document_type"), *[v.alias(n) for n, v in bounds.items()])
+    return first_within(build_ranges(held, shared_path(spark, "range-index")), asked, 5).select("query_id", "doc_id")
 
 
 @query("q6_phrase_search", _CORPUS + """, q as (select distinct gold_supplier n, gold_supplier query_id from corpus), m as (select query_id, doc_id, row_number() over (partition by query_id order by doc_id) r from q join corpus on gold_supplier = n where gold_type = 'receipt') select query_id, cast(r as integer) AS rank, doc_id, cast(2 as integer) AS lexical_tier from m where r <= 5""")
 def q6(spark, d):
     c = rendered(spark, d)
     q = c.select(F.col("gold_supplier").alias("query_id")).distinct().select("query_id", F.concat(F.lit("receipts "), F.col("query_id")).alias("query"))
-    corpus = S.search_corpus(process(c.select("doc_id", "text"))).persist()
-    return S.search(parse_queries(q).persist(), corpus).select("query_id", "rank", "doc_id", "lexical_tier")
+    corpus = written(S.search_corpus(process(c.select("doc_id", "text"))), "search-corpus")
+    return S.search(written(parse_queries(q), "queries"), corpus).select("query_id", "rank", "doc_id", "lexical_tier")
 
 
 _TOP = "t as (select a.vec_id query_id, b.vec_id, a.label = b.label same, b.label bl, a.label al, round(list_inner_product(cast(b.embedding as double[]), cast(a.embedding as double[])), 6) score from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from t)"
