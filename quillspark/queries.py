@@ -12,6 +12,7 @@ from .operators import training as G
 from .operators import validate as C
 from .operators import vectors as X
 from .operators.classify import wording_type
+from .operators.postings import build_postings
 from .operators.queries import parse_queries
 from .operators.ranges import build_ranges, first_within
 from .plans.corpus import SQL as CORPUS
@@ -210,7 +211,21 @@ def q6(spark, d):
     c = rendered(spark, d)
     q = c.select(F.col("gold_supplier").alias("query_id")).distinct().select("query_id", F.concat(F.lit("receipts "), F.col("query_id")).alias("query"))
     corpus = written(S.search_corpus(process(c.select("doc_id", "text"))), "search-corpus")
-    return S.search(written(parse_queries(q), "queries"), corpus).select("query_id", "rank", "doc_id", "lexical_tier")
+    postings = build_postings(corpus, shared_path(spark, "postings"))
+    return S.search(written(parse_queries(q), "queries"), corpus, postings=postings).select("query_id", "rank", "doc_id", "lexical_tier")
+
+
+@query("q11_word_search", _CORPUS + """, c as (select *, lower(split_part(gold_supplier, ' ', 1)) w from corpus), q as (select doc_id query_id, gold_type t, w from c where doc_id % 20 = 0),
+ s as (select query_id, doc_id, case when c.w = q.w then 2 else 1 end / 3 score from q join c on gold_type = t), m as (select *, row_number() over (partition by query_id order by score desc, doc_id) r from s)
+ select query_id, cast(r as integer) AS rank, doc_id, score, cast(5 as integer) AS lexical_tier from m where r <= 5""")
+def q11_words(spark, d):
+    """Three words for every 20th order: one that all documents hold, one that none does, and the first of its supplier."""
+    c = rendered(spark, d)
+    words = F.concat(F.replace(F.col("gold_type"), F.lit("_"), F.lit(" ")), F.lit("s company zebra "), F.split("gold_supplier", " ")[0])
+    q = c.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), words.alias("query"))
+    corpus = written(S.search_corpus(process(c.select("doc_id", "text"))), "search-corpus")
+    held = {"ranges": build_ranges(corpus, shared_path(spark, "range-index"), k=10), "postings": build_postings(corpus, shared_path(spark, "postings"))}
+    return S.search(written(parse_queries(q), "queries"), corpus, **held)
 
 
 _TOP = "t as (select a.vec_id query_id, b.vec_id, a.label = b.label same, b.label bl, a.label al, round(list_inner_product(cast(b.embedding as double[]), cast(a.embedding as double[])), 6) score from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from t)"

@@ -12,6 +12,8 @@ from quillspark.functions import text as T
 from quillspark.functions import values as V
 from quillspark.operators import metrics as M
 from quillspark.operators import search as S
+from quillspark.operators.postings import build_postings
+from quillspark.operators.ranges import build_ranges
 from quillspark.operators.classify import wording_type
 from quillspark.operators.extract import fields
 from quillspark.operators.queries import parse_queries
@@ -125,7 +127,7 @@ def _search_brute(asked, docs, k):
 
 
 @pytest.mark.parametrize("block", [10_000, 2])
-def test_search(spark, monkeypatch, block):
+def test_search(spark, monkeypatch, tmp_path, block):
     monkeypatch.setattr(S, "MAX_QUERIES", block)
     docs = [
         ("1", "invoice", "Alpha Ltd", "inv-10", 100.0, "alpha ltd chairs and tables"),
@@ -152,6 +154,12 @@ def test_search(spark, monkeypatch, block):
     q = q.withColumn("amount_lt", F.col("amount_lt").cast("decimal(18,4)")).withColumns({f"amount_{x}": F.lit(None).cast("decimal(18,4)") for x in ops if x != "lt"} | {f"date_{x}": F.lit(None).cast("date") for x in ops})
     got = [(r.query_id, r.rank, r.doc_id, round(r.score, 9), r.lexical_tier) for r in S.search(q, corpus, 4).collect()]
     assert sorted(got, key=str) == _search_brute(asked, docs, 4)
+    if block > 2:  # through the stored indexes
+        ordered = corpus.withColumn("doc_ord", F.col("doc_ord").cast("long"))
+        ranges, postings = build_ranges(ordered, f"{tmp_path}/ranges", k=4, bins=4), build_postings(ordered, f"{tmp_path}/postings")
+        for held in ({"ranges": ranges}, {"postings": postings}, {"ranges": ranges, "postings": postings}):
+            got = [(r.query_id, r.rank, r.doc_id, round(r.score, 9), r.lexical_tier) for r in S.search(q, ordered, 4, **held).collect()]
+            assert sorted(got, key=str) == _search_brute(asked, docs, 4), held
     assert S.search(q.where("false"), corpus).count() == 0
     scores = spark.createDataFrame([(11, "2", 0.9), (11, "6", 0.1), (9, "5", 0.8)], "query_id long, doc_id string, score double")
     by = {(r.query_id, r.doc_id): r.score for r in S.search(q, corpus, 9, scores, 0.5).collect()}

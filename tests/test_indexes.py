@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import metrics as M
 from quillspark.operators import quantiles as Q
+from quillspark.operators import postings as P
 from quillspark.operators import ranges as R
 from quillspark.operators import search as S
 from quillspark.operators import vectors as V
@@ -163,3 +164,51 @@ def test_a_node_keeps_k_documents(spark, tmp_path):
     index = R.build_ranges(df.select("doc_id", "doc_ord", "type", F.col("a").cast("decimal(18,4)").alias("amount_dec"), F.date_from_unix_date("d").alias("date_val")), f"{tmp_path}/n", k=2, bins=4)
     assert index.nodes().groupBy("type", "na", "nd").count().agg(F.max("count")).first()[0] == 2 and index.nodes().count() <= 4 * 8 * 8 * 2
     assert index.documents().count() == 3000 and len(index.amounts) <= 4
+
+
+# postings
+
+
+@pytest.fixture(scope="module")
+def worded(spark, tmp_path_factory):
+    r = random.Random(8)
+    rare = [f"w{i}" for i in range(200)]
+    docs = [(i, r.choice(["", "inv 7", "inv 7 b"]), r.choice(["acme co", "the acme co", ""]), "", " ".join(["the"] * r.randrange(2) + [r.choice(["co", "the", "of", *r.sample(rare, 3)]) for _ in range(r.randrange(14))])) for i in range(700)]
+    corpus = spark.createDataFrame([*docs, (900, None, None, None, None)], "doc_id long, number_norm string, supplier_norm string, filename_norm string, text_norm string")
+    return docs, P.build_postings(corpus, str(tmp_path_factory.mktemp("postings") / "p"))
+
+
+def test_postings_hold_every_word(worded):
+    docs, index = worded
+    want = {}
+    for i, *fields in docs:
+        for f, text in enumerate(fields, 1):
+            words = text.split()
+            for p, w in enumerate(words):
+                want.setdefault((w, f, i, len(words)), []).append(p)
+    assert {(r.term, r.field, r.doc_id, r.length): list(r.positions) for r in index.postings().collect()} == want
+    df = {}
+    for w, _, i, _ in want:
+        df.setdefault(w, set()).add(i)
+    assert {r.term: r.df for r in index.terms().collect()} == {w: len(x) for w, x in df.items()}
+
+
+def test_phrases_by_positions(spark, worded):
+    docs, index = worded
+    phrases = ["the", "the acme co", "acme", "co the", "inv 7", "7", "w1", "of of", "the the", "nowhere", "the nowhere", "", "w3 the", "co co the", None]
+    phrases += [" ".join(d[4].split()[1:4]) for d in docs[::40]]
+    got = P.phrase_tiers(index, spark.createDataFrame(list(enumerate(phrases)), "query_id long, phrase string")).collect()
+    want = set()
+    for q, phrase in enumerate(phrases):
+        for i, *fields in docs:
+            tiers = [f for f, text in enumerate(fields, 1) if phrase and (text == phrase if f == 1 else f" {phrase} " in f" {text} ")]
+            want |= {(q, i, tiers[0])} if tiers else set()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 500
+
+
+def test_frequent_words_are_not_expanded(spark, worded):
+    docs, index = worded
+    queries = spark.createDataFrame([(1, ["the", "co", "w5", "nowhere"]), (2, ["the", "co"]), (3, ["w5"]), (4, ["w7"])], "query_id long, ws array<string>")
+    got = P.beyond(index, queries, spark.createDataFrame([(1, 2), (2, 2), (3, 0)], "query_id long, c int")).collect()
+    has = {i for i, *fields in docs if "w5" in " ".join(fields[1:]).split()}
+    assert {(r.query_id, r.doc_id) for r in got} == {(q, i) for q in (1, 3) for i in has}
