@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, normal_name, strip
 from ..functions.values import query_amount, query_date
+from ..sources.shared import written
 
 # The wording of clauses, in the order in which they are tried.
 TYPES = (("purchase_order", r"(?i)\b(?:purchase\s*orders?|pos?)\b"), ("invoice", r"(?i)\binvoices?\b"), ("receipt", r"(?i)\breceipts?\b"))
@@ -98,14 +99,26 @@ def _worded_supplier(df: DataFrame) -> DataFrame:
     return df.withColumns({"supplier": F.when(named, strip(F.regexp_extract("rest", FROM_SUPPLIER, 1))), "rest": F.when(named, _drop_first(F.col("rest"), F.lit(FROM_SUPPLIER[4:]))).otherwise(F.col("rest"))})
 
 
+def known_names(suppliers: DataFrame) -> DataFrame:
+    """(_n, _s, _w): different normalised names, the least spelling of each, and the word that the fewest names have (then the first)."""
+    names = suppliers.select(F.col("supplier").alias("_s"), normal_name(F.col("supplier")).alias("_n")).where("_n != ''").groupBy("_n").agg(F.min("_s").alias("_s"))
+    words = names.select("_n", F.explode(F.array_distinct(F.split("_n", " "))).alias("_w"))
+    held = words.groupBy("_w").agg(F.count("*").alias("_names"))
+    rarest = words.join(held, "_w").groupBy("_n").agg(F.min(F.struct("_names", "_w")).alias("_k"))
+    return names.join(rarest, "_n").select("_n", "_s", F.col("_k._w").alias("_w"))
+
+
 def _with_supplier(df: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """The longest known name that stands in the query, found by an equi-join on its first word."""
-    word = lambda c: F.get(F.split(c, " "), F.lit(0))
-    known = suppliers.select(F.col("supplier").alias("_s"), normal_name(F.col("supplier")).alias("_n")).where("_n != ''").groupBy("_n").agg(F.min("_s").alias("_s")).select("_n", "_s", word(F.col("_n")).alias("_w"))
-    numbered = df.withColumn("_q", F.monotonically_increasing_id()).withColumn("_t", normal_name(F.col("rest")))
-    words = numbered.select("_q", "_t", F.explode(F.array_distinct(F.split("_t", " "))).alias("_w"))
+    """The longest known name that stands in the query as whole words.
+
+    Every name waits under its rarest word, so words that many names share ('the', 'company') bring queries and names together only
+    where a name has no other; different texts are looked up once.
+    """
+    # Read twice; and predicates pushed through the clauses above would copy them into themselves.
+    texts = written(df.withColumn("_t", normal_name(F.col("rest"))), "query-texts")
+    words = texts.select("_t").distinct().select("_t", F.explode(F.array_distinct(F.split("_t", " "))).alias("_w"))
     inside = F.concat(F.lit(" "), F.col("_t"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("_n"), F.lit(" ")))
-    best = words.join(known, "_w").where(inside).groupBy("_q").agg(F.max_by(F.struct("_s", "_n"), F.struct(F.length("_n"), F.col("_n"))).alias("_b"))
-    found = numbered.join(best, "_q", "left")
+    best = words.join(known_names(suppliers), "_w").where(inside).groupBy("_t").agg(F.max_by(F.struct("_s", "_n"), F.struct(F.length("_n"), F.col("_n"))).alias("_b"))
+    found = texts.join(best, "_t", "left")
     pattern = F.concat(F.lit(r"(?i)\b(?:from\s+|supplier\s+|vendor\s+|documents\s+from\s+)?"), F.array_join(F.split("_b._n", " "), r"[\s\.,;:\-'\"]*"), F.lit(r"\b"))
-    return found.withColumns({"supplier": F.col("_b._s"), "rest": F.when(F.col("_b").isNotNull(), F.regexp_replace(F.col("rest"), pattern, F.lit(" "))).otherwise(F.col("rest"))}).drop("_q", "_t", "_b")
+    return found.withColumns({"supplier": F.col("_b._s"), "rest": F.when(F.col("_b").isNotNull(), F.regexp_replace(F.col("rest"), pattern, F.lit(" "))).otherwise(F.col("rest"))}).drop("_t", "_b")

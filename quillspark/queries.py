@@ -12,6 +12,7 @@ from .operators import training as G
 from .operators import validate as C
 from .operators import vectors as X
 from .operators.classify import wording_type
+from .operators.ordering import in_order, page_of
 from .operators.postings import build_postings
 from .operators.queries import parse_queries
 from .operators.ranges import build_ranges, first_within
@@ -179,6 +180,17 @@ def q1_wordings(spark, d):
     return parse_queries(worded(spark, d)).select("query_id", "document_type", "document_number", "supplier", "date_lte", "date_eq", "amount_gte", "amount_gt", "amount_min", "amount_max", "semantic_text", "error")
 
 
+@query("q1_shared_words", _CORPUS + """, n as (select *, split_part(gold_supplier, ' ', 1) w from corpus) select doc_id AS query_id, gold_type AS document_type, case doc_id % 4 when 0 then 'The ' || w || ' Company' when 1 then 'The ' || w when 2 then 'The Company' end AS supplier, cast(doc_id % 500 as decimal(18,4)) AS amount_gt, case when doc_id % 4 = 3 then 'the zebra ' || lower(w) || ' firm ' else '' end || 'paper' AS semantic_text from n""")
+def q1_shared(spark, d):
+    """Queries of all orders for names that begin and end with the same words: 'The <code> Company', 'The <code>', 'The Company'."""
+    c = rendered(spark, d).withColumn("w", F.split("gold_supplier", " ")[0])
+    code, the = F.col("w"), F.lit("The ")
+    names = c.select(F.explode(F.array(F.concat(the, code, F.lit(" Company")), F.concat(the, code), F.lit("The Company"))).alias("supplier"))
+    name = F.get(F.array(F.concat(F.lit("the "), code, F.lit(" company")), F.concat(F.lit("the "), code), F.lit("the company"), F.concat(F.lit("the zebra "), code, F.lit(" firm"))), F.pmod("doc_id", F.lit(4)).cast("int"))
+    asked = c.select(F.col("doc_id").alias("query_id"), F.concat(F.replace("gold_type", F.lit("_"), F.lit(" ")), F.lit("s "), F.lower(name), F.lit(" over "), F.pmod("doc_id", F.lit(500)).cast("string"), F.lit(" paper")).alias("query"))
+    return parse_queries(asked, names).select("query_id", "document_type", "supplier", "amount_gt", "semantic_text")
+
+
 @query("q3_structured_search", _CORPUS + f", {_ASKED}, m as (select query_id, doc_id, row_number() over (partition by query_id order by doc_id) r from q join corpus on gold_type = t and cast(replace(format('{{:,.2f}}', gold_total), ',', '') as decimal(18,4)) < a and gold_date >= d) select query_id, cast(r as integer) AS rank, doc_id, 1.0::double AS score from m where r <= 5")
 def q3(spark, d):
     corpus = written(S.search_corpus(process(rendered(spark, d).select("doc_id", "text"))), "search-corpus")
@@ -357,6 +369,23 @@ def w6(spark, d):
     return D.page(_stored(spark, d), 2, 20).select("doc_id")
 
 
+@query("w8_deep_page", """with r as (select c_custkey, case when c_custkey % 9 > 0 then c_nationkey end k from customer), n as (select *, row_number() over (order by k desc nulls last, c_custkey desc) i, count(*) over () n from r)
+select c_custkey, k AS nation from n where (i - 1) // 40 = (n // 2) // 40""")
+def w8(spark, d):
+    """The page in the middle of all customers, by nation, some without one; only its cells are read."""
+    rows = read(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 > 0, F.col("c_nationkey")).alias("nation"))
+    kept = in_order(rows, F.col("nation").desc_nulls_last(), F.col("c_custkey").desc(), cell_rows=1000)
+    return page_of(kept, kept.rows // 2 // 40 + 1, 40)
+
+
+@query("s4_json_lists", r"""select c_custkey, case c_custkey % 4 when 0 then 'Item 1: ' || c_name || chr(10) || 'Item 2: ' || c_nationkey || chr(10) || 'Item 3: None' when 1 then 'name: ' || c_name || chr(10) || 'key: ' || c_custkey when 2 then c_name else '' end AS text from customer""")
+def s4_lists(spark, d):
+    """Lists, objects, bare strings and empty lists made of each customer's columns."""
+    text, key = F.col("c_name"), F.pmod("c_custkey", F.lit(4))
+    made = F.when(key == 0, F.concat(F.lit('["'), text, F.lit('", '), F.col("c_nationkey").cast("string"), F.lit(", null]"))).when(key == 1, F.to_json(F.struct(text.alias("name"), F.col("c_custkey").alias("key")))).when(key == 2, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.lit("[]"))
+    return read(spark, d, "customer").select("c_custkey", R.json_text(made).alias("text"))
+
+
 @query("w7_named", "select doc_id % 7 AS user_id, count(*) AS n from documents where contains('invoice-' || lpad(cast(doc_id as varchar), 7, '0') || '.pdf', '12') group by 1")
 def w7(spark, d):
     return D.named_like(_stored(spark, d), "12").groupBy("user_id").agg(F.count("*").alias("n"))

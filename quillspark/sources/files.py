@@ -1,9 +1,10 @@
 """Readers of document files and page tables, as frames of text."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, collapse, strip
+from ..operators.ordering import in_order, numbered_rows
 
 IMAGES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
 TEXTS = ("txt", "md", "html", "json", "csv")
@@ -38,8 +39,13 @@ def read_texts(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ())
 
 
 def json_text(value: Column) -> Column:
-    """An object as lines 'key: value'; null where it is none."""
-    return F.array_join(F.transform(F.map_entries(F.from_json(value, "map<string,string>")), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None")))), "\n")
+    """An object as lines 'key: value', a list as lines 'Item i: value' from 1; any other value as it is, null where it is no JSON."""
+    whole = F.trim(value)
+    said = lambda v: F.coalesce(v, F.lit("None"))
+    pairs = F.transform(F.map_entries(F.from_json(whole, "map<string,string>")), lambda e: F.concat(e["key"], F.lit(": "), said(e["value"])))
+    items = F.transform(F.from_json(whole, "array<string>"), lambda v, i: F.concat(F.lit("Item "), (i + 1).cast("string"), F.lit(": "), said(v)))
+    plain = F.when(F.get_json_object(F.concat(F.lit('{"v":'), whole, F.lit("}")), "$.v").isNotNull() | (whole == "null"), F.when(whole == "null", F.lit("None")).otherwise(F.get_json_object(F.concat(F.lit('{"v":'), whole, F.lit("}")), "$.v")))
+    return F.when(whole.startswith("{"), F.array_join(pairs, "\n")).when(whole.startswith("["), F.array_join(items, "\n")).otherwise(plain)
 
 
 def row_line(columns: list[str], number: Column) -> Column:
@@ -48,18 +54,13 @@ def row_line(columns: list[str], number: Column) -> Column:
     return F.concat(F.lit("Row "), number.cast("string"), F.lit(": "), cells)
 
 
-def csv_lines(rows: DataFrame, columns: list[str], order: str, cells: int = 64) -> DataFrame:
-    """(row, text) of a table in the order of a column: its lines, numbered from 1 by counts of ranges and a window inside each.
+def csv_lines(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """(row, text) of a table in the order of a column (nulls first, ties in any order): its lines, numbered from 1.
 
-    No group holds the table; write the result sorted by row as text. The order column must not repeat.
+    No task holds the table; write the result sorted by row as text.
     """
-    ranged = rows.select(*dict.fromkeys([*columns, order])).repartitionByRange(cells, order).withColumn("_cell", F.spark_partition_id())
-    bounds = ranged.groupBy("_cell").agg(F.count("*").alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high"))
-    before = Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are cells
-    offsets = bounds.select("_low", "_high", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.row_number().over(Window.orderBy("_low")).alias("_cell"))
-    placed = rows.select(*dict.fromkeys([*columns, order])).join(F.broadcast(offsets), F.col(order).between(F.col("_low"), F.col("_high")))
-    number = F.col("_before") + F.row_number().over(Window.partitionBy("_cell").orderBy(order))
-    return placed.select(number.alias("row"), row_line(columns, number).alias("text"))
+    kept = in_order(rows.select(*dict.fromkeys([*columns, order])), F.col(order).asc_nulls_first())
+    return numbered_rows(kept).select("row", row_line(columns, F.col("row")).alias("text"))
 
 
 def csv_texts(files: DataFrame) -> DataFrame:

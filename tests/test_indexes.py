@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import metrics as M
 from quillspark.operators import quantiles as Q
+from quillspark.operators import ordering as O
 from quillspark.operators import postings as P
 from quillspark.operators import ranges as R
 from quillspark.operators import search as S
 from quillspark.operators import vectors as V
+from quillspark.operators.queries import known_names, parse_queries
+from quillspark.sources.files import csv_lines
 
 # vectors
 
@@ -212,3 +215,44 @@ def test_frequent_words_are_not_expanded(spark, worded):
     got = P.beyond(index, queries, spark.createDataFrame([(1, 2), (2, 2), (3, 0)], "query_id long, c int")).collect()
     has = {i for i, *fields in docs if "w5" in " ".join(fields[1:]).split()}
     assert {(r.query_id, r.doc_id) for r in got} == {(q, i) for q in (1, 3) for i in has}
+
+
+# order
+
+
+def test_numbers_and_pages(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice([None, "a", "a", "b", str(r.randrange(90))])) for i in range(400)] + [(7, "a")] * 50
+    df = spark.createDataFrame(rows, "id long, k string")
+    want = sorted(rows, key=lambda x: (x[1] is None, [-ord(c) for c in x[1] or ""] + [0], -x[0]))
+    kept = O.in_order(df, F.col("k").desc_nulls_last(), F.col("id").desc(), cell_rows=60)
+    assert kept.cells().count() > 3
+    got = {x.row: (x.id, x.k) for x in O.numbered_rows(kept).collect()}
+    assert [got[i + 1] for i in range(len(rows))] == want
+    for number, size in ((1, 7), (30, 7), (2, 300), (999, 50), (0, 1), (5, 100)):
+        last = max(1, -(-len(want) // size))
+        at = (min(max(number, 1), last) - 1) * size
+        assert [tuple(x) for x in O.page_of(kept, number, size).collect()] == want[at : at + size]
+    none = O.in_order(df.limit(0), F.col("id"))
+    assert O.page_of(none, 3, 5).count() == 0 and O.numbered_rows(none).count() == 0
+    with pytest.raises(ValueError):
+        O.page_of(kept, 1, 0)
+
+
+def test_lines_of_rows_without_an_order_value(spark):
+    df = spark.createDataFrame([(2, "b"), (None, "n"), (1, "a"), (2, "c")], "o int, v string")
+    got = sorted((x.row, x.text) for x in csv_lines(df, ["v"], "o").collect())
+    assert got[:2] == [(1, "Row 1: v: n"), (2, "Row 2: v: a")] and {t[-1] for _, t in got[2:]} == {"b", "c"} and len(got) == 4
+
+
+# suppliers
+
+
+def test_longest_known_supplier(spark):
+    names = ["The Company", "The ABC Company", "ABC", "the abc", "Zed & Sons", "Company", "", None, "the"]
+    asked = ["invoices from the abc company", "the-ABC, receipts", "zed sons", "a company", "abcd", "the thing", "", None, "from The Company of ABC"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    got = {r.query_id: r.supplier for r in parse_queries(q, spark.createDataFrame([(n,) for n in names], "supplier string")).collect()}
+    assert got == {0: "The ABC Company", 1: "the abc", 2: "Zed & Sons", 3: "Company", 4: None, 5: "the", 6: None, 7: None, 8: "The Company"}
+    many = spark.createDataFrame([(f"The {i} Company",) for i in range(50)], "supplier string")
+    assert {r._w for r in known_names(many).collect()} == {str(i) for i in range(50)}
