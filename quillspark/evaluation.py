@@ -219,11 +219,28 @@ def g3(spark, d):
     return N.marked_approved(_docs(spark, d).select("doc_id"), read(spark, d, "labels")).groupBy("approved").agg(F.count("*").alias("n"))
 
 
-@query("m3_layout_features", r"""with x as (select doc_id, coalesce(text, '') t, lower(coalesce(text, '')) l, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0B\f\x1C-\x1E]'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') ls from documents)
-select doc_id, cast(length(t) as double) AS char_count, cast(len(ls) as double) AS line_count, cast(coalesce(list_max(list_transform(ls, lambda s: length(s))), 0) as double) AS max_line_length, cast((length(l) - length(replace(l, 'payment', ''))) / 7 + (length(l) - length(replace(l, 'paid', ''))) / 4 + (length(l) - length(replace(l, 'cash', ''))) / 4 + (length(l) - length(replace(l, 'card', ''))) / 4 + (length(l) - length(replace(l, 'tender', ''))) / 6 as double) AS payment_keyword_count, cast((length(l) - length(replace(l, 'change', ''))) / 6 as double) AS change_keyword_count from x""")
+def _layout_sql() -> str:
+    count = lambda c, words: " + ".join(f"(length({c}) - length(replace({c}, '{w}', ''))) / {len(w)}" for w in words)
+    word = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
+    found = lambda pattern: f"len(regexp_extract_all(t, '{pattern}'))"
+    values = {
+        "char_count": "length(t)", "word_count": found(word + "(?:" + word.replace("]", "''-]") + "*" + word + ")?"), "line_count": "n",
+        "average_line_length": "case when n > 0 then list_sum(list_transform(ls, lambda s: length(s))) / n else 0 end", "max_line_length": "coalesce(list_max(list_transform(ls, lambda s: length(s))), 0)",
+        "digit_ratio": r"length(regexp_replace(solid, '\P{Nd}', '', 'g')) / greatest(length(solid), 1)", "uppercase_ratio": r"length(regexp_replace(solid, '\P{Lu}', '', 'g')) / greatest(length(solid), 1)",
+        "currency_symbol_count": count("t", ("$", "Rs", "RM")), "amount_like_count": found("(?i)" + L.AMOUNT), "date_like_count": found("(?i)" + L.DATE),
+        **{name: count("a", words) for name, words in L.TOP.items()}, "bottom_region_total_keyword_count": count("z", L.TOTALS), **{name: count("l", words) for name, words in L.WHOLE.items()},
+        "line_item_density_proxy": f"({count('l', L.WHOLE['item_table_keyword_count'])}) / greatest(n, 1)", "total_near_bottom_proxy": f"case when {count('z', L.TOTALS)} > 0 then 1 else 0 end",
+    }
+    return rf"""with x as (select doc_id, coalesce(text, '') t, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0B\f\x1C-\x1E]'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') ls from documents),
+y as (select *, len(ls) n, cast(greatest(ceil(len(ls) * 0.25), 1) as bigint) k, regexp_replace(t, '\s+', '', 'g') solid, lower(t) l from x),
+z as (select *, lower(array_to_string(ls[1:k], chr(10)) || chr(10) || substr(t, 1, 500)) a, lower(array_to_string(ls[greatest(n - k + 1, 1):n], chr(10)) || chr(10) || right(t, 500)) z from y)
+select doc_id, {", ".join(f"round(cast({v} as double), 9) AS {name}" for name, v in values.items())} from z"""
+
+
+@query("m3_layout_features", _layout_sql())
 def m3(spark, d):
-    f = _docs(spark, d).select("doc_id", L.layout_features(F.col("text")).alias("f"))
-    return f.select("doc_id", *[f"f.{c}" for c in ("char_count", "line_count", "max_line_length", "payment_keyword_count", "change_keyword_count")])
+    f = L.with_layout(_docs(spark, d).select("doc_id", "text"))
+    return f.select("doc_id", *[F.round(c, 9).alias(c) for c in L.NAMES])
 
 
 # Stored rows.

@@ -6,6 +6,7 @@ from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import let
 from ..functions.text import strip
 from .extract import AMOUNT, DATE
 
@@ -43,26 +44,43 @@ def layout_features(text: Column) -> Column:
 
     A region is a quarter of the lines (at least one) and 500 characters beside them. A null text is empty.
     """
-    t = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.transform(F.split(t, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), strip), lambda x: x != "")
-    n = F.size(lines)
-    widths = F.transform(lines, lambda x: F.length(x))
-    solid = F.regexp_replace(t, r"(?U)\s+", "")
-    base = F.greatest(F.length(solid), F.lit(1))
-    share = lambda pattern: F.length(F.regexp_replace(solid, pattern, "")) / base
-    size = F.ceil(n * 0.25).cast("int")
-    region = lambda part, chars: F.lower(F.concat(F.when(n > 0, F.array_join(part, "\n")).otherwise(F.lit("")), F.lit("\n"), chars))
-    top = region(F.slice(lines, F.lit(1), F.greatest(size, F.lit(1))), F.substring(t, 1, 500))
-    bottom = region(F.slice(lines, F.greatest(n - F.greatest(size, F.lit(1)) + 1, F.lit(1)), F.greatest(size, F.lit(1))), F.when(F.length(t) > 500, F.substring(t, -500, 500)).otherwise(t))
-    low = F.lower(t)
+    return let(let(F.coalesce(text, F.lit("")), _parts), _features)
+
+
+def _parts(t: Column) -> Column:
+    """What several features read, each computed once a row."""
+    split = F.filter(F.transform(F.split(F.regexp_replace(t, r"\r\n?|[\x0B\f\x1C-\x1E\x85\u2028\u2029]", "\n"), "\n"), strip), lambda x: x != "")
+
+    def regions(lines: Column) -> Column:
+        n = F.size(lines)
+        size = F.greatest(F.ceil(n * 0.25).cast("int"), F.lit(1))
+        region = lambda part, chars: F.lower(F.concat(F.when(n > 0, F.array_join(part, "\n")).otherwise(F.lit("")), F.lit("\n"), chars))
+        widths = F.transform(lines, lambda x: F.length(x))
+        return F.struct(
+            t.alias("t"),
+            n.alias("n"),
+            F.coalesce(F.array_max(widths), F.lit(0)).alias("widest"),
+            F.aggregate(widths, F.lit(0).cast("long"), lambda a, x: a + x).alias("width"),
+            region(F.slice(lines, F.lit(1), size), F.substring(t, 1, 500)).alias("top"),
+            region(F.slice(lines, F.greatest(n - size + 1, F.lit(1)), size), F.when(F.length(t) > 500, F.substring(t, -500, 500)).otherwise(t)).alias("bottom"),
+            F.lower(t).alias("low"),
+            F.regexp_replace(t, r"(?U)\s+", "").alias("solid"),
+        )
+
+    return let(split, regions)
+
+
+def _features(p: Column) -> Column:
+    t, n, top, bottom, low = (p[c] for c in ("t", "n", "top", "bottom", "low"))
+    share = lambda pattern: F.length(F.regexp_replace(p["solid"], pattern, "")) / F.greatest(F.length(p["solid"]), F.lit(1))
     values = {
         "char_count": F.length(t),
         "word_count": F.regexp_count(t, F.lit(r"(?U)\b[\w'-]+\b")),
         "line_count": n,
-        "average_line_length": F.when(n > 0, F.aggregate(widths, F.lit(0), lambda a, x: a + x) / n).otherwise(F.lit(0.0)),
-        "max_line_length": F.coalesce(F.array_max(widths), F.lit(0)),
-        "digit_ratio": share(r"\P{Nd}"),
-        "uppercase_ratio": share(r"\P{Lu}"),
+        "average_line_length": F.when(n > 0, p["width"] / n).otherwise(F.lit(0.0)),
+        "max_line_length": p["widest"],
+        "digit_ratio": share(r"\P{Nd}+"),
+        "uppercase_ratio": share(r"\P{Lu}+"),
         "currency_symbol_count": _counts(t, ("$", "Rs", "RM")),
         "amount_like_count": F.regexp_count(t, F.lit("(?i)" + AMOUNT)),
         "date_like_count": F.regexp_count(t, F.lit("(?i)" + DATE)),

@@ -10,23 +10,31 @@ from pyspark.sql import functions as F
 def chunks(docs: DataFrame, size: int = 1000, overlap: int = 100, doc_id: str = "doc_id", text: str = "text", context: int = 100) -> DataFrame:
     """(doc_id, chunk_index, start, end, content, token_count, preceding, following); empty texts have none.
 
-    Pieces are cut inside the row, so a long text is not copied to each of its chunks.
+    A text is split once into parts as long as a chunk's step, and chunks and contexts are put together from neighbouring parts:
+    no cut walks the text from its beginning. overlap and context are at most that step.
     """
     step, t = size - overlap, F.col(text)
-    starts = F.when(F.length(t) > 0, F.sequence(F.lit(0), F.greatest(F.length(t) - overlap - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-
-    def piece(start: Column) -> Column:
-        end = F.least(start + size, F.length(t))
+    if not 0 <= max(overlap, context) <= step:
+        raise ValueError("overlap and context must not be longer than a chunk's step")
+    parts = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    count = F.when(F.length(t) > 0, F.floor((F.greatest(F.length(t) - overlap - 1, F.lit(0))) / step).cast("int") + 1).otherwise(0)
+    part = lambda i: F.coalesce(F.get("_parts", i), F.lit(""))
+
+    def piece(_: Column, i: Column) -> Column:
+        start = i * step
+        end = F.least(start + size, F.col("_length"))
         return F.struct(
+            i.alias("chunk_index"),
             start.alias("start"),
             end.alias("end"),
-            F.substring(t, start + 1, F.lit(size)).alias("content"),
+            F.substring(F.concat(part(i), part(i + 1)), 1, size).alias("content"),
             F.greatest(F.lit(1), F.floor((end - start) / 4)).cast("long").alias("token_count"),
-            F.substring(t, F.greatest(start - context, F.lit(0)) + 1, F.least(start, F.lit(context))).alias("preceding"),
-            F.substring(t, end + 1, F.lit(context)).alias("following"),
+            F.substring(part(i - 1), step - context + 1, context).alias("preceding"),
+            F.substring(F.concat(part(i + 1), part(i + 2)), overlap + 1, context).alias("following"),
         )
 
-    return docs.select(doc_id, F.posexplode(F.transform(starts, piece)).alias("chunk_index", "p")).select(doc_id, "chunk_index", "p.*")
+    cut = docs.select(doc_id, parts.alias("_parts"), F.length(t).alias("_length"), count.alias("_count"))
+    return cut.select(doc_id, F.explode(F.transform(F.slice("_parts", F.lit(1), F.col("_count")), piece)).alias("p")).select(doc_id, "p.*")
 
 
 def split_of(key: Column) -> Column:
