@@ -2,7 +2,7 @@
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer, StopWordsRemover, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,21 +54,41 @@ def chat_rows(examples: DataFrame, prompt: str, answer: str, keep: list[str] | N
     return examples.select(F.to_json(F.struct(F.array(message("user", prompt), message("assistant", answer)).alias("messages"))).alias("value"), *(keep or []))
 
 
-def text_classifier(train: DataFrame, label: str = "label", text: str = "text", features: int = 1 << 15) -> PipelineModel:
-    """TF-IDF of one and two words, balanced multinomial logistic regression."""
+def vocabulary(terms: DataFrame, most: int, column: str = "terms") -> list[str]:
+    """The terms that stand in the most rows of an array column, equal ones in their order: at most so many, so they may be read on the driver.
+
+    A term's number is its place, whatever the partitions.
+    """
+    counts = terms.select(F.explode(F.array_distinct(column)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return [r.term for r in counts.orderBy(F.col("df").desc(), "term").limit(most).collect()]
+
+
+def text_classifier(train: DataFrame, label: str = "label", text: str = "text", features: int = 1 << 15, named: bool = False) -> PipelineModel:
+    """TF-IDF of one and two words, balanced multinomial logistic regression.
+
+    Features are hashed, or with named=True the terms of the most documents (as many), whose names the model then knows.
+    """
     n = train.count()
     if not n:
         raise ValueError("no training rows")
     sizes = train.groupBy(label).agg(F.count("*").alias("_n"))
     weighed = train.join(F.broadcast(sizes), label).withColumn("_w", F.lit(float(n)) / (F.lit(float(sizes.count())) * F.col("_n")))
-    stages = [
-        StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc"),
+    words = [
         RegexTokenizer(inputCol=text, outputCol="_t", pattern=r"\b\w\w+\b", gaps=False),
         StopWordsRemover(inputCol="_t", outputCol="_s"),
         NGram(n=2, inputCol="_s", outputCol="_g"),
-        HashingTF(inputCol="_s", outputCol="_f1", numFeatures=features),
-        HashingTF(inputCol="_g", outputCol="_f2", numFeatures=features),
-        VectorAssembler(inputCols=["_f1", "_f2"], outputCol="_f"),
+    ]
+    if named:
+        words.append(SQLTransformer(statement="SELECT *, concat(_s, _g) AS _a FROM __THIS__"))
+        terms = Pipeline(stages=words).fit(weighed).transform(weighed)
+        counts = [CountVectorizerModel.from_vocabulary(vocabulary(terms, features, "_a"), inputCol="_a", outputCol="_f")]
+    else:
+        hashed = [HashingTF(inputCol=c, outputCol=f"_f{i}", numFeatures=features) for i, c in enumerate(("_s", "_g"), 1)]
+        counts = [*hashed, VectorAssembler(inputCols=["_f1", "_f2"], outputCol="_f")]
+    stages = [
+        StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc"),
+        *words,
+        *counts,
         IDF(inputCol="_f", outputCol="_i"),
         Normalizer(inputCol="_i", outputCol="_x"),
         LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", standardization=False, regParam=1.0 / n, maxIter=50),
@@ -94,13 +114,16 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def top_features(model: PipelineModel, names: list[str], n: int = 10) -> DataFrame:
+def top_features(model: PipelineModel, names: list[str] | None = None, n: int = 10) -> DataFrame:
     """(class, rank, feature, weight): the features of the largest coefficients by size, a class each; ties by name.
 
-    names: of the vector's places; a model's coefficients are few, so they are read on the driver.
+    names: of the vector's places; without them those of the model's vocabulary. A model's coefficients are few, so they are read
+    on the driver.
     """
     from pyspark.sql import SparkSession
 
+    if names is None:
+        names = next(s.vocabulary for s in model.stages if isinstance(s, CountVectorizerModel))
     labels, weights = model.stages[0].labels, model.stages[-1].coefficientMatrix.toArray()
     rows = [(labels[i] if len(weights) > 1 else labels[-1], name, float(w)) for i, row in enumerate(weights) for name, w in zip(names, row, strict=True)]
     order = Window.partitionBy("class").orderBy(F.abs("weight").desc(), "feature")

@@ -12,6 +12,7 @@ from quillspark.operators import ordering as O
 from quillspark.operators import postings as P
 from quillspark.operators import ranges as R
 from quillspark.operators import search as S
+from quillspark.operators import training as G
 from quillspark.operators import vectors as V
 from quillspark.operators.queries import known_names, parse_queries
 from quillspark.sources.files import csv_lines
@@ -256,3 +257,36 @@ def test_longest_known_supplier(spark):
     assert got == {0: "The ABC Company", 1: "the abc", 2: "Zed & Sons", 3: "Company", 4: None, 5: "the", 6: None, 7: None, 8: "The Company"}
     many = spark.createDataFrame([(f"The {i} Company",) for i in range(50)], "supplier string")
     assert {r._w for r in known_names(many).collect()} == {str(i) for i in range(50)}
+
+
+# texts
+
+
+@pytest.mark.parametrize("size,overlap,context", [(10, 3, 4), (7, 0, 7), (8, 4, 2)])
+def test_chunks_and_their_contexts(spark, size, overlap, context):
+    texts = [None, "", "a", "abcdefghij", "0123456789" * 4, "é😀日\n" * 9, "x" * 17]
+    got = {}
+    for r in G.chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), size, overlap, context=context).collect():
+        got.setdefault(r.doc_id, []).append((r.chunk_index, r.start, r.end, r.content, r.token_count, r.preceding, r.following))
+    step = size - overlap
+    for i, t in enumerate(texts):
+        starts = range(0, max(len(t) - overlap - 1, 0) + 1, step) if t else ()
+        want = [(j, a, min(a + size, len(t)), t[a : a + size], max(1, (min(a + size, len(t)) - a) // 4), t[max(a - context, 0) : a], t[a + size : a + size + context]) for j, a in enumerate(starts)]
+        assert sorted(got.get(i, [])) == want, t
+    with pytest.raises(ValueError):
+        G.chunks(spark.createDataFrame([(1, "a")], "doc_id int, text string"), 5, 4)
+
+
+def test_named_features(spark):
+    rows = spark.createDataFrame([("red apple sweet", "fruit"), ("green apple sour", "fruit"), ("fast car engine", "car"), ("slow car engine", "car")] * 5, "text string, label string")
+    model = G.text_classifier(rows, features=50, named=True)
+    names = next(s.vocabulary for s in model.stages if hasattr(s, "vocabulary"))
+    assert names[:4] == ["apple", "car", "car engine", "engine"] and "apple sweet" in names
+    weights = model.stages[-1].coefficientMatrix.toArray()
+    labels = model.stages[0].labels
+    for r in G.top_features(model, n=4).collect():
+        row = weights[labels.index(r["class"])] if len(weights) > 1 else weights[0]
+        assert r.weight == row[names.index(r.feature)] and sum(abs(w) > abs(r.weight) for w in row) < r["rank"]
+    said = G.predicted(model, spark.createDataFrame([("an apple",), ("my engine",)], "text string")).collect()
+    assert [r.model_label for r in said] == ["fruit", "car"]
+    assert G.vocabulary(spark.createDataFrame([(["b", "a", "a"],), (["b"],), (None,)], "terms array<string>"), 5) == ["b", "a"]
