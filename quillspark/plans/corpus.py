@@ -71,3 +71,63 @@ corpus as (select k doc_id, case m when 0 then 'invoice' when 1 then 'receipt' e
   else concat('PURCHASE ORDER', chr(10), 'PO Number : ', cast(k+5380000000 as varchar), chr(10),
               'PO Creation Date : ', strftime(d,'%d.%m.%Y'), chr(10), 'SUPPLIER: ', s, chr(10), 'Grand Total ', format('{:,.2f}',p)) end text
 from o)"""
+
+
+def varied(docs: DataFrame) -> DataFrame:
+    """Rendered documents (doc_id, gold_*) in eight wordings a type: form (0 to 7, by doc_id) and text.
+
+    Numbers, dates, amounts and suppliers stand behind other labels or none, before their labels, beside smaller amounts and in noise.
+    """
+    n, big = (F.col("doc_id") + 10000).cast("string"), (F.col("doc_id") + 5380000000).cast("string")
+    s, amount, day = F.col("gold_supplier"), F.format_number("gold_total", 2), lambda pattern: F.date_format("gold_date", pattern)
+    iso, dmy, dot, short, long = day("yyyy-MM-dd"), day("dd/MM/yyyy"), day("dd.MM.yyyy"), day("MMM d, yyyy"), day("d MMMM yyyy")
+    far = "all goods were checked and packed with care and left our store in order on time\n"
+    digits = "".join(f"{i} {i}\n" for i in range(10, 24))
+    lines = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    invoices = [
+        lines("Invoice No INV-", n, "\nVendor: ", s, "\nInvoice Date: ", iso, "\nTotal: 1.00\n", far, "Grand Total: $", amount),
+        lines("Invoice Number: ", n, "\nBill From: ", s, "\nDate: ", short, "\nAmount Due: LKR ", amount),
+        lines("TAX INVOICE\nINV ", n, "\nFrom: ", s, "\nIssued Date: ", long, "\nNet Total ", amount),
+        lines("INVOICE # ", n, " ", s, " Bill To: Someone\nInvoice Date: ", dmy, "\nBalance Due: $", amount),
+        lines(s, "\nINVOICE # ", n, "\nBill To: Someone\n", iso, "\nBalance Due: Rs. ", amount),
+        lines("INVOICE # ", n, "\nVendor: ", s, "\nInvoice Date: ", iso, "\nUnit Price Total 9,999,999.00\n", far, far, "Balance Due: $", amount),
+        lines("INVOICE # ", n, "\nVendor: ", s, "\nInvoice Date: ", dot, "\n$", amount, "\nBalance Due\nTotal"),
+        lines("Vendor: ", s, " 20260001\nInvoice No: ", n, "\nInvoice Date: 45/45/2020\nDate: ", iso, "\nTotal Amount: RM", amount),
+    ]
+    receipts = [
+        lines("Company Name: ", s, "\nReceipt # R", n, "\nDate: ", dmy, "\nTOTAL\n$", amount, "\nCASH TENDERED\n$9,999,999.00\n", far, "CHANGE\n$30.00"),
+        lines("SALES RECEIPT\n", s, "\nReceipt Number: R", n, "\n", iso, "\nCash Total ", amount),
+        lines("Company Name: ", s, "\nReceipt No.\nDate: ", iso, "\nTX-2026-", n, "\nAmount Paid Rs. ", amount),
+        lines("RECEIPT\n", digits, s, "\nReceipt No. R", n, "\nDate: ", dot, "\nNET TOTAL ", amount),
+        lines("Vendor: ", s, "\nReceipt No. R", n, "\nDate: ", dmy, "\nBalance Paid\n", far, far, "lkr ", amount, "\n", far, "lkr 1.00"),
+        lines("Company Name: ", s, "\nRECEIPT\nReceipt No. R", n, "\nDate: ", dmy, "\nGrand Total 9,999,999.00 Cashier: 2\n", far, far, "Amount Payable: ", amount),
+        lines("Company Name: ", s, " Fax 0112\nReceipt #R", n, "\n", short, "\nTOTAL AMT INCL. GST ", amount),
+        lines("Company Name: ", s, "\nRECEIPT\nInvoice No: ", n, "\nDate: ", dmy, "\nTOTAL AMOUNT ", amount),
+    ]
+    orders = [
+        lines("PURCHASE ORDER\nP.O. No : ", big, "\nOrder Date: ", dmy, "\nSUPPLIER: ", s, "\nSub Total 1.00\nOrder Total: ", amount),
+        lines("PURCHASE ORDER\nOrder Number: ", n, "\nOrder Date: ", iso, "\nVendor: ", s, "\nTotal Value ", amount),
+        lines("Purchase Order # ", n, "\nDate: ", short, "\nSupplier Name: ", s, "\nGrand Total ", amount),
+        lines("PURCHASE ORDER\nour PO # ", n, "\nLast Modified 01/01/2001\n", dmy, "\nSUPPLIER: ", s, "\nNet Total ", amount),
+        lines("PURCHASE ORDER\nour ref PO", n, "\nOrder Date: ", long, "\nSUPPLIER: ", s, "\nTotal Amount Rs. ", amount),
+        lines("PURCHASE ORDER\nORIGINAL\n", big, "\n", dot, "\nPO Number :\nPO Creation Date :\nSUPPLIER: ", s, "-1007037\nGrand Total ", amount),
+        lines("PURCHASE ORDER\nPO Number : ", big, "\nOrder Date: ", dmy, "\nTo: ", s, ", Tel 0112\nGrand Total ", amount),
+        lines("PURCHASE ORDER\nPO Number : ", big, "\nPO Creation Date : ", dot, "\nSupplier 1007 ", s, " Address Main Road\nGrand Total ", amount),
+    ]
+    form = F.pmod(F.floor(F.col("doc_id") / 3), F.lit(8)).cast("int")
+    pick = lambda texts: F.get(F.array(*texts), form)
+    text = F.when(F.col("gold_type") == "invoice", pick(invoices)).when(F.col("gold_type") == "receipt", pick(receipts)).otherwise(pick(orders))
+    return docs.select("doc_id", form.alias("form"), text.alias("text"))
+
+
+#: The fields that varied() shows, for DuckDB; corpus as above.
+VARIED = """v as (select *, (doc_id // 3) % 8 f, cast(doc_id + 10000 as varchar) n, cast(doc_id + 5380000000 as varchar) big, format('{:,.2f}', gold_total) a,
+  strftime(gold_date, '%Y-%m-%d') iso, strftime(gold_date, '%d/%m/%Y') dmy, strftime(gold_date, '%d.%m.%Y') dot, strftime(gold_date, '%b %-d, %Y') short, strftime(gold_date, '%-d %B %Y') long from corpus)
+select doc_id, cast(f as integer) form, gold_type as type,
+  case gold_type when 'invoice' then case f when 0 then 'INV-' || n when 2 then 'INV ' || n else n end
+    when 'receipt' then case f when 2 then 'TX-2026-' || n when 7 then n else 'R' || n end
+    else case when f in (0, 5, 6, 7) then big when f = 4 then 'PO' || n else n end end as invoice_number,
+  case gold_type when 'invoice' then [iso, short, long, dmy, iso, iso, dot, iso][f + 1] when 'receipt' then [dmy, iso, iso, dot, dmy, dmy, short, dmy][f + 1]
+    else [dmy, iso, short, dmy, long, dot, dmy, dot][f + 1] end as date,
+  case gold_type when 'invoice' then ['$', 'LKR ', '', '$', 'Rs. ', '$', '$', 'RM'][f + 1] when 'receipt' then ['$', '', 'Rs. ', '', 'lkr ', '', '', ''][f + 1]
+    else case f when 4 then 'Rs. ' else '' end end || a as amount, gold_supplier as supplier from v"""

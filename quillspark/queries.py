@@ -17,7 +17,7 @@ from .operators.postings import build_postings
 from .operators.queries import parse_queries
 from .operators.ranges import build_ranges, first_within
 from .plans.corpus import SQL as CORPUS
-from .plans.corpus import flawed, read, rendered
+from .plans.corpus import VARIED, flawed, read, rendered, varied
 from .plans.process import process
 from .sources import files as R
 from .sources.shared import shared_path, written
@@ -106,6 +106,13 @@ def e_fields(spark, d):
     return process(rendered(spark, d).select("doc_id", "text")).select("doc_id", "fields.*")
 
 
+@query("e_varied_fields", _CORPUS + ", " + VARIED)
+def e_varied(spark, d):
+    """Every branch of the extraction over eight wordings a type."""
+    found = process(varied(rendered(spark, d)))
+    return found.select("doc_id", "form", F.col("classification.label").alias("type"), "fields.*")
+
+
 @query("v1_text_quality", r"""with x as (select doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) t from documents), y as (select *, regexp_replace(t, '\s', '', 'g') s from x), z as (select *, greatest(length(s), 1) b, length(regexp_replace(s, '[^0-9]', '', 'g')) dg, length(regexp_replace(s, '[^\p{Lu}]', '', 'g')) up, length(regexp_replace(s, '[\p{L}\p{N}.,:/#\-&()$%+]', '', 'g')) sy from y)
 select doc_id, cast(length(t) as bigint) AS char_count, cast(len(list_filter(string_split(t, chr(10)), lambda l: trim(l) <> '')) as bigint) AS line_count, round(dg / b, 4) AS digit_ratio, round(sy / b, 4) AS symbol_noise_ratio, round(up / b, 4) AS uppercase_ratio from z""")
 def v1(spark, d):
