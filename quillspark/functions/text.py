@@ -26,9 +26,14 @@ SYNONYMS = {
 }
 
 
+def filled(text: Column) -> Column:
+    """text, or null where it is empty; unlike nullif() it holds its argument once, which matters where that is a long expression."""
+    return F.get(F.array_remove(F.array(text), F.lit("")), F.lit(0))
+
+
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match; null where there is none or it is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return filled(F.regexp_extract(text, pattern, group))
 
 
 def collapse(text: Column) -> Column:
@@ -47,7 +52,7 @@ def clean_text(text: Column) -> Column:
 
 def clean_value(text: Column) -> Column:
     """Single spaces, no punctuation at the ends; null where nothing stays."""
-    return F.nullif(F.btrim(collapse(text), F.lit(" .,:;-")), F.lit(""))
+    return filled(F.btrim(collapse(text), F.lit(" .,:;-")))
 
 
 def normal_name(text: Column) -> Column:
