@@ -12,6 +12,7 @@ from .operators import training as G
 from .operators import validate as C
 from .operators import vectors as X
 from .operators.classify import wording_type
+from .operators.exports import query_level, write_query_level
 from .operators.ordering import in_order, page_of
 from .operators.postings import build_postings
 from .operators.queries import parse_queries
@@ -323,6 +324,39 @@ def w1(spark, d):
     return M.mean_metrics(M.graded_metrics(*_graded(spark, d)))
 
 
+_GRADED = f"with {_TOP}, rel as (select a.vec_id query_id, b.vec_id, 1 + b.vec_id % 3 g from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id and a.label = b.label and a.label < 9), ks as (select unnest([1, 3, 5]) k), qs as (select vec_id query_id, label from embeddings where vec_id % 20 = 0), hit as (select r.query_id, r.rank, r.vec_id, r.score, rel.g from r left join rel using (query_id, vec_id) where r.rank <= 5), n as (select query_id, count(*) n from rel group by query_id), ideal as (select query_id, k, sum((2 ** g - 1) / log2(i + 1)) ideal from (select *, row_number() over (partition by query_id order by g desc) i from rel), ks where i <= k group by query_id, k), m as (select query_id, k, count(g) / k p, coalesce(count(g) / any_value(n), 0) r, coalesce(1 / min(case when g is not null then rank end), 0) rr, coalesce(sum(case when g is not null then (2 ** g - 1) / log2(rank + 1) end) / any_value(ideal), 0) nd from hit left join n using (query_id) cross join ks left join ideal using (query_id, k) where rank <= k group by query_id, k)"
+
+
+def _graded_search(spark, d):
+    """Every 20th vector as a query; vectors of its label are relevant, with grades 1 to 3, but for the last label, which has none."""
+    v = read(spark, d, "embeddings").select("vec_id", "label")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    queries = q.select("query_id", F.concat(F.lit('like "'), F.col("query_id").cast("string"), F.lit('", near')).alias("query_text"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("category"), (F.col("label") == 9).alias("expects_no_results"))
+    qrels = q.where("label < 9").join(v, "label").where("query_id != vec_id").select("query_id", F.col("vec_id").alias("doc_id"), (F.col("vec_id") % 3 + 1).cast("int").alias("grade"))
+    hits = written(nearest(spark, d).select("query_id", "rank", F.col("vec_id").alias("doc_id"), "score", F.lit(None).cast("int").alias("lexical_tier")), "hits")
+    return queries, qrels, hits
+
+
+@query("s22_query_level", _GRADED + """, w as (select query_id, max(case when k = 1 then p end) p1, max(case when k = 1 then r end) r1, max(case when k = 1 then rr end) rr1, max(case when k = 1 then nd end) n1, max(case when k = 3 then p end) p3, max(case when k = 3 then r end) r3, max(case when k = 3 then rr end) rr3, max(case when k = 3 then nd end) n3, max(case when k = 5 then p end) p5, max(case when k = 5 then r end) r5, max(case when k = 5 then rr end) rr5, max(case when k = 5 then nd end) n5 from m group by query_id),
+ h as (select query_id, string_agg(vec_id, ', ' order by rank) ids, count(*) c, min(case when g is not null then rank end) f, min_by(vec_id, rank) tid, min_by(score, rank) ts from hit group by query_id), e as (select query_id, string_agg(vec_id || ':' || g, ', ' order by vec_id) docs, count(*) c from rel group by query_id)
+select query_id, 'like "' || query_id || '", near' AS query_text, 'label ' || label AS category, case when label = 9 then 'True' else 'False' end AS expects_no_results, coalesce(docs, '<none>') AS gold_relevant_docs, coalesce(e.c, 0) AS gold_relevant_count, ids AS retrieved_doc_ids, h.c AS retrieved_count,
+ format('{:.4f}', p1) AS p_at_1, format('{:.4f}', r1) AS r_at_1, format('{:.4f}', rr1) AS rr_at_1, format('{:.4f}', n1) AS ndcg_at_1, format('{:.4f}', p3) AS p_at_3, format('{:.4f}', r3) AS r_at_3, format('{:.4f}', rr3) AS rr_at_3, format('{:.4f}', n3) AS ndcg_at_3, format('{:.4f}', p5) AS p_at_5, format('{:.4f}', r5) AS r_at_5, format('{:.4f}', rr5) AS rr_at_5, format('{:.4f}', n5) AS ndcg_at_5,
+ coalesce(cast(f as varchar), '') AS first_relevant_rank, cast(tid as varchar) AS top_1_doc_id, format('{:.4f}', ts) AS top_1_score, '' AS top_1_lexical_tier, case when label = 9 then 'FAIL' else 'N/A' end AS no_match_status from qs join h using (query_id) join w using (query_id) left join e using (query_id)""")
+def s22(spark, d):
+    """The export written as CSV and read back."""
+    path = shared_path(spark, "query-level")
+    rows = query_level(*_graded_search(spark, d))
+    write_query_level(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path).fillna("")
+
+
+@query("a11_by_category", _GRADED + " select 'label ' || label AS category, cast(k as integer) AS k, count(*) AS queries, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(rr), 6) AS rr, round(avg(nd), 6) AS ndcg from m join qs using (query_id) where label < 9 group by all")
+def a11(spark, d):
+    queries, qrels, hits = _graded_search(spark, d)
+    per = M.ranking_metrics(hits.select("query_id", "doc_id", "rank"), qrels).join(queries.select("query_id", "category"), "query_id")
+    return M.mean_metrics(per, ["category"]).select("category", "k", "queries", "precision", "recall", "rr", "ndcg")
+
+
 _JUDGED = "j as (select quality gold, case when length(text) >= 600 then 1 else 0 end pred, lang, case when quality = case when length(text) >= 600 then 1 else 0 end then 1 else 0 end ok from documents join labels using (doc_id))"
 
 

@@ -1,11 +1,16 @@
 """Stored indexes against plain searches."""
 
+import csv
+import glob
+import json
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import exports as X
 from quillspark.operators import metrics as M
 from quillspark.operators import quantiles as Q
 from quillspark.operators import ordering as O
@@ -290,3 +295,26 @@ def test_named_features(spark):
     said = G.predicted(model, spark.createDataFrame([("an apple",), ("my engine",)], "text string")).collect()
     assert [r.model_label for r in said] == ["fruit", "car"]
     assert G.vocabulary(spark.createDataFrame([(["b", "a", "a"],), (["b"],), (None,)], "terms array<string>"), 5) == ["b", "a"]
+
+
+# exports
+
+
+def test_exports(spark, tmp_path):
+    queries = spark.createDataFrame([(1, 'a "quoted", text', "x", False), (2, "b", "y", True), (3, "c", "y", True), (4, "d", "x", False)], "query_id long, query_text string, category string, expects_no_results boolean")
+    qrels = spark.createDataFrame([(1, "p", 3), (1, "q", 1), (1, "z", 0), (4, "s", 2)], "query_id long, doc_id string, grade int")
+    hits = spark.createDataFrame([(1, 1, "z", 0.5, 5), (1, 2, "p", 0.25, None), (3, 1, "q", 1.0, 2)], "query_id long, rank int, doc_id string, score double, lexical_tier int")
+    X.write_query_level(X.query_level(queries, qrels, hits), f"{tmp_path}/csv")
+    rows = {}
+    for f in glob.glob(f"{tmp_path}/csv/*.csv"):
+        with open(f, newline="", encoding="utf-8") as s:
+            rows |= {r["query_id"]: r for r in csv.DictReader(s)}
+    assert tuple(rows["1"]) == X.COLUMNS and len(rows) == 4
+    one = rows["1"]
+    assert (one["query_text"], one["gold_relevant_docs"], one["retrieved_doc_ids"], one["first_relevant_rank"], one["top_1_score"], one["top_1_lexical_tier"]) == ('a "quoted", text', "p:3, q:1", "z, p", "2", "0.5000", "5")
+    ideal = 7 + 1 / math.log2(3)
+    assert (one["p_at_3"], one["r_at_5"], one["rr_at_1"], one["rr_at_3"], one["ndcg_at_3"]) == ("0.3333", "0.5000", "0.0000", "0.5000", f"{7 / math.log2(3) / ideal:.4f}")
+    assert [rows[i]["no_match_status"] for i in "1234"] == ["N/A", "PASS", "FAIL", "N/A"] and rows["2"]["retrieved_doc_ids"] == rows["2"]["top_1_doc_id"] == "<none>"
+    said = json.loads(X.metrics_json(queries, qrels, hits).first().value)
+    assert said["no_match"] == {"total": 2, "correct": 1, "accuracy": 0.5, "status": "FAIL"} and set(said["by_category"]) == {"x"}
+    assert said["overall"]["k3"]["precision"] == 0.1667 and said["by_category"]["x"]["query_count"] == 2
