@@ -23,5 +23,5 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
-        "op1_decontamination": decontam.ORACLE, "op3_quality_rules": quality.ORACLE, "op6_ngram_jaccard": ngramjoin.ORACLE, "op9_warc": warc.ORACLE, "op10_license_scan": licenses.ORACLE, "op11_ranked_search": lexical.ORACLE,
+        "op1_decontamination": decontam.ORACLE, "op3_quality_rules": quality.ORACLE, "op6_ngram_jaccard": ngramjoin.ORACLE, "op9_warc": warc.ORACLE, "op10_license_scan": licenses.ORACLE, "op11_ranked_search": lexical.ORACLE, "op13_periodic_runs": runs.ORACLE,
     }

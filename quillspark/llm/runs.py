@@ -156,3 +156,22 @@ def op13(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_runs", (-b["start"]).alias("start"), b["length"].alias("length"), (-b["period"]).alias("period"),
         F.floor(1000 * b["length"] / -b["period"]).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
     )
+
+
+ORACLE = r"""
+with c as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda t, i: xor(t >> 1, (t & 1) * 3988292384))), 4294967295) h from documents),
+p as (select *, len(w) n, (h // 10) % greatest(len(w), 1) a, h // 10 g from c),
+d as (select rid, doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] end) else w end w from p),
+o as (select rid, n, unnest(w) x, unnest(range(n)) i from d),
+m as (select a.rid, b.i, b.i - a.i q from o a join o b on a.rid = b.rid and a.x = b.x and b.i > a.i and 4 * (b.i - a.i) <= a.n),
+s as (select *, i - row_number() over (partition by rid, q order by i) k from m),
+u as (select rid, q, min(i) - q st, count(*) + q le from s group by rid, q, k having count(*) + q >= greatest(6, 4 * q)),
+r as (select rid, st, le, min(q) q from u group by rid, st, le),
+t as (select rid, count(*) n_runs, max_by(struct_pack(st, le, q), struct_pack(a := le, b := -st, c := -q)) b, string_agg(st || ',' || le || ',' || q || chr(10), '' order by st, q) runs from r group by rid),
+z as (select distinct rid, unnest(range(st + q, st + le)) i from r),
+k as (select rid, string_agg(x, ' ' order by i) kept from o anti join z using (rid, i) group by rid)
+select doc_id, coalesce(n_runs, 0) n_runs, b.st "start", b.le length, b.q period, 1000 * b.le // b.q exponent_milli, sha256(coalesce(runs, '')) runs_sha256, sha256(coalesce(kept, '')) collapsed_sha256
+from d left join t using (rid) left join k using (rid)
+"""

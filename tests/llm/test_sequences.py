@@ -39,7 +39,7 @@ def ranked(rows, items, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most", [lexical.MAX_BYTES, 200])
+@pytest.mark.parametrize("most", [lexical.MAX_BYTES, 700])
 def test_ranked_search(spark, docs, none, most):  # noqa: F811
     items = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("Score", F.lit("x"))
     many = ROWS + [(100 + i, prose(40 + i % 7, i % 31), "en", "s", 1) for i in range(400)]
