@@ -95,6 +95,35 @@ def p8(spark, d):
     return rendered(spark, d).select("doc_id", V.query_date(g("yyyy-MM-dd")).alias("iso"), V.query_date(g("dd.MM.yy")).alias("dmy"), V.query_date(worded).alias("worded"), V.plausible_date(g("dd-MMM-yyyy")).alias("plausible"), V.checked_date(g("MM/dd/yyyy")).alias("checked"))
 
 
+_FORMS = ("yyyy/MM/dd", "d/M/yyyy", "dd-MM-yyyy", "d MMMM yyyy", "d-MMM-yyyy", "MMMM d, yyyy", "dd/MM/yy", "d.M.yyyy", "yyyy.MM.dd", "MMM d yyyy")
+
+
+@query("p8_date_forms", _CORPUS + "select doc_id, " + ", ".join(f"gold_date AS form_{i}" for i in range(len(_FORMS))) + " from corpus")
+def p8_forms(spark, d):
+    """The order date in ten forms."""
+    return rendered(spark, d).select("doc_id", *[V.query_date(F.date_format("gold_date", f)).alias(f"form_{i}") for i, f in enumerate(_FORMS)])
+
+
+@query("p9_dates_judged", _CORPUS + "select doc_id, [true, true, true, true, true, true, true, false, false, false][1 + (doc_id // 3) % 10] AS plausible, [true, false, false, false, true, true, true, false, false, false][1 + (doc_id // 3) % 10] AS checked from corpus")
+def p9(spark, d):
+    """Dates in forms that both checks take, that only the first takes, and that neither does."""
+    day = lambda f: F.date_format("gold_date", f)
+    forms = F.array(*map(day, ("yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "d MMMM yyyy", "MMMM d, yyyy", "dd.MM.yyyy", "MM/dd/yyyy")), F.concat(F.lit("45/"), day("dd/yyyy")), F.concat(day("dd/MM/"), F.lit("1899")), F.concat(day("yyyy-MM-dd"), F.lit(" at noon")))
+    text = F.get(forms, F.pmod(F.floor(F.col("doc_id") / 3), F.lit(10)).cast("int"))
+    return rendered(spark, d).select("doc_id", V.plausible_date(text).alias("plausible"), V.checked_date(text).alias("checked"))
+
+
+@query("p11_value_checks", "select o_orderkey AS doc_id, [true, true, true, true, false, false, false, false][1 + o_orderkey % 8] AS good_amount, [false, false, true, true, false, true, false, true][1 + o_orderkey % 8] AS bad_number from orders")
+def p11(spark, d):
+    """Amounts and numbers that the field checks take and refuse."""
+    key = F.pmod("o_orderkey", F.lit(8)).cast("int")
+    amount, n = F.format_number("o_totalprice", 2), F.col("o_orderkey").cast("string")
+    pick = lambda *values: F.get(F.array(*values), key)
+    money = pick(amount, F.concat(F.lit("Rs. "), amount), F.concat(F.lit("$"), amount), F.concat(F.lit(" lkr "), n), F.concat(amount, F.lit(" USD")), F.concat(F.lit("EUR "), n), F.concat(n, F.lit(".125")), F.lit("free"))
+    number = pick(F.concat(F.lit("INV"), n), F.concat(F.lit("10-"), n), F.lit("none"), F.lit("7"), F.concat(F.lit(" A1"), n), F.lit("#INV"), F.concat(n, F.lit("/2026")), F.lit(" 7 "))
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), V.checked_amount(money).alias("good_amount"), V.bad_number(number).alias("bad_number"))
+
+
 @query("p16_wording_type", _CORPUS + "select gold_type, gold_type AS type, count(*) AS n from corpus group by gold_type")
 def p16(spark, d):
     return rendered(spark, d).groupBy("gold_type", wording_type(F.col("text")).alias("type")).agg(F.count("*").alias("n"))
@@ -145,6 +174,11 @@ def v3(spark, d):
     return checked.select("doc_id", "flaw", F.array_join(v["warnings"], "; ").alias("warnings"), v["pipeline_status"].alias("status"), v["critical_warning_count"].alias("critical"), v["validation_score"].alias("score"))
 
 
+@query("v6_flawed_report", _CORPUS + f", {_FLAWS} select case when x.flaw = 5 then 'needs_review' when says <> '' then 'processed_with_warnings' else 'processed' end AS status, gold_type AS type, count(*) AS n from x join corpus using (doc_id) group by all")
+def v6_flawed(spark, d):
+    return C.status_report(process(flawed(rendered(spark, d).select("doc_id", "text"))))
+
+
 def asked(spark: SparkSession, d: str) -> DataFrame:
     """A query for every 20th order: its type below its own total, from its own date on."""
     c = rendered(spark, d).where("doc_id % 20 = 0")
