@@ -109,15 +109,15 @@ def _probes(index: VectorIndex, queries: DataFrame, first: int, last: int | None
     return asked.mapInPandas(run, "query_id long, query_vector array<double>, list int, place int, bound double")
 
 
-def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each row of scores the columns of its k largest, equal ones by id."""
+def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest scores of each row, equal ones by id."""
     k = min(k, scores.shape[1])
     least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    out = []
-    for row, low in zip(scores, least, strict=True):
-        some = np.flatnonzero(row >= low)
-        out.append(some[np.lexsort((ids[some], -row[some]))[:k]])
-    return out
+    rows, columns = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((ids[columns], -scores[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[first], columns[first]
 
 
 def _scored(index: VectorIndex, probes: DataFrame, k: int) -> DataFrame:
@@ -138,8 +138,8 @@ def _scored(index: VectorIndex, probes: DataFrame, k: int) -> DataFrame:
         for at in range(0, len(q), 1024):
             part = q.iloc[at : at + 1024]
             scores = np.round(np.array(part["query_vector"].tolist(), np.float64) @ many.T, 6) + 0.0
-            for i, best in enumerate(best_rows(scores, ids, k)):
-                out.append(pd.DataFrame({"query_id": part["query_id"].iat[i], "vec_id": ids[best], "score": scores[i, best], "place": part["place"].iat[i]}))
+            row, column = best_rows(scores, ids, k)
+            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "vec_id": ids[column], "score": scores[row, column], "place": part["place"].to_numpy()[row]}))
         return pd.concat(out)
 
     keys = ("list", "cell", "block")
