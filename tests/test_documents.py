@@ -15,7 +15,7 @@ from quillspark.operators import search as S
 from quillspark.operators.postings import build_postings
 from quillspark.operators.ranges import build_ranges
 from quillspark.operators.classify import wording_type
-from quillspark.operators.extract import fields
+from quillspark.operators.extract import covered, fields
 from quillspark.operators.queries import parse_queries
 from quillspark.operators.validate import validate
 
@@ -38,6 +38,26 @@ def test_fields(spark):
             assert r.f[name] == value, (CASES[r.i][0], name)
 
 
+@pytest.mark.parametrize("code", ["GST", "TRN", "QTY", "UOM", "FAX", "VAT"])
+def test_markers_within_names(spark, code):
+    name = f"{code} Trading Company"
+    texts = [(f"INVOICE # 18213920\nVendor: {name}\nBill To: A\nInvoice Date: 1997-08-26\nBalance Due: $1,858.52", "invoice"), (f"PURCHASE ORDER\nPO Number : 5388203922\nPO Creation Date : 22.04.1996\nSUPPLIER: {name}\nGrand Total 1,858.52", "purchase_order")]
+    df = spark.createDataFrame(texts, "text string, label string").withColumn("fields", fields(covered(F.col("text")), F.col("label")))
+    df = df.withColumn("classification", F.struct("label", F.lit(None).cast("double").alias("confidence"), F.lit("heuristic").alias("confidence_source")))
+    for r in validate(df).collect():
+        assert (r.fields.supplier, r.fields.amount.lstrip("$"), r.validation.pipeline_status) == (name, "1,858.52", "processed")
+    # Markers that begin no organisation's name still are markers.
+    bare = spark.createDataFrame([(f"Vendor: {code} 12 Company",), (f"{code} Company Name: Acme Stores",)], "text string")
+    assert all(r.t == r.text for r in bare.select("text", covered(F.col("text")).alias("t")).collect())
+
+
+def test_pos_within_names(spark):
+    asked = ["receipts from POS Trading Company over 12", "purchase orders the pos company over 3", "pos over 3"]
+    known = spark.createDataFrame([("POS Trading Company",), ("The POS Company",)], "supplier string")
+    got = {r.query: (r.document_type, r.supplier) for r in parse_queries(spark.createDataFrame([(q,) for q in asked], "query string"), known).collect()}
+    assert [got[q] for q in asked] == [("receipt", "POS Trading Company"), ("purchase_order", "The POS Company"), ("purchase_order", None)]
+
+
 def test_amounts_and_dates(spark):
     one = spark.range(1)
     pick = lambda c: one.select(c.alias("x")).first().x
