@@ -300,6 +300,12 @@ def test_named_features(spark):
 # exports
 
 
+def test_four_digits_of_binary_values(spark):
+    values = [0.12345, 0.00015, 0.62845, 0.5, 1234.56785, -0.00025, None]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", X._four(F.col("v")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [None if v is None else f"{v:.4f}" for v in values]
+
+
 def test_exports(spark, tmp_path):
     queries = spark.createDataFrame([(1, 'a "quoted", text', "x", False), (2, "b", "y", True), (3, "c", "y", True), (4, "d", "x", False)], "query_id long, query_text string, category string, expects_no_results boolean")
     qrels = spark.createDataFrame([(1, "p", 3), (1, "q", 1), (1, "z", 0), (4, "s", 2)], "query_id long, doc_id string, grade int")
