@@ -167,6 +167,25 @@ def test_first_within(spark, tmp_path, n, bins, k):
         R.first_within(index, q, 6)
 
 
+@pytest.mark.parametrize("n,bins,k", [(1500, 8, 3), (1500, 4, 5)])
+def test_first_within_in_rounds(spark, tmp_path, monkeypatch, n, bins, k):
+    monkeypatch.setattr(R, "CHUNK_ROWS", 150)  # several chunks and blocks of queries, all rounds
+    assert len(R._rounds(13, 1500)) == 4
+    test_first_within(spark, tmp_path, n, bins, k)
+
+
+def test_equal_bounds_are_searched_once(spark, tmp_path, monkeypatch):
+    docs, _ = _range_rows(5, 400)
+    df = spark.createDataFrame(docs, "doc_id long, doc_ord long, type string, a double, d int")
+    index = R.build_ranges(df.select("doc_id", "doc_ord", "type", F.col("a").cast("decimal(18,4)").alias("amount_dec"), F.date_from_unix_date("d").alias("date_val")), f"{tmp_path}/o", k=5, bins=4)
+    seen, searched = [], R._searched
+    monkeypatch.setattr(R, "_searched", lambda q, *rest: seen.append(q.count()) or searched(q, *rest))
+    names = [f"{w}_{op}" for w in ("amount", "date") for op in R._OPS]
+    amounts = sorted(a for *_, a, _ in docs if a is not None)
+    q = spark.range(1000).select(F.col("id").alias("query_id"), F.lit(docs[0][2]).alias("document_type"), *[(F.lit(amounts[3] if c == "amount_gt" else None)).cast("decimal(18,4)" if c[0] == "a" else "date").alias(c) for c in names])
+    assert R.first_within(index, q, 5).groupBy("query_id").count().count() in (0, 1000) and set(seen) <= {1} and seen
+
+
 def test_a_node_keeps_k_documents(spark, tmp_path):
     docs, _ = _range_rows(1, 3000)
     df = spark.createDataFrame(docs, "doc_id long, doc_ord long, type string, a double, d int")
