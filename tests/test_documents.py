@@ -102,6 +102,23 @@ def test_ranking(spark):
     assert got[1, 3].ndcg == pytest.approx((1 + 7 / 1.5849625) / (7 + 1 / 1.5849625))
 
 
+def test_dense_top_k_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_VECTORS", 30)
+    rows = [(i, [math.sin(i * j % 97) for j in range(1, 9)]) for i in range(200)] + [(1000 + i, [0.5] * 8) for i in range(100)] + [(5000, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = [r for r in rows if r[0] % 7 == 0 and r[1]]
+    found = S.dense_top_k(v.where("vec_id % 7 = 0").selectExpr("vec_id query_id", "embedding query_vector"), v, 4)
+    # One product of many rows, not one of every pair in a nested loop.
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    held = {r.vec_id: list(r.embedding) for r in v.where("embedding is not null").collect()}
+    for i, _ in asked:
+        all_of = sorted((-round(sum(x * y for x, y in zip(held[i], e, strict=True)), 6), j) for j, e in held.items())
+        assert [got[i][n] for n in range(1, 5)] == [(j, -s) for s, j in all_of[:4]]
+
+
 def test_hashed_vectors(spark, tmp_path):
     texts = ["Red invoice red total 42", "blue INVOICE", None, "", "the ... -", "total total zebra", "é"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
