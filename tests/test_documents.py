@@ -51,6 +51,22 @@ def test_markers_within_names(spark, code):
     assert all(r.t == r.text for r in bare.select("text", covered(F.col("text")).alias("t")).collect())
 
 
+def _marker_orders(spark, folder):
+    """Orders of every type and flaw whose suppliers' codes are markers, as the tables that rendered() reads."""
+    rows = [(i * 18 + j, sum((ord(x) - 65) * 26**n for n, x in enumerate(code))) for i, code in enumerate(("GST", "TRN", "QTY", "UOM", "FAX", "VAT")) for j in range(18)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, sk long")
+    orders.selectExpr("o_orderkey", "o_orderkey % 5 AS o_custkey", "1001.91D + o_orderkey AS o_totalprice", "timestamp '1995-01-01' + make_interval(0, 0, 0, cast(o_orderkey as int)) AS o_orderdate").write.parquet(f"{folder}/orders.parquet")
+    orders.selectExpr("o_orderkey AS l_orderkey", "sk AS l_suppkey").write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(5).selectExpr("id AS c_custkey", "'Customer#' || id AS c_name").write.parquet(f"{folder}/customer.parquet")
+    return len(rows)
+
+
+def test_validation_of_markers_within_names(spark, tmp_path):
+    n = _marker_orders(spark, tmp_path)
+    got = queries.QUERIES["v5_validation"](spark, str(tmp_path)).groupBy("status", "warnings", "score").count().collect()
+    assert [tuple(r) for r in got] == [("processed", 0, 1.0, n)]
+
+
 def test_pos_within_names(spark):
     asked = ["receipts from POS Trading Company over 12", "purchase orders the pos company over 3", "pos over 3"]
     known = spark.createDataFrame([("POS Trading Company",), ("The POS Company",)], "supplier string")
