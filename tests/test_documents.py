@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,16 @@ def test_validation_of_markers_within_names(spark, tmp_path):
     assert [tuple(r) for r in got] == [("processed", 0, 1.0, n)]
 
 
+def test_report_of_flaws_beside_markers_within_names(spark, tmp_path):
+    _marker_orders(spark, tmp_path)
+    con = duckdb.connect()
+    for name in ("orders", "lineitem", "customer"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    wanted = con.sql(queries.ORACLE["v6_flawed_report"]).fetchall()
+    got = queries.QUERIES["v6_flawed_report"](spark, str(tmp_path)).select("status", "type", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted)
+
+
 def test_pos_within_names(spark):
     asked = ["receipts from POS Trading Company over 12", "purchase orders the pos company over 3", "pos over 3"]
     known = spark.createDataFrame([("POS Trading Company",), ("The POS Company",)], "supplier string")
