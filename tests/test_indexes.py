@@ -245,6 +245,14 @@ def test_frequent_words_are_not_expanded(spark, worded):
 # order
 
 
+def test_alike_queries_are_searched_once(spark):
+    asked = spark.range(24).selectExpr("id AS query_id", "concat('company zebra ', element_at(array('ax', 'bx', 'cx'), cast(id % 3 as int) + 1)) AS semantic_text", "if(id % 2 = 0, 'invoice', null) AS document_type", "cast(null as string) AS supplier", "cast(null as string) AS document_number", "cast(null as string) AS error")
+    first, members = S._once(S._prepared(asked))
+    assert sorted(r.query_id for r in first.collect()) == [0, 1, 2, 3, 4, 5]
+    assert {(r.query_id, r._first) for r in members.collect()} == {(i, i % 6) for i in range(24)}
+    assert sorted(map(str, first.select("phrase", "ws", "document_type").collect())) == sorted(map(str, S._prepared(asked.where("query_id < 6")).select("phrase", "ws", "document_type").collect()))
+
+
 def test_numbers_and_pages(spark):
     r = random.Random(2)
     rows = [(i, r.choice([None, "a", "a", "b", str(r.randrange(90))])) for i in range(400)] + [(7, "a")] * 50
