@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Vectors that centres are fitted on, about; lists at most; vectors of a cell and queries of a block, about.
 SAMPLE, MAX_LISTS, CELL_ROWS = 100_000, 4096, 8192
+#: Rows (a query and a list) that a task hands on at a time, about.
+PROBE_ROWS = 1 << 14
 #: Queries that the number of probes is measured on, about.
 SAMPLE_QUERIES = 200
 #: A score is rounded, so a bound counts as reached from here on.
@@ -86,26 +88,34 @@ def open_index(spark: SparkSession, folder: str) -> VectorIndex:
     return VectorIndex(spark, folder, np.array([r.list for r in found], np.int64), np.array([r.centre for r in found], np.float64), np.array([r.radius for r in found]), np.array([r.cells for r in found], np.int64))
 
 
+def _probed(frames, numbers: np.ndarray, centres: np.ndarray, radii: np.ndarray, first: int, last: int | None):
+    """Frames of at most about PROBE_ROWS rows: queries' lists from the first to the last place, whose bound reaches the query's least score if it has one."""
+    step = max(1, PROBE_ROWS // max(1, len(range(len(numbers))[first:last])))
+    for frame in frames:
+        for at in range(0, len(frame), step):
+            part = frame.iloc[at : at + step]
+            q = np.array(part["query_vector"].tolist(), np.float64)
+            products = q @ centres.T
+            order = np.argsort(-products, axis=1, kind="stable")[:, first:last]
+            bound = np.take_along_axis(products, order, 1) + np.linalg.norm(q, axis=1)[:, None] * radii[order]
+            least = part["least"].to_numpy(np.float64)[:, None]
+            row, column = np.nonzero(np.isnan(least) | (bound >= least - _HALF_STEP))
+            yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "query_vector": part["query_vector"].to_numpy()[row], "list": numbers[order[row, column]].astype(np.int32), "place": (column + first).astype(np.int32), "bound": bound[row, column]})
+
+
 def _probes(index: VectorIndex, queries: DataFrame, first: int, last: int | None) -> DataFrame:
-    """(query_id, query_vector, list, place, bound): a query's lists from the first to the last place by their centres' product."""
+    """(query_id, query_vector, list, place, bound): a query's lists from the first to the last place by their centres' product.
+
+    Queries may have a column least: lists that hold no such score are left out.
+    """
     known = index.spark.sparkContext.broadcast((index.numbers, index.centres, index.radii))
 
     def run(frames):
-        numbers, centres, radii = known.value
-        for frame in frames:
-            for at in range(0, len(frame), 1024):
-                part = frame.iloc[at : at + 1024]
-                q = np.array(part["query_vector"].tolist(), np.float64)
-                products = q @ centres.T
-                order = np.argsort(-products, axis=1, kind="stable")[:, first:last]
-                row, column = np.indices(order.shape)
-                chosen = order.ravel()
-                bound = np.take_along_axis(products, order, 1).ravel() + np.repeat(np.linalg.norm(q, axis=1), order.shape[1]) * radii[chosen]
-                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[row.ravel()], "query_vector": part["query_vector"].to_numpy()[row.ravel()], "list": numbers[chosen].astype(np.int32), "place": (column.ravel() + first).astype(np.int32), "bound": bound})
-
-    asked = queries.where(F.col("query_vector").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<double>").alias("query_vector"))
+        return _probed(frames, *known.value, first, last)
+
+    asked = queries.where(F.col("query_vector").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<double>").alias("query_vector"), (F.col("least") if "least" in queries.columns else F.lit(None)).cast("double").alias("least"))
     if not len(index.numbers):
-        return asked.select("*", F.lit(0).alias("list"), F.lit(0).alias("place"), F.lit(0.0).alias("bound")).where("false")
+        return asked.drop("least").select("*", F.lit(0).alias("list"), F.lit(0).alias("place"), F.lit(0.0).alias("bound")).where("false")
     return asked.mapInPandas(run, "query_id long, query_vector array<double>, list int, place int, bound double")
 
 
@@ -176,7 +186,7 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int = 5, probes: int
 
         rows = written(_ranked(rows, k).drop("rank"), "vector-hits")
         reached = rows.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
-        more = _probes(index, queries, probes, None).join(reached, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - _HALF_STEP)).drop("least", "n")
+        more = _probes(index, queries.select("query_id", "query_vector").join(reached, "query_id", "left"), probes, None)
         rows = rows.union(_scored(index, more, k))
     return _ranked(rows, k).select("query_id", "rank", "vec_id", "score")
 

@@ -351,3 +351,18 @@ def test_exports(spark, tmp_path):
     said = json.loads(X.metrics_json(queries, qrels, hits).first().value)
     assert said["no_match"] == {"total": 2, "correct": 1, "accuracy": 0.5, "status": "FAIL"} and set(said["by_category"]) == {"x"}
     assert said["overall"]["k3"]["precision"] == 0.1667 and said["by_category"]["x"]["query_count"] == 2
+
+
+def test_probes_go_out_in_small_frames():
+    rng = np.random.default_rng(3)
+    centres, queries = rng.normal(size=(700, 8)), rng.normal(size=(300, 8))
+    least = np.where(np.arange(300) % 2 == 0, 4.0, np.nan)
+    frame = V.pd.DataFrame({"query_id": np.arange(300), "query_vector": list(queries), "least": least})
+    out = list(V._probed([frame], np.arange(700), centres, np.full(700, 0.25), 3, None))
+    assert max(map(len, out)) <= V.PROBE_ROWS
+    got = {(r.query_id, r.list): r.place for f in out for r in f.itertuples()}
+    products = queries @ centres.T
+    bound = products + 0.25 * np.linalg.norm(queries, axis=1)[:, None]
+    place = np.argsort(np.argsort(-products, axis=1, kind="stable"), axis=1)
+    wanted = {(i, j): place[i, j] for i in range(300) for j in range(700) if place[i, j] >= 3 and (i % 2 or bound[i, j] >= 4.0 - 1e-6)}
+    assert got == wanted
