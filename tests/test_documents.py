@@ -18,7 +18,7 @@ from quillspark.operators.ranges import build_ranges
 from quillspark.operators.classify import wording_type
 from quillspark.operators.extract import covered, fields
 from quillspark.operators.queries import parse_queries
-from quillspark.operators.validate import validate
+from quillspark.operators.validate import text_quality, validate
 
 CASES = [
     ("Invoice No INV-42", "invoice", {"invoice_number": "INV-42"}),
@@ -228,3 +228,25 @@ def test_search(spark, monkeypatch, tmp_path, block):
     scores = spark.createDataFrame([(11, "2", 0.9), (11, "6", 0.1), (9, "5", 0.8)], "query_id long, doc_id string, score double")
     by = {(r.query_id, r.doc_id): r.score for r in S.search(q, corpus, 9, scores, 0.5).collect()}
     assert {k for k in by if k[0] == 11} == {(11, "2"), (11, "6")} and {k for k in by if k[0] == 9} == {(9, "5")}
+
+
+def test_tokens_are_dealt_by_document_once(spark):
+    docs = spark.createDataFrame([(1, "oak desk oak"), (2, "desk and the lamp"), (3, "of the"), (3, "lamp")], "doc_id long, text string")
+    made = S.hashed_vectors(docs, S.idf(docs))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
+
+
+def test_lines_and_words_of_odd_texts(spark):
+    texts = ["", " \n\t", "a\x1c\x1cb\n\n c--d '- e-", "--a-b'--\r\n \r\n x\x85é́ _ ٤", "\x1e \x1d!\n''\n-"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    bare = T.strip(F.col("text"))
+    lines = F.size(F.filter(F.split(bare, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"), lambda x: T.strip(x) != ""))
+    got = df.select(text_quality(F.col("text")).alias("q"), lines.cast("long").alias("lines"), F.regexp_count(bare, F.lit(r"(?U)\b[\w'-]+\b")).cast("long").alias("words"))
+    rows = got.select("q.line_count", "lines", "q.word_count", "words").collect()
+    assert [(r[0], r[2]) for r in rows] == [(r[1], r[3]) for r in rows]
+
+
+def test_text_quality_measures_once(spark):
+    plan = spark.range(1).select(text_quality(F.col("id").cast("string")).alias("q")).select("q.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 5
