@@ -324,6 +324,21 @@ def test_named_features(spark):
     assert G.vocabulary(spark.createDataFrame([(["b", "a", "a"],), (["b"],), (None,)], "terms array<string>"), 5) == ["b", "a"]
 
 
+def test_text_classifier_cuts_texts_once(spark):
+    rows, read = [("an apple is sweet", "fruit"), ("the sweet apple", "fruit"), ("my car engine", "car"), ("car engine oil", "car"), ("no label", None)] * 3, spark.sparkContext.accumulator(0)
+
+    def marked(text):
+        read.add(1)
+        return text
+
+    train = spark.createDataFrame(rows, "text string, label string").select(F.udf(marked)("text").alias("text"), "label")
+    model = G.text_classifier(train, features=64)
+    assert read.value <= len(rows) and model.stages[-1].getRegParam() == 1 / 15
+    said = G.predicted(model, spark.createDataFrame([("sweet apple",), ("engine oil",)], "text string")).collect()
+    assert [r.model_label for r in said] == ["fruit", "car"]
+    assert not glob.glob(spark.sparkContext.getCheckpointDir().removeprefix("file:") + "/quillspark/features-*")
+
+
 # exports
 
 
