@@ -20,6 +20,7 @@ from quillspark.operators import search as S
 from quillspark.operators import training as G
 from quillspark.operators import vectors as V
 from quillspark.operators.queries import known_names, parse_queries
+from quillspark.queries import QUERIES
 from quillspark.sources.files import csv_lines
 
 # vectors
@@ -339,6 +340,12 @@ def test_text_classifier_cuts_texts_once(spark):
     assert not glob.glob(spark.sparkContext.getCheckpointDir().removeprefix("file:") + "/quillspark/features-*")
 
 
+def test_top_features_meet_documents_where_they_are(spark):
+    out = QUERIES["m6_top_features"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(c, 10, True) for c in ("invoice", "purchase_order", "receipt")]
+
+
 # exports
 
 
