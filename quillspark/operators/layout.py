@@ -16,6 +16,7 @@ TOP = {
     "top_region_receipt_keyword_count": ("receipt", "cashier", "tender", "change"),
     "top_region_po_keyword_count": ("purchase order", "po number", "order number", "supplier"),
 }
+SIGNS = ("$", "Rs", "RM")
 TOTALS = ("total", "grand total", "balance due", "amount payable")
 WHOLE = {
     "supplier_label_count": ("supplier", "supplier name", "vendor", "company name"),
@@ -31,12 +32,22 @@ WHOLE = {
 
 
 def _count(text: Column, word: str) -> Column:
-    """How often a word stands in the text, without overlaps."""
-    return (F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / F.lit(len(word))
+    """How often a word of ASCII stands in the text, without overlaps."""
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))) / F.lit(len(word))
 
 
-def _counts(text: Column, words: tuple[str, ...]) -> Column:
-    return sum((_count(text, w) for w in words), F.lit(0.0))
+def _counts(text: Column, *lists: tuple[str, ...]) -> Column:
+    """An array: for each list how often its words stand in the text. Each word is looked for once, and only where a part of it was found."""
+    words = sorted({w for words in lists for w in words}, key=lambda w: (len(w), w))
+    part = {w: next((v for v in words if v != w and v in w), None) for w in words}
+    roots = [w for w in words if part[w] is None]
+    rest = [w for w in words if part[w] is not None]
+
+    def summed(r: Column) -> Column:
+        seen = F.array(*[F.when(r[roots.index(part[w])] > 0, _count(text, w)).otherwise(F.lit(0.0)) for w in rest]) if rest else F.array(F.lit(0.0))
+        return let(seen, lambda s: F.array(*[sum((r[roots.index(w)] if w in roots else s[rest.index(w)] for w in words), F.lit(0.0)) for words in lists]))
+
+    return let(F.array(*[_count(text, w) for w in roots]), summed)
 
 
 def layout_features(text: Column) -> Column:
@@ -49,7 +60,7 @@ def layout_features(text: Column) -> Column:
 
 def _parts(t: Column) -> Column:
     """What several features read, each computed once a row."""
-    split = F.filter(F.transform(F.split(F.regexp_replace(t, r"\r\n?|[\x0B\f\x1C-\x1E\x85\u2028\u2029]", "\n"), "\n"), strip), lambda x: x != "")
+    split = F.array_remove(F.transform(F.split(F.regexp_replace(t, r"\r\n?|[\x0B\f\x1C-\x1E\x85\u2028\u2029]", "\n"), "\n"), strip), F.lit(""))
 
     def regions(lines: Column) -> Column:
         n = F.size(lines)
@@ -60,7 +71,7 @@ def _parts(t: Column) -> Column:
             t.alias("t"),
             n.alias("n"),
             F.coalesce(F.array_max(widths), F.lit(0)).alias("widest"),
-            F.aggregate(widths, F.lit(0).cast("long"), lambda a, x: a + x).alias("width"),
+            F.length(F.array_join(lines, "")).cast("long").alias("width"),
             region(F.slice(lines, F.lit(1), size), F.substring(t, 1, 500)).alias("top"),
             region(F.slice(lines, F.greatest(n - size + 1, F.lit(1)), size), F.when(F.length(t) > 500, F.substring(t, -500, 500)).otherwise(t)).alias("bottom"),
             F.lower(t).alias("low"),
@@ -71,8 +82,15 @@ def _parts(t: Column) -> Column:
 
 
 def _features(p: Column) -> Column:
-    t, n, top, bottom, low = (p[c] for c in ("t", "n", "top", "bottom", "low"))
+    counted = F.struct(_counts(p["t"], SIGNS).alias("signs"), _counts(p["top"], *TOP.values()).alias("top"), _counts(p["bottom"], TOTALS).alias("bottom"), _counts(p["low"], *WHOLE.values()).alias("low"))
+    return let(counted, lambda k: _values(p, k))
+
+
+def _values(p: Column, k: Column) -> Column:
+    t, n, whole = p["t"], p["n"], dict(zip(WHOLE, (k["low"][i] for i in range(len(WHOLE))), strict=True))
     share = lambda pattern: F.length(F.regexp_replace(p["solid"], pattern, "")) / F.greatest(F.length(p["solid"]), F.lit(1))
+    # Few texts have what every amount or date has: the long patterns try each place of those only.
+    among = lambda sign, pattern: F.when(t.rlike(sign), F.regexp_count(t, F.lit("(?i)" + pattern))).otherwise(F.lit(0))
     values = {
         "char_count": F.length(t),
         "word_count": F.regexp_count(t, F.lit(r"(?U)\b[\w'-]+\b")),
@@ -81,16 +99,16 @@ def _features(p: Column) -> Column:
         "max_line_length": p["widest"],
         "digit_ratio": share(r"\P{Nd}+"),
         "uppercase_ratio": share(r"\P{Lu}+"),
-        "currency_symbol_count": _counts(t, ("$", "Rs", "RM")),
-        "amount_like_count": F.regexp_count(t, F.lit("(?i)" + AMOUNT)),
-        "date_like_count": F.regexp_count(t, F.lit("(?i)" + DATE)),
-        **{name: _counts(top, words) for name, words in TOP.items()},
-        "bottom_region_total_keyword_count": _counts(bottom, TOTALS),
-        **{name: _counts(low, words) for name, words in WHOLE.items()},
-        "line_item_density_proxy": _counts(low, WHOLE["item_table_keyword_count"]) / F.greatest(n, F.lit(1)),
-        "total_near_bottom_proxy": F.when(_counts(bottom, TOTALS) > 0, 1.0).otherwise(0.0),
+        "currency_symbol_count": k["signs"][0],
+        "amount_like_count": among(r"\.\d\d", AMOUNT),
+        "date_like_count": among(r"\d", DATE),
+        **{name: k["top"][i] for i, name in enumerate(TOP)},
+        "bottom_region_total_keyword_count": k["bottom"][0],
+        **whole,
+        "line_item_density_proxy": whole["item_table_keyword_count"] / F.greatest(n, F.lit(1)),
+        "total_near_bottom_proxy": F.when(k["bottom"][0] > 0, 1.0).otherwise(0.0),
     }
-    return F.struct(*[v.cast("double").alias(k) for k, v in values.items()])
+    return F.struct(*[v.cast("double").alias(name) for name, v in values.items()])
 
 
 NAMES = ("char_count", "word_count", "line_count", "average_line_length", "max_line_length", "digit_ratio", "uppercase_ratio", "currency_symbol_count", "amount_like_count", "date_like_count", *TOP, "bottom_region_total_keyword_count", *WHOLE, "line_item_density_proxy", "total_near_bottom_proxy")

@@ -1,6 +1,9 @@
 """Reports, datasets, readers, models and streams on small cases."""
 
 import json
+import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +98,28 @@ def layout_text(kind, k):
     return {"invoice": f"INVOICE # {k}\nBill To: X{k}\nBalance Due: ${k}.00", "receipt": f"RECEIPT {k}\nCashier 2\nCash {k}.00\nChange 1.00"}[kind]
 
 
+SIGNS = ("$", "Rs", "RM")
+
+
+def test_layout_words_are_looked_for_once(spark):
+    distinct = lambda lists: len({w for words in lists for w in words})
+    looked = re.findall(r"(?<!regexp_)replace\(", str(L.layout_features(F.col("text"))))
+    assert len(looked) == distinct([SIGNS]) + distinct(L.TOP.values()) + distinct([L.TOTALS]) + distinct(L.WHOLE.values())
+    words = sorted({w for lists in (L.TOP.values(), L.WHOLE.values(), [L.TOTALS, SIGNS]) for words in lists for w in words}) + ["é😀", "\n", " ", "x", "1.50", "12/05/2020", "3 May 2021", ".5", "\u3000\n"]
+    draw = random.Random(5)
+    texts = [None, "", *["".join(draw.choices(words, k=draw.randint(1, 40))) for _ in range(200)]]
+    got = {r.i: r for r in L.with_layout(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    for i, t in enumerate(t or "" for t in texts):
+        lines = [s.strip() for s in t.split("\n") if s.strip()]
+        k = max(math.ceil(len(lines) / 4), 1)
+        top, bottom = ("\n".join(part) + "\n" + chars for part, chars in ((lines[:k], t[:500]), (lines[max(len(lines) - k, 0) :], t[-500:])))
+        count = lambda text, words: sum(text.lower().count(w) for w in words)
+        want = {n: count(top, w) for n, w in L.TOP.items()} | {n: count(t, w) for n, w in L.WHOLE.items()} | {"bottom_region_total_keyword_count": count(bottom, L.TOTALS), "currency_symbol_count": sum(t.count(w) for w in SIGNS)}
+        want |= {"average_line_length": sum(map(len, lines)) / max(len(lines), 1), "line_item_density_proxy": want["item_table_keyword_count"] / max(len(lines), 1)}
+        want |= {"amount_like_count": len(re.findall("(?ia)" + L.AMOUNT, t)), "date_like_count": len(re.findall("(?ia)" + L.DATE, t))}
+        assert {n: got[i][n] for n in want} == want, t
+
+
 def test_models(spark, tmp_path):
     rows = spark.createDataFrame([(layout_text(c, k), c) for k in range(12) for c in ("invoice", "receipt")], "text string, label string")
     f = rows.select(L.layout_features(F.col("text")).alias("f")).first().f
