@@ -1,6 +1,7 @@
 """Business documents: extraction, queries, search and metrics on small cases."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -16,7 +17,7 @@ from quillspark.operators import search as S
 from quillspark.operators.postings import build_postings
 from quillspark.operators.ranges import build_ranges
 from quillspark.operators.classify import wording_type
-from quillspark.operators.extract import covered, fields
+from quillspark.operators.extract import AMOUNT, ANY_AMOUNT, covered, fields, nearest_amount
 from quillspark.operators.queries import parse_queries
 from quillspark.operators.validate import text_quality, validate
 
@@ -250,3 +251,37 @@ def test_lines_and_words_of_odd_texts(spark):
 def test_text_quality_measures_once(spark):
     plan = spark.range(1).select(text_quality(F.col("id").cast("string")).alias("q")).select("q.*")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") <= 5
+
+
+def _plan(column) -> str:
+    return column._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fields_read_a_type_once_and_amounts_as_asked(spark):
+    df = spark.createDataFrame([("x", "invoice")], "text string, kind string")
+    plan = _plan(df.select(fields(F.col("text"), F.lower(F.col("kind"))).alias("f")))
+    assert plan.count("lower(kind") <= 2
+    # A receipt's nearest amount comes first, an invoice's labelled one: the labels of each are looked for in one place.
+    assert plan.count("balance\\s+paid|amount\\s+paid|paid\\s+amount|total)\\b)(?=(") == 1 and plan.count("(?=((?:balance\\s+due)\\b)?)") == 1
+
+
+def test_amounts_are_found_as_by_the_plain_pattern(spark):
+    rng = random.Random(3)
+    parts = ["rs", "Rs.", "RM", "LKR", "lkr", "$", " ", "\n", "\t", "1", "12", "123", "1234", ",", ",123", ".", ".5", ".50", ".123", "x", "é", "٤", "K", "-"]
+    df = spark.createDataFrame([("".join(rng.choices(parts, k=rng.randint(0, 12))),) for _ in range(4000)], "text string")
+    found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    assert df.where(found(ANY_AMOUNT) != found("(?i)" + AMOUNT)).count() == 0 and df.where(F.size(found(ANY_AMOUNT)) > 0).count() > 500
+
+
+def test_nearest_amount_of_the_first_label(spark):
+    cases = [
+        ("Grand Total qty 5.00\n" + "x " * 40 + "\nTotal 7.00", "7.00"),  # the first label's only amount is noise
+        ("8.00 Total abcd 9.00", "9.00"),  # of the same distance the larger
+        ("9.00 Total abcd 8.00", "9.00"),
+        ("9.00 Total 8.00", "8.00"),
+        ("Total 3.00\nGrand Total 2.00", "2.00"),  # an earlier label wins, wherever it stands
+        ("Total rs1.00 and 45.00", "45.00"),  # what is no number is passed over
+        ("Total", None),
+    ]
+    rows = spark.createDataFrame(cases, "text string, want string").select("want", nearest_amount(F.col("text"), ("grand\\s+total", "total")).alias("got")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
