@@ -4,9 +4,11 @@ import math
 import random
 import re
 from collections import Counter
+from functools import reduce
 
 import duckdb
 import pytest
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark import queries
@@ -19,7 +21,7 @@ from quillspark.operators.ranges import build_ranges
 from quillspark.operators.classify import wording_type
 from quillspark.operators.extract import AMOUNT, ANY_AMOUNT, covered, fields, nearest_amount
 from quillspark.operators.queries import parse_queries
-from quillspark.operators.validate import text_quality, validate
+from quillspark.operators.validate import BREAKS, LINES, PLAIN, SPACES, WORDS, bad_supplier, field_checks, text_quality, validate
 
 CASES = [
     ("Invoice No INV-42", "invoice", {"invoice_number": "INV-42"}),
@@ -285,3 +287,26 @@ def test_nearest_amount_of_the_first_label(spark):
     ]
     rows = spark.createDataFrame(cases, "text string, want string").select("want", nearest_amount(F.col("text"), ("grand\\s+total", "total")).alias("got")).collect()
     assert [r.got for r in rows] == [r.want for r in rows]
+
+
+def test_checks_are_made_once(spark):
+    df = spark.createDataFrame([("x", "invoice")], "text string, kind string")
+    row = F.struct(*[F.col("text").alias(n) for n in ("invoice_number", "date", "amount", "supplier")])
+    plan = _plan(df.select(field_checks(F.col("kind"), row).alias("c")))
+    assert plan.count("document number looks invalid") == 1 and plan.count("supplier is missing") == 1
+
+
+def test_classes_with_ascii_first_hold_the_same(spark):
+    chars = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000] + ["﷐", "\U0001f600", "\U00010400", "\U0001d7d8"]
+    df = spark.createDataFrame([(c,) for c in chars], "c string")
+    plain = {
+        LINES: rf"[^{SPACES}{BREAKS}][^{BREAKS}]*+",
+        WORDS: r"(?U)[0-9A-Za-z_\w][0-9A-Za-z_'\-\w]*+",
+        PLAIN: r"[\p{L}\p{N}.,:/#\-&()$%+]+",
+    }
+    cut = lambda t, p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
+    texts = [F.col("c"), F.concat(F.lit("a"), F.col("c"), F.lit("b"))]
+    assert df.where(reduce(Column.__or__, [cut(t, new) != cut(t, old) for t in texts for new, old in plain.items()])).count() == 0
+    bad = {"supplier": "the Bill To: x", "ok": "Acme Stores"}
+    names = spark.createDataFrame([(v,) for v in bad.values()], "name string").select(bad_supplier(F.col("name")).alias("b")).collect()
+    assert [r.b for r in names] == [True, False]
